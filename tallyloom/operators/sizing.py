@@ -1,0 +1,15 @@
+"""Proof that a small table is small, before it is inlined or sent to every executor."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Row
+
+
+def rows_if_at_most(rows: DataFrame, limit: int) -> list[Row] | None:
+    """The rows when there are no more than ``limit``; None otherwise. Reads ``limit + 1`` rows at most."""
+    found = rows.limit(limit + 1).collect()
+    return found if len(found) <= limit else None
+
+
+def has_at_most(rows: DataFrame, limit: int) -> bool:
+    return rows.limit(limit + 1).count() <= limit

@@ -1,0 +1,47 @@
+"""Compare a Spark result with DuckDB's on the same tables."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from datetime import date, datetime
+
+import duckdb
+
+BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+               "benchmark labels conversations").split()
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for name in BASE_TABLES:
+        connection.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    return connection
+
+
+def _value(value):
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return None
+    if isinstance(value, bool):
+        return value
+    if isinstance(value, (int, float)):
+        return float(value)
+    if isinstance(value, datetime):
+        return value.replace(tzinfo=None).isoformat()
+    if isinstance(value, date):
+        return value.isoformat()
+    return value if isinstance(value, str) else str(value)
+
+
+def spark_rows(frame) -> tuple[list[str], Counter]:
+    names = sorted(frame.columns)
+    rows = frame.select(*names).collect()
+    return names, Counter(tuple(_value(v) for v in row) for row in rows)
+
+
+def duckdb_rows(connection, sql: str) -> tuple[list[str], Counter]:
+    cursor = connection.execute(sql)
+    columns = [d[0] for d in cursor.description]
+    names = sorted(columns)
+    order = [columns.index(n) for n in names]
+    return names, Counter(tuple(_value(row[i]) for i in order) for row in cursor.fetchall())
