@@ -23,6 +23,7 @@ from tallyloom.plans import messages as feed
 from tallyloom.plans import performance, quality, review, roster
 from tallyloom.sources import samples
 from tallyloom.sources.sinks import seed_rows
+from tallyloom.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,7 +42,9 @@ class Tables:
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return samples.view(self._spark, self._folder, name)
+        rows = samples.view(self._spark, self._folder, name)
+        setattr(self, name, rows)
+        return rows
 
     def base(self, name: str) -> DataFrame:
         return samples.table(self._spark, self._folder, name)
@@ -214,37 +217,38 @@ def performance_after_assign(t):
 def normalized_texts(t):
     documents = t.base("documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = t.base("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return documents.unionByName(pages).select("kind", "id", normalize_text(F.col("text")).alias("norm_text"))
+    texts = spread(documents, "id").unionByName(spread(pages, "id"))
+    return texts.select("kind", "id", normalize_text(F.col("text")).alias("norm_text"))
 
 
 @query
 def match_employee(t):
-    return matching.match_employees(t.messages, "message_id", "body", matching.employee_names(t.people))
+    return matching.match_employees(spread(t.messages, "message_id"), "message_id", "body", matching.employee_names(t.people))
 
 
 @query
 def match_employee_many(t):
-    return matching.match_employees(t.base("documents"), "doc_id", "text", matching.employee_names(t.authors))
+    return matching.match_employees(spread(t.base("documents"), "doc_id"), "doc_id", "text",
+                                    matching.employee_names(t.authors))
 
 
 @query
 def match_employee_shuffled(t):
-    return matching.match_employees(t.base("documents"), "doc_id", "text", matching.employee_names(t.authors),
-                                    broadcast_names=0)
+    return matching.match_employees(spread(t.base("documents"), "doc_id"), "doc_id", "text",
+                                    matching.employee_names(t.authors), broadcast_names=0)
 
 
 @query
 def keyword_scan(t):
-    return quality.scan_messages(t.messages, t.channel_customers, t.keywords)
+    return quality.scan_messages(spread(t.messages, "message_id"), t.channel_customers, t.keywords)
 
 
 def _passages(t):
-    documents = t.base("documents")
-    messages = documents.select(
+    documents = spread(t.base("documents"), "doc_id")
+    return documents.select(
         F.col("doc_id").alias("message_id"), (F.col("doc_id") % 150).alias("customer_id"),
         F.lit(None).cast("bigint").alias("employee_id"), F.col("text").alias("body"),
         F.lit(None).cast("timestamp_ntz").alias("sent_at"))
-    return messages
 
 
 @query
@@ -519,7 +523,7 @@ def delete_cascade(t):
     leaders = t.team_leaders.filter("id % 6 = 0")
     customers = t.channel_customers.filter("id % 4 = 0")
     gone_messages = integrity.children_of(t.messages, customers, "customer_id")
-    notes = quality.scan_messages(t.messages, t.channel_customers, t.keywords)
+    notes = quality.scan_messages(spread(t.messages, "message_id"), t.channel_customers, t.keywords)
     kept = [
         ("targets", integrity.without_children_of(t.targets, leaders, "team_leader_id").select("id")),
         ("messages", integrity.without_children_of(t.messages, customers, "customer_id").select("message_id")),

@@ -46,17 +46,17 @@ def match_employees(texts: DataFrame, key: str, text: str, names: DataFrame, *,
                     broadcast_names: int = BROADCAST_NAMES, salts: int = SALTS) -> DataFrame:
     """``key`` and ``employee_id`` of every text that names someone. ``key`` is unique per text."""
     pairs = _name_pairs(names)
-    tokens = texts.select(key, F.array_distinct(words(normalize_text(F.col(text)))).alias("tokens"))
+    tokens = texts.select(key, words(normalize_text(F.col(text))).alias("tokens"))
+    # Unfolding an expression keeps Spark from testing the whole cleaning once more in a filter below.
+    word = F.explode(F.array_distinct("tokens")).alias("word")
     if has_at_most(names, broadcast_names):
-        unfolded = tokens.select(key, "tokens", F.explode("tokens").alias("word"))
-        found = (unfolded.join(F.broadcast(pairs), "word")
-                 .filter(F.array_contains("tokens", F.col("other"))).select(key, "id"))
+        candidates = tokens.select(key, "tokens", word).join(F.broadcast(pairs), "word")
     else:
         salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
-        unfolded = tokens.select(key, salt, F.explode("tokens").alias("word"))
         copies = pairs.withColumn("salt", F.explode(F.array(*[F.lit(n) for n in range(salts)])))
-        candidates = unfolded.join(copies, ["word", "salt"]).select(key, "id", "other")
-        found = candidates.join(tokens, key).filter(F.array_contains("tokens", F.col("other"))).select(key, "id")
+        matched = tokens.select(key, salt, word).join(copies, ["word", "salt"]).select(key, "id", "other")
+        candidates = matched.join(tokens, key)
+    found = candidates.filter(F.array_contains("tokens", F.col("other"))).select(key, "id")
     return found.groupBy(key).agg(F.min("id").alias("employee_id"))
 
 

@@ -3,7 +3,7 @@
 Written as one join on ``contains`` this is a nested loop over texts x phrases. Here it is exact in
 three ways, chosen by the counted size of the rule table:
 
-* few rules: they become literals and each text is tested in place, without a join;
+* few rules: they become one constant and each text is tested in place, without a join;
 * more rules: every phrase gets an anchor, one of its substrings of 8, 4, 3, 2 or 1 letters (the
   longest size that fits). A text is unfolded into its distinct substrings of the sizes in use,
   joined to the anchors by equality and checked with ``contains``. The counted anchors are broadcast
@@ -17,18 +17,20 @@ A text holds each substring once and a phrase has one anchor, so a (text, phrase
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import grams, normalize_text
 from tallyloom.operators.sizing import has_at_most, rows_if_at_most
 
-INLINE_RULES = 64
+INLINE_RULES = 500
 BROADCAST_RULES = 50_000
 ANCHOR_LENGTHS = (8, 4, 3, 2, 1)
 SALTS = 16
 
-_RULE = "struct<keyword_id: bigint, matched_phrase: string, label: string>"
+_RULES = "array<struct<keyword_id: bigint, matched_phrase: string, label: string, norm_phrase: string>>"
 
 
 def active_rules(keywords: DataFrame) -> DataFrame:
@@ -39,18 +41,13 @@ def active_rules(keywords: DataFrame) -> DataFrame:
             .filter("norm_phrase <> ''"))
 
 
-def _inline_hits(text: Column, rules: list) -> Column:
-    """Array of the rules found in a text."""
-    if not rules:
-        return F.array().cast(f"array<{_RULE}>")
-    tests = [
-        F.when(F.contains(text, F.lit(rule.norm_phrase)),
-               F.struct(F.lit(rule.keyword_id).cast("bigint").alias("keyword_id"),
-                        F.lit(rule.matched_phrase).alias("matched_phrase"),
-                        F.lit(rule.label).cast("string").alias("label")))
-        for rule in rules
-    ]
-    return F.array_compact(F.array(*tests))
+def _inline_hits(text: Column, rules: list[Row]) -> Column:
+    """Array of the rules found in a text. The rules travel in the plan as one constant array."""
+    constant = F.from_json(F.lit(json.dumps([rule.asDict() for rule in rules])), _RULES)
+    found = F.filter(constant, lambda rule: F.contains(text, rule["norm_phrase"]))
+    return F.transform(found, lambda rule: F.struct(
+        rule["keyword_id"].alias("keyword_id"), rule["matched_phrase"].alias("matched_phrase"),
+        rule["label"].alias("label")))
 
 
 def _anchored(rules: DataFrame) -> DataFrame:

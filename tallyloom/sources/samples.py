@@ -6,9 +6,11 @@ Each view is one SQL text that Spark and DuckDB both run; ``[name]`` stands for
 from __future__ import annotations
 
 import re
+import zlib
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SALES_AS_OF = date(2000, 6, 1)
 NOTES_AS_OF = date(2024, 1, 20)
@@ -135,13 +137,24 @@ from [customer]""",
 }
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    text = re.sub(r"\[(\w+)\]", lambda m: f"parquet.`{folder}/{m[1]}.parquet`", VIEWS[name])
-    return spark.sql(text)
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A base table; its schema is read from the files once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    def registered(match: re.Match) -> str:
+        temporary = f"sample_{match[1]}_{zlib.crc32(folder.encode())}"
+        table(spark, folder, match[1]).createOrReplaceTempView(temporary)
+        return temporary
+
+    return spark.sql(re.sub(r"\[(\w+)\]", registered, VIEWS[name]))
 
 
 def duckdb_views(*names: str) -> str:
