@@ -30,14 +30,14 @@ def employee_names(employees: DataFrame) -> DataFrame:
 
 def _name_pairs(names: DataFrame) -> DataFrame:
     """Distinct word pairs with their lowest id, keyed by the word fewer pairs share."""
-    pairs = names.groupBy("first_word", "last_word").agg(F.min("id").alias("id"))
+    pairs = names.groupBy("first_word", "last_word").agg(F.min("id").alias("employee_id"))
     uses = (pairs.select(F.explode(F.array_distinct(F.array("first_word", "last_word"))).alias("word"))
             .groupBy("word").agg(F.count("*").alias("uses")))
     first_uses = uses.select(F.col("word").alias("first_word"), F.col("uses").alias("first_uses"))
     last_uses = uses.select(F.col("word").alias("last_word"), F.col("uses").alias("last_uses"))
     rarer_first = F.col("first_uses") <= F.col("last_uses")
     return (pairs.join(first_uses, "first_word").join(last_uses, "last_word")
-            .select("id",
+            .select("employee_id",
                     F.when(rarer_first, F.col("first_word")).otherwise(F.col("last_word")).alias("word"),
                     F.when(rarer_first, F.col("last_word")).otherwise(F.col("first_word")).alias("other")))
 
@@ -54,10 +54,10 @@ def match_employees(texts: DataFrame, key: str, text: str, names: DataFrame, *,
     else:
         salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
         copies = pairs.withColumn("salt", F.explode(F.array(*[F.lit(n) for n in range(salts)])))
-        matched = tokens.select(key, salt, word).join(copies, ["word", "salt"]).select(key, "id", "other")
+        matched = tokens.select(key, salt, word).join(copies, ["word", "salt"]).select(key, "employee_id", "other")
         candidates = matched.join(tokens, key)
-    found = candidates.filter(F.array_contains("tokens", F.col("other"))).select(key, "id")
-    return found.groupBy(key).agg(F.min("id").alias("employee_id"))
+    found = candidates.filter(F.array_contains("tokens", F.col("other")))
+    return found.groupBy(key).agg(F.min("employee_id").alias("employee_id"))
 
 
 def assign_employees(messages: DataFrame, key: str, text: str, names: DataFrame, **limits) -> DataFrame:
