@@ -20,7 +20,7 @@ from tallyloom.functions.periods import Periods, period_columns
 from tallyloom.functions.text import match_name, none_if_blank, normalize_text
 from tallyloom.operators import access, integrity, keyed, matching
 from tallyloom.plans import messages as feed
-from tallyloom.plans import performance, quality, review, roster
+from tallyloom.plans import maintenance, performance, quality, review, roster
 from tallyloom.sources import samples
 from tallyloom.sources.sinks import seed_rows
 from tallyloom.sources.tables import spread
@@ -469,8 +469,7 @@ def duplicate_names_ci(t):
 def target_duplicates(t):
     first = t.targets
     again = first.filter(F.col("id") % 7 == 0).withColumn("id", F.col("id") + 1_000_000)
-    keys = [F.col(c) for c in ("scope", "employee_id", "team_leader_id", "period_type")]
-    return keyed.duplicate_keys(first.unionByName(again), keys)
+    return keyed.duplicate_keys(first.unionByName(again), [F.col(c) for c in maintenance.TARGET_KEY])
 
 
 def _employee_changes(t):
@@ -493,7 +492,7 @@ def _employee_changes(t):
 
 def _upserted(t):
     new_id = F.element_at(F.split("full_name", " "), -1).cast("bigint") + 1_000_000
-    return keyed.upsert_rows(t.employees, _employee_changes(t), order="change_no", new_id=new_id)
+    return maintenance.upsert_employees(t.employees, _employee_changes(t), order="change_no", new_id=new_id)
 
 
 @query
@@ -509,13 +508,10 @@ def employees_upsert_rejects(t):
 @query
 def targets_replace(t):
     changes = t.targets.filter("id % 4 = 0")
-    first = changes.select("id", "scope", "employee_id", "team_leader_id", "period_type",
-                           F.lit(1).cast("decimal(14,2)").alias("target_amount"))
+    first = changes.withColumn("target_amount", F.lit(1).cast("decimal(14,2)"))
     second = first.withColumn("id", F.col("id") + 1_000_000).withColumn(
         "target_amount", F.lit(2).cast("decimal(14,2)"))
-    keys = ["scope", "employee_id", "team_leader_id", "period_type"]
-    latest = keyed.last_per_key(first.unionByName(second), keys, ["id"])
-    return keyed.replace_on_key(t.targets, latest, keys)
+    return maintenance.set_targets(t.targets, first.unionByName(second))[0]
 
 
 @query

@@ -53,12 +53,14 @@ def duplicate_keys(rows: DataFrame, keys: list[Column]) -> DataFrame:
 
 
 def upsert_rows(base: DataFrame, changes: DataFrame, *, order: str, new_id: Column,
-                stamp: Column | None = None) -> tuple[DataFrame, DataFrame]:
+                stamp: Column | None = None, defaults: dict[str, Column] | None = None,
+                ) -> tuple[DataFrame, DataFrame]:
     """Apply a batch of changes to a dimension with an ``id``; returns (rows, rejected changes).
 
     A change with an id replaces the columns it carries, one without an id becomes a new row with
     ``new_id``, and one with an unknown id is rejected. The last change per id by ``order`` wins;
-    a stored column the changes do not carry keeps its value.
+    a stored column the changes do not carry keeps its value, and a new row gets the default of such a
+    column.
     """
     carried = [c for c in base.columns if c in changes.columns and c != "id"]
     edits = last_per_key(changes.filter(F.col("id").isNotNull()), ["id"], [order])
@@ -76,7 +78,8 @@ def upsert_rows(base: DataFrame, changes: DataFrame, *, order: str, new_id: Colu
     if "updated_at" in base.columns and stamp is not None:
         added = added.withColumn("updated_at", stamp)
     missing = [c for c in base.columns if c not in added.columns]
-    added = added.select("*", *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in missing])
+    added = added.select("*", *[(defaults or {}).get(c, F.lit(None)).cast(base.schema[c].dataType).alias(c)
+                                for c in missing])
     unknown = changes.filter(F.col("id").isNotNull()).join(base.select("id"), "id", "left_anti")
     return (updated.unionByName(added.select(*base.columns)),
             unknown.select(*changes.columns).withColumn("reason", F.lit("unknown id")))

@@ -26,9 +26,12 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def write_sales(sales: DataFrame, path: str) -> None:
-    """Sales partitioned by month of sale, so a recompute reads at most two months."""
+    """Sales partitioned by month of sale, so a recompute reads at most three months' folders.
+
+    The rebalance gives each month files of an even size and splits a month that holds most rows.
+    """
     rows = sales.withColumn("sale_month", F.trunc("sale_date", "month"))
-    rows.write.mode("append").partitionBy("sale_month").parquet(path)
+    rows.hint("rebalance", "sale_month").write.mode("append").partitionBy("sale_month").parquet(path)
 
 
 def replace_snapshot(spark: SparkSession, fresh: DataFrame, path: str, periods: Periods) -> None:
@@ -36,7 +39,7 @@ def replace_snapshot(spark: SparkSession, fresh: DataFrame, path: str, periods:
     stored = read_or_empty(spark, path, PERFORMANCE).filter(
         periods.is_current(F.col("period_type"), F.col("period_date")))
     merged = upsert_snapshot(stored, fresh.select(*PERFORMANCE.fieldNames()))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (merged.hint("rebalance", "period_type", "period_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("period_type", "period_date").parquet(path))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.schemas import SALES
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A parquet table with its fixed schema; nothing is inferred."""
@@ -23,13 +27,22 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def read_sales(spark: SparkSession, path: str, since: date, until: date) -> DataFrame:
+    """Sales of some days, the end excluded, from the month folders they can be in."""
+    month, day = F.col("sale_month"), F.col("sale_date")
+    schema = T.StructType([*SALES.fields, T.StructField("sale_month", T.DateType())])
+    rows = read_table(spark, path, schema)
+    inside = (month >= F.lit(since.replace(day=1))) & (month < F.lit(until)) & (day >= F.lit(since)) & (day < F.lit(until))
+    return rows.filter(inside).drop("sale_month")
+
+
 def _files(spark: SparkSession, streaming: bool):
     return spark.readStream if streaming else spark.read
 
 
 def feed_documents(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Feed landed as one JSON document per file; the file is the delivery and its time the arrival."""
-    rows = _files(spark, streaming).option("wholetext", "true").text(path)
+    rows = _files(spark, streaming).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("payload_id"), F.col("value").alias("payload"),
                        F.col("_metadata.file_modification_time").alias("received_at"))
 
