@@ -1,7 +1,8 @@
 """Table changes by key: first or last row per key, insert if absent, replace, upsert.
 
-Rows per key are reduced with ``min_by`` / ``max_by``, never with a window: each task first reduces
-its own rows, so a key that holds a third of the table leaves every task as one row.
+Rows per key are reduced with ``min`` / ``max`` of a struct that starts with the order, never with a
+window: each task first reduces its own rows, so a key that holds a third of the table leaves every
+task as one row.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _extreme_per_key(rows: DataFrame, keys: list[str], order: list[str], extreme) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    sorted_first = F.struct(*[c for c in order if c not in keys], *rest)
+    picked = rows.groupBy(*keys).agg(extreme(sorted_first).alias("_row"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in rows.columns])
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of every key; NULL is a key value like any other."""
-    whole = F.min_by(F.struct(*rows.columns), F.struct(*order))
-    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(whole.alias("_row")).select("_row.*")
+    """First row of every key by ``order``, then by the other columns; NULL is a key like any other."""
+    return _extreme_per_key(rows, keys, order, F.min)
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    whole = F.max_by(F.struct(*rows.columns), F.struct(*order))
-    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(whole.alias("_row")).select("_row.*")
+    return _extreme_per_key(rows, keys, order, F.max)
 
 
 def first_per_known_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import grams, normalize_text
 from tallyloom.operators.sizing import has_at_most, rows_if_at_most
 
-INLINE_RULES = 500
+INLINE_RULES = 256
 BROADCAST_RULES = 50_000
 ANCHOR_LENGTHS = (8, 4, 3, 2, 1)
 SALTS = 16

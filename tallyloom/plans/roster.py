@@ -11,14 +11,14 @@ MEMBERS_PER_PAGE = 5000
 def team_rosters(team_leaders: DataFrame, employees: DataFrame, page_size: int = MEMBERS_PER_PAGE) -> DataFrame:
     """One JSON document per team, members by name.
 
-    A team beyond ``page_size`` members is written as several pages by member id, each in name order,
-    so no task gathers a whole large team; every member is on exactly one page.
+    A team beyond ``page_size`` members is dealt out to several pages of about that size, each in name
+    order, so no task gathers a whole large team; every member is on exactly one page.
     """
     sizes = (employees.filter(F.col("team_leader_id").isNotNull()).groupBy("team_leader_id")
              .agg(F.ceil(F.count("*") / page_size).alias("n_pages")))
     entry = F.struct("full_name", "id", "is_active")
     pages = (employees.join(sizes, "team_leader_id")
-             .groupBy("team_leader_id", F.pmod("id", "n_pages").alias("page"))
+             .groupBy("team_leader_id", F.pmod(F.xxhash64("id"), "n_pages").alias("page"))
              .agg(F.count("*").alias("n_members"), F.sort_array(F.collect_list(entry)).alias("members")))
     teams = team_leaders.select(F.col("id").alias("team_leader_id"), F.col("full_name").alias("team_leader_name"))
     joined = teams.join(pages, "team_leader_id", "left")

@@ -30,7 +30,7 @@ from [lineitem]"""
 
 
 def _targets() -> str:
-    """Targets of every supplier and nation for the three periods, some zero and some missing."""
+    """Targets of suppliers as employees and customers as team leaders for the three periods, some zero and some missing."""
     parts = []
     for no, (kind, share) in enumerate((("daily", 20), ("weekly", 4), ("monthly", 1)), start=1):
         parts.append(f"""
@@ -39,9 +39,9 @@ select s_suppkey * 10 + {no} as id, 'employee' as scope, s_suppkey as employee_i
        cast(case when s_suppkey % 13 = 0 then 0 else (300000 + (s_suppkey % 17) * 10000) / {share} end as decimal(14,2)) as target_amount
 from [supplier] where s_suppkey % 11 <> 4
 union all
-select cast(-10 * n_nationkey - {no} as bigint), 'team_leader', cast(null as bigint), cast(n_nationkey as bigint), '{kind}',
-       cast(case when n_nationkey % 13 = 5 then 0 else (1200000 + n_nationkey * 25000) / {share} end as decimal(14,2))
-from [nation] where n_nationkey % 11 <> 4""")
+select -10 * c_custkey - {no}, 'team_leader', cast(null as bigint), c_custkey, '{kind}',
+       cast(case when c_custkey % 13 = 5 then 0 else (1200000 + (c_custkey % 25) * 25000) / {share} end as decimal(14,2))
+from [customer] where c_custkey % 11 <> 4""")
     return "\nunion all".join(parts)
 
 
@@ -61,10 +61,9 @@ from [conversations] where {condition}"""
 
 VIEWS = {
     "team_leaders": """
-select cast(n_nationkey as bigint) as id, n_name as full_name,
-       case when n_nationkey % 5 <> 0 then cast(n_nationkey + 100 as bigint) end as user_id,
-       n_nationkey % 7 <> 3 as is_active
-from [nation]""",
+select c_custkey as id, c_name as full_name, case when c_custkey % 5 <> 0 then c_custkey + 100 end as user_id,
+       c_custkey % 7 <> 3 as is_active
+from [customer]""",
     "employees": """
 select s_suppkey as id, 'Employee ' || cast(s_suppkey % 90 as string) as full_name,
        case when s_suppkey % 4 = 0 then ' Ref ' || cast(s_suppkey as string) || ' '
