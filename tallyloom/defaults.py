@@ -49,3 +49,5 @@ FOLDED_INTO = "ااااهيوي"
 # Fathatan to sukun and the tatweel, deleted from text.
 DELETED_MARKS = "ًٌٍَُِّْـ"
 DEFINITE_ARTICLE = "ال"
+# First and last letter of the range that holds all letters and marks above.
+FOLDED_RANGE = "آ-ٱ"

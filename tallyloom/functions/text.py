@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.defaults import DEFINITE_ARTICLE, DELETED_MARKS, FOLDED_INTO, FOLDED_LETTERS
+from tallyloom.defaults import DEFINITE_ARTICLE, DELETED_MARKS, FOLDED_INTO, FOLDED_LETTERS, FOLDED_RANGE
 
 
 def normalize_text(text: Column) -> Column:
     """Comparable form of a text: no markup, lower case, folded Arabic letters, no marks or article.
 
-    NULL becomes the empty string. Tags and ``&nbsp;`` can be replaced in one pass because neither
-    can form from what the other leaves. The article goes after the folding and once only, so a
-    doubled article keeps one.
+    NULL becomes the empty string. The article goes after the folding and once only, so a doubled
+    article keeps one. A text without letters of the folded range skips both steps, which halves the
+    work for other scripts.
     """
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>|&nbsp;", " ")
-    folded = F.translate(F.lower(plain), FOLDED_LETTERS + DELETED_MARKS, FOLDED_INTO)
+    untagged = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
+    plain = F.lower(F.replace(untagged, F.lit("&nbsp;"), F.lit(" ")))
+    folded = F.translate(plain, FOLDED_LETTERS + DELETED_MARKS, FOLDED_INTO)
     bare = F.regexp_replace(folded, rf"(^|\s){DEFINITE_ARTICLE}", "$1")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    known = F.when(F.rlike(plain, F.lit(f"[{FOLDED_RANGE}]")), bare).otherwise(plain)
+    return F.trim(F.regexp_replace(known, r"\s+", " "))
 
 
 def words(normalized: Column) -> Column:
     """Words of two or more letters, in order, of a normalised text."""
-    return F.filter(F.split(normalized, " "), lambda word: F.length(word) >= 2)
+    return F.regexp_extract_all(normalized, F.lit("[^ ]{2,}"), F.lit(0))
 
 
 def none_if_blank(text: Column) -> Column:

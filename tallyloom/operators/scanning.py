@@ -4,15 +4,16 @@ Written as one join on ``contains`` this is a nested loop over texts x phrases.
 three ways, chosen by the counted size of the rule table:
 
 * few rules: they become one constant and each text is tested in place, without a join;
-* more rules: every phrase gets an anchor, one of its substrings of 8, 4, 3, 2 or 1 letters (the
-  longest size that fits). A text is unfolded into its distinct substrings of the sizes in use,
+* more rules: every phrase gets an anchor. That is an inner word, which a text that holds the phrase
+  has as a whole word; for phrases without one, a substring of 8, 4, 3, 2 or 1 letters, the longest
+  size that fits. A text is unfolded into its distinct words, and substrings of the sizes in use,
   joined to the anchors by equality and checked with ``contains``. The counted anchors are broadcast
   and the texts stay where they are;
 * rules beyond the broadcast bound: the same equality join, shuffled. Anchors are copied once per
   salt and a text's substrings carry the salt of their text, so one frequent anchor spreads over many
   tasks. Only keys travel; the texts are joined once more by key for the check.
 
-A text holds each substring once and a phrase has one anchor, so a (text, phrase) pair comes up once.
+A text is unfolded into each anchor once and a phrase has one anchor, so a (text, phrase) pair comes up once.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from tallyloom.operators.sizing import has_at_most, rows_if_at_most
 
 INLINE_RULES = 256
 BROADCAST_RULES = 50_000
-ANCHOR_LENGTHS = (8, 4, 3, 2, 1)
+GRAM_SIZES = (8, 4, 3, 2, 1)
+SHORTEST_WORD = 3
+WORD_MARK = "\n"
 SALTS = 16
 
 _RULES = "array<struct<keyword_id: bigint, matched_phrase: string, label: string, norm_phrase: string>>"
@@ -50,24 +53,41 @@ def _inline_hits(text: Column, rules: list[Row]) -> Column:
         rule["label"].alias("label")))
 
 
+def _marked_words(words: Column) -> Column:
+    """Distinct words with a mark that no substring of a normalised text can end with."""
+    return F.array_distinct(F.transform(words, lambda word: F.concat(word, F.lit(WORD_MARK))))
+
+
 def _anchored(rules: DataFrame) -> DataFrame:
-    """Rules with their anchor: of the substrings of the longest size that fits, the one fewest rules hold.
+    """Rules with their anchor: of the candidates, the one fewest rules hold, then the longest.
 
     Phrases that open alike then still get different anchors, so a text meets few rules in vain.
     """
-    by_size = F.lit(None).cast("array<string>")
-    for size in ANCHOR_LENGTHS:
-        by_size = F.coalesce(
-            by_size, F.when(F.length("norm_phrase") >= size, grams(F.col("norm_phrase"), size)))
-    choices = rules.select("keyword_id", F.explode(by_size).alias("anchor"))
+    words = F.split("norm_phrase", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))),
+                     lambda word: F.length(word) >= SHORTEST_WORD)
+    candidates = F.when(F.size(inner) > 0, _marked_words(inner))
+    for size in GRAM_SIZES:
+        candidates = F.coalesce(
+            candidates, F.when(F.length("norm_phrase") >= size, grams(F.col("norm_phrase"), size)))
+    choices = rules.select("keyword_id", F.explode(candidates).alias("anchor"))
     uses = choices.groupBy("anchor").agg(F.count("*").alias("uses"))
+    preferred = F.struct("uses", (-F.length("anchor")).alias("by_length"), "anchor")
     chosen = (choices.join(uses, "anchor").groupBy("keyword_id")
-              .agg(F.min_by("anchor", F.struct("uses", "anchor")).alias("anchor")))
+              .agg(F.min(preferred)["anchor"].alias("anchor")))
     return rules.join(chosen, "keyword_id")
 
 
-def _anchors_of(text: Column, sizes: list[int]) -> Column:
-    return F.concat(*[grams(text, size) for size in sizes])
+def _kinds_in_use(anchored: DataFrame) -> list[int]:
+    """Substring sizes among the anchors, 0 for whole words; at most one value per kind."""
+    kind = F.when(F.endswith("anchor", F.lit(WORD_MARK)), 0).otherwise(F.length("anchor"))
+    return sorted(row[0] for row in anchored.select(kind).distinct().collect())
+
+
+def _anchors_of(text: Column, kinds: list[int]) -> Column:
+    """All distinct words or substrings of a text that can be an anchor."""
+    closed = F.replace(F.concat(text, F.lit(" ")), F.lit(" "), F.lit(f"{WORD_MARK} "))
+    return F.concat(*[grams(text, size) if size else F.array_distinct(F.split(closed, " ")) for size in kinds])
 
 
 def find_phrases(texts: DataFrame, key: str, text: str, keywords: DataFrame, *, keep: tuple[str, ...] = (),
@@ -84,8 +104,7 @@ def find_phrases(texts: DataFrame, key: str, text: str, keywords: DataFrame, *,
         return norm.select(key, *keep, F.inline(_inline_hits(F.col("norm_text"), inline)))
 
     anchored = _anchored(rules)
-    sizes = [r[0] for r in anchored.select(F.length("anchor")).distinct().collect()]
-    found = _anchors_of(F.col("norm_text"), sizes)
+    found = _anchors_of(F.col("norm_text"), _kinds_in_use(anchored))
     if has_at_most(rules, broadcast_rules):
         unfolded = norm.select(key, *keep, "norm_text", F.explode(found).alias("anchor"))
         candidates = unfolded.join(F.broadcast(anchored), "anchor")

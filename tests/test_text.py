@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.defaults import DELETED_MARKS, FOLDED_LETTERS
+from tallyloom.defaults import DEFINITE_ARTICLE, DELETED_MARKS, FOLDED_LETTERS, FOLDED_RANGE
 from tallyloom.functions.text import grams, match_name, normalize_text, words
 
 GOLDEN = [
@@ -55,3 +55,8 @@ def test_grams_are_all_distinct_substrings(table):
 def test_match_name(table, rows):
     frame = table("ref string, name string", ("  ", "A"), (None, "B"), (" R ", "C"))
     assert rows(frame.select(match_name(F.col("ref"), F.col("name")))) == [("A",), ("B",), ("R",)]
+
+
+def test_every_folded_letter_is_in_the_tested_range():
+    first, last = FOLDED_RANGE.split("-")
+    assert all(first <= letter <= last for letter in FOLDED_LETTERS + DELETED_MARKS + DEFINITE_ARTICLE)
