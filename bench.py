@@ -13,7 +13,7 @@ from tallyloom.session import build_session
 HEADLINE = (
     "employee_performance", "leader_performance", "performance_snapshot", "live_display", "performance_upsert",
     "sales_by_employee_period", "sales_dedup", "sales_with_assignments", "unmatched_sales", "percentage_calc",
-    "normalized_texts", "match_employee", "match_employee_many", "keyword_scan", "keyword_scan_many", "notes_per_message",
+    "normalize_text", "match_employee", "match_employee_many", "keyword_scan", "keyword_scan_many", "notes_per_message",
     "webhook_flatten", "messages_dedup", "customers_upsert", "customer_name_on_arrival",
     "notes_filtered", "notes_stats", "top_labels", "quality_by_label", "quality_by_employee",
     "scoped_performance", "employees_upsert", "targets_replace", "delete_cascade", "fk_orphans",

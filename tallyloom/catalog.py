@@ -62,7 +62,7 @@ def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return _plain(build(Tables(spark, folder)))
 
-    QUERIES[build.__name__] = run
+    QUERIES[build.__name__.rstrip("_")] = run
     return build
 
 
@@ -152,7 +152,7 @@ def status_bands(t):
 
 
 @query
-def threshold_list(t):
+def threshold_rows_(t):
     return threshold_rows(t.settings, "key")
 
 
@@ -214,7 +214,7 @@ def performance_after_assign(t):
 
 
 @query
-def normalized_texts(t):
+def normalize_text_(t):
     documents = t.base("documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = t.base("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     texts = spread(documents, "id").unionByName(spread(pages, "id"))
@@ -264,7 +264,7 @@ def keyword_scan_shuffled(t):
 
 @query
 def notes_per_message(t):
-    return quality.notes_per_message(t.messages, t.keywords)
+    return quality.notes_per_message(spread(t.messages, "message_id"), t.keywords)
 
 
 # Chat feed

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.jsontext import epoch_or_arrival
 from tallyloom.functions.text import none_if_empty
-from tallyloom.operators.keyed import absent, first_per_known_key
+from tallyloom.operators.keyed import absent, first_per_key
 from tallyloom.schemas import CHAT_MESSAGE, PAYLOAD
 
 ARRIVAL = ["received_at", "payload_id", "position"]
@@ -44,14 +44,22 @@ def _contact_name(contacts: Column, channel_id: Column) -> Column:
     return none_if_empty(F.get(same, F.size(same) - 1)["profile"]["name"])
 
 
+def _each(array: str, position: str, element: str) -> Column:
+    """Elements with their positions.
+
+    The array is unfolded as an expression: for a plain column Spark would first filter on its size,
+    and that filter would parse the JSON once more.
+    """
+    return F.posexplode(F.concat(array)).alias(position, element)
+
+
 def flatten_payloads(parsed: DataFrame) -> DataFrame:
     """One row per message of every delivery, in the order of arrival, with its own JSON kept as text."""
-    changes = (parsed.select("payload_id", "received_at", F.posexplode("doc.entry").alias("entry_no", "entry"))
-               .select("payload_id", "received_at", "entry_no",
-                       F.posexplode("entry.changes").alias("change_no", "change")))
-    elements = changes.select(
-        "payload_id", "received_at", "entry_no", "change_no", F.col("change.value.contacts").alias("contacts"),
-        F.posexplode("change.value.messages").alias("message_no", "raw"))
+    delivery = ["payload_id", "received_at"]
+    entries = parsed.select(*delivery, _each("doc.entry", "entry_no", "entry"))
+    changes = entries.select(*delivery, "entry_no", _each("entry.changes", "change_no", "change"))
+    elements = changes.select(*delivery, "entry_no", "change_no", F.col("change.value.contacts").alias("contacts"),
+                              _each("change.value.messages", "message_no", "raw"))
     position = ((F.col("entry_no").cast("bigint") * _POSITIONS + F.col("change_no")) * _POSITIONS
                 + F.col("message_no"))
     parsed_messages = elements.select(
@@ -79,10 +87,10 @@ def new_messages(arrived: DataFrame, stored: DataFrame, order: list[str],
     The stored ids are first cut down to those that arrived. That join moves the small side, so
     the history is scanned for one column and not shuffled.
     """
-    first = first_per_known_key(arrived, key, order)
-    arrived_ids = arrived.filter(F.col(key).isNotNull()).select(key)
-    known = stored.filter(F.col(key).isNotNull()).select(key).join(arrived_ids, key, "left_semi")
-    return absent(first, known, [key])
+    identified = arrived.filter(F.col(key).isNotNull())
+    known = stored.select(key).join(identified.select(key), key, "left_semi")
+    first = absent(first_per_key(identified, [key], order), known, [key])
+    return first.unionByName(arrived.filter(F.col(key).isNull()))
 
 
 def customer_changes(arrived: DataFrame, order: list[str]) -> DataFrame:

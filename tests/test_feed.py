@@ -127,3 +127,8 @@ def test_json_defaults(table):
         json_number(F.col("v"), "$.a"), json_number(F.col("v"), "$.b"), json_number(F.col("v"), "$.c", "int", 3),
         json_text(F.col("v"), "$.c", "none"), *public_settings(F.col("v"), "board")).first()
     assert tuple(row) == (None, 7, 3, "none", "board", "", 20, "[]")
+
+
+def test_missing_direction_is_inbound(table, rows):
+    frame = table("id int, direction string", (1, None), (2, "outbound"))
+    assert rows(feed.with_direction(frame)) == [(1, "inbound"), (2, "outbound")]

@@ -7,11 +7,13 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tallyloom.catalog import BANDS, Tables, _plain
 from tallyloom.functions.periods import Periods
 from tallyloom.operators.keyed import first_per_key
+from tallyloom.plans import messages as feed
 from tallyloom.plans import performance, quality
 from tallyloom.sources.sinks import replace_snapshot, write_sales
 from tallyloom.sources.tables import read_sales
@@ -67,10 +69,32 @@ def test_notes_filters_reach_the_scan(spark):
 
 
 def test_a_few_rules_are_scanned_without_join_or_shuffle(spark):
-    plan = plan_of(entry_points.queries()["notes_per_message"](spark, FOLDER))
+    t = Tables(spark, FOLDER)
+    plan = plan_of(quality.notes_per_message(t.messages, t.keywords))
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_a_delivery_is_parsed_once(spark, table):
+    payloads = table("payload_id string, payload string, received_at timestamp", ("1", "{}", None))
+    plan = plan_of(feed.flatten_payloads(feed.parse_payloads(payloads)))
+    assert plan.count("from_json") == 2  # the delivery and each message
+
+
+def test_history_is_scanned_once_for_its_ids(spark):
+    t = Tables(spark, FOLDER)
+    arrived = t.deliveries
+    stored = t.base("documents").select(F.col("lang").alias("channel_message_id"))
+    plan = plan_of(feed.new_messages(arrived, stored, feed.ARRIVAL))
+    scans = [line for line in plan.split("\n") if "documents.parquet" in line]
+    assert len(scans) == 1 and "ReadSchema: struct<lang:string>" in scans[0]
+
+
+def test_texts_are_cleaned_once(spark):
+    plan = plan_of(entry_points.queries()["match_employee_many"](spark, FOLDER))
+    texts = [line for line in plan.split("\n") if "doc_id" in line and "<[^>]+>" in line]
+    assert len(texts) == 1
+
+
 def test_rows_of_a_hot_key_are_reduced_before_the_shuffle(spark):
     rows = spark.range(1000).selectExpr("id % 3 as k", "id as o", "cast(id as string) as body")
     plan = plan_of(first_per_key(rows, ["k"], ["o"]))
