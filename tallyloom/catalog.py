@@ -21,6 +21,7 @@ from tallyloom.functions.text import match_name, none_if_blank, normalize_text
 from tallyloom.operators import access, integrity, keyed, matching
 from tallyloom.plans import messages as feed
 from tallyloom.plans import maintenance, performance, quality, review, roster
+from tallyloom.plans.deletion import delete_rows
 from tallyloom.sources import samples
 from tallyloom.sources.sinks import seed_rows
 from tallyloom.sources.tables import spread
@@ -516,19 +517,22 @@ def targets_replace(t):
 
 @query
 def delete_cascade(t):
-    leaders = t.team_leaders.filter("id % 6 = 0")
-    customers = t.channel_customers.filter("id % 4 = 0")
-    gone_messages = integrity.children_of(t.messages, customers, "customer_id")
-    notes = quality.scan_messages(spread(t.messages, "message_id"), t.channel_customers, t.keywords)
-    kept = [
-        ("targets", integrity.without_children_of(t.targets, leaders, "team_leader_id").select("id")),
-        ("messages", integrity.without_children_of(t.messages, customers, "customer_id").select("message_id")),
-        ("notes", integrity.without_children_of(notes, gone_messages, "message_id", "message_id").select("message_id")),
-    ]
-    parts = [rows.toDF("row_id").select(F.lit(name).alias("table_name"), "row_id") for name, rows in kept]
+    notes = quality.scan_messages(t.messages, t.channel_customers, t.keywords)
+    tables = {"team_leaders": t.team_leaders, "targets": t.targets, "customers": t.channel_customers,
+              "messages": t.messages, "notes": notes}
+    left = delete_rows(tables, "team_leaders", t.team_leaders.filter("id % 6 = 0"))
+    left = delete_rows(left, "customers", t.channel_customers.filter("id % 4 = 0"))
+    parts = [left[name].select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"))
+             for name, key in (("targets", "id"), ("messages", "message_id"), ("notes", "message_id"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def sales_append(t):
+    stored = t.sales_records.filter("id % 3 = 0")
+    return review.new_sales(t.sales_raw, stored, ["line_order", "raw"])
+
+
 @query
 def delete_set_null(t):
     return integrity.null_children_of(t.employees, t.team_leaders.filter("id % 6 = 0"), "team_leader_id")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from tallyloom import schemas
 from tallyloom.functions.bands import load_bands
 from tallyloom.functions.periods import Periods
 from tallyloom.plans import performance, review
-from tallyloom.sources.sinks import log_run, replace_snapshot
-from tallyloom.sources.tables import read_sales, read_table
+from tallyloom.sources.sinks import log_run, replace_snapshot, write_sales
+from tallyloom.sources.tables import read_or_empty, read_sales, read_table
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,14 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+def _rows_seen(written: Observation) -> int:
+    """Rows counted by a finished write. Spark can drop an empty result together with its count."""
+    try:
+        return written.get["n_rows"]
+    except Py4JJavaError:
+        return 0
+
+
 def _logged(store: Warehouse, run_id: str, triggered_by: str, work: Callable[[], int]) -> int:
     """Run the work and append its outcome to the run log, also when it fails."""
     started, records, status, message = _now(), 0, "error", None
@@ -68,7 +77,19 @@ def recompute_performance(store: Warehouse, as_of: date, run_id: str, *, assignm
         written = Observation("snapshot")
         replace_snapshot(store.spark, fresh.observe(written, F.count("*").alias("n_rows")), store.path("performance"),
                          periods)
-        return written.get["n_rows"]
+        return _rows_seen(written)
+
+    return _logged(store, run_id, triggered_by, work)
+
+
+def load_sales(store: Warehouse, arrived: DataFrame, order: list[str], run_id: str, triggered_by: str = "auto") -> int:
+    """Append the sales that are new by invoice. A repeated load of identified sales adds nothing."""
+    def work() -> int:
+        stored = read_or_empty(store.spark, store.path("sales"), schemas.SALES)
+        written = Observation("sales")
+        fresh = review.new_sales(arrived, stored, order).select(*schemas.SALES.fieldNames())
+        write_sales(fresh.observe(written, F.count("*").alias("n_rows")), store.path("sales"))
+        return _rows_seen(written)
 
     return _logged(store, run_id, triggered_by, work)
 

@@ -47,6 +47,18 @@ def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(stored.select(*keys), keys, "left_anti")
 
 
+def new_rows(arrived: DataFrame, stored: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """First row of each key that is not stored yet; rows without a key all pass, unshuffled.
+
+    The stored keys are first cut down to those that arrived. That join moves the small side, so the
+    history is scanned for one column and not shuffled.
+    """
+    identified = arrived.filter(F.col(key).isNotNull())
+    known = stored.select(key).join(identified.select(key), key, "left_semi")
+    first = absent(first_per_key(identified, [key], order), known, [key])
+    return first.unionByName(arrived.filter(F.col(key).isNull()))
+
+
 def replace_on_key(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Fresh rows plus the stored rows they do not replace; NULLs in a key are equal."""
     kept = stored.alias("s").join(fresh.select(*keys).alias("f"), _same_key("s", "f", keys), "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.jsontext import epoch_or_arrival
 from tallyloom.functions.text import none_if_empty
-from tallyloom.operators.keyed import absent, first_per_key
+from tallyloom.operators.keyed import new_rows
 from tallyloom.schemas import CHAT_MESSAGE, PAYLOAD
 
 ARRIVAL = ["received_at", "payload_id", "position"]
@@ -80,17 +80,9 @@ def with_direction(messages: DataFrame) -> DataFrame:
     return messages.withColumn("direction", F.coalesce("direction", F.lit("inbound")))
 
 
-def new_messages(arrived: DataFrame, stored: DataFrame, order: list[str],
-                 key: str = "channel_message_id") -> DataFrame:
-    """First delivery of each message that is not stored yet; messages without an id all pass.
-
-    The stored ids are first cut down to those that arrived. That join moves the small side, so
-    the history is scanned for one column and not shuffled.
-    """
-    identified = arrived.filter(F.col(key).isNotNull())
-    known = stored.select(key).join(identified.select(key), key, "left_semi")
-    first = absent(first_per_key(identified, [key], order), known, [key])
-    return first.unionByName(arrived.filter(F.col(key).isNull()))
+def new_messages(arrived: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """First delivery of each message that is not stored yet; messages without an id all pass."""
+    return new_rows(arrived, stored, "channel_message_id", order)
 
 
 def customer_changes(arrived: DataFrame, order: list[str]) -> DataFrame:

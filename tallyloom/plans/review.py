@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.defaults import REVIEW_QUEUE_ROWS
 from tallyloom.functions.jsontext import json_text
-from tallyloom.operators.keyed import first_per_known_key
+from tallyloom.operators.keyed import first_per_known_key, new_rows
 
 
 def distinct_invoices(sales: DataFrame, order: list[str]) -> DataFrame:
@@ -15,6 +15,11 @@ def distinct_invoices(sales: DataFrame, order: list[str]) -> DataFrame:
     return first_per_known_key(sales, "invoice_ref", order)
 
 
+def new_sales(arrived: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """Arrived sales whose invoice is not stored yet, one per invoice; sales without an invoice all pass."""
+    return new_rows(arrived, stored, "invoice_ref", order)
+
+
 def unmatched_sales(sales: DataFrame, limit: int = REVIEW_QUEUE_ROWS) -> DataFrame:
     """The newest unmatched sales, with the fields a reviewer needs. JSON is read after the limit."""
     newest = (sales.filter(F.col("employee_id").isNull())

@@ -35,7 +35,10 @@ def write_sales(sales: DataFrame, path: str) -> None:
 
 
 def replace_snapshot(spark: SparkSession, fresh: DataFrame, path: str, periods: Periods) -> None:
-    """Put a recompute into the stored snapshots; only the three current period folders are read and rewritten."""
+    """Put a recompute into the stored snapshots; only the three current period folders are read and rewritten.
+
+    Snapshots are derived data: a run that dies while it commits is repaired by running it again.
+    """
     stored = read_or_empty(spark, path, PERFORMANCE).filter(
         periods.is_current(F.col("period_type"), F.col("period_date")))
     merged = upsert_snapshot(stored, fresh.select(*PERFORMANCE.fieldNames()))

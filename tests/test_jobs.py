@@ -10,7 +10,7 @@ from tallyloom import schemas
 from tallyloom.functions.bands import bands_from_json, status_label
 from tallyloom.functions.register import register_functions
 from tallyloom.functions.text import normalize_text
-from tallyloom.jobs import Warehouse, live_board, recompute_performance
+from tallyloom.jobs import Warehouse, live_board, load_sales, recompute_performance
 from tallyloom.plans import maintenance
 from tallyloom.sources.samples import BANDS_JSON
 from tallyloom.sources.sinks import write_sales
@@ -103,3 +103,10 @@ def test_sql_functions_equal_the_columns(spark, table, rows):
     assert rows(numbers.selectExpr("status_label(p)")) == rows(numbers.select(status_label(F.col("p"), bands)))
     register_functions(spark, [])
     assert rows(numbers.selectExpr("status_label(p)").distinct()) == [("—",)]
+
+
+def test_loading_sales_twice_adds_nothing(spark, store, rows):
+    arrived = spark.createDataFrame(
+        [(8, 1, "i1", D(1), DAY, None, None), (9, 2, "i9", D(2), DAY, None, None)], schemas.SALES)
+    assert [load_sales(store, arrived, ["id"], run) for run in ("l1", "l2")] == [1, 0]
+    assert rows(store.read("sales"), "invoice_ref") == [("i1",), ("i2",), ("i3",), ("i9",)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import access, integrity, keyed
 from tallyloom.plans import quality, review, roster
+from tallyloom.plans.deletion import delete_rows
 from tallyloom.sources.sinks import default_keywords, log_audit, log_run, seed_rows
 
 TARGETS = ("id bigint, scope string, employee_id bigint, team_leader_id bigint, period_type string, "
@@ -167,3 +168,34 @@ def test_logs(spark, tmp_path, rows):
     path = str(tmp_path / "audit")
     log_audit(spark, path, user_id=1, user_name="a", role="admin", action="assign_sale", logged_at=DAY)
     assert spark.read.parquet(path).first().action == "assign_sale"
+
+
+def test_delete_with_dependants(table, rows):
+    tables = {
+        "team_leaders": table("id bigint, user_id bigint", (1, 7), (2, None)),
+        "employees": table("id bigint, team_leader_id bigint", (10, 1), (11, 2)),
+        "targets": table("id bigint, employee_id bigint, team_leader_id bigint", (1, 10, None), (2, None, 1), (3, 11, None)),
+        "sales": table("id bigint, employee_id bigint", (1, 10), (2, 11), (3, None)),
+        "customers": table("id bigint", (5,), (6,)),
+        "messages": table("message_id bigint, customer_id bigint, employee_id bigint", (1, 5, 10), (2, 6, 10), (3, 6, 11)),
+        "notes": table("id bigint, message_id bigint, customer_id bigint, employee_id bigint, label string",
+                       (1, 1, 5, 10, "a"), (2, 2, 6, 10, "b"), (3, None, 5, None, "c")),
+    }
+    left = delete_rows(tables, "employees", tables["employees"].filter("id = 10"))
+    assert rows(left["employees"], "id") == [(11,)]
+    assert rows(left["targets"], "id") == [(2,), (3,)] and rows(left["sales"], "id") == [(2,), (3,)]
+    assert rows(left["messages"]) == [(1, 5, None), (2, 6, None), (3, 6, 11)]
+    assert rows(left["notes"], "id", "employee_id", "label") == [(1, None, "a"), (2, None, "b"), (3, None, "c")]
+
+    left = delete_rows(tables, "team_leaders", tables["team_leaders"].filter("id = 1"))
+    assert rows(left["employees"]) == [(10, None), (11, 2)] and rows(left["targets"], "id") == [(1,), (3,)]
+
+    left = delete_rows(tables, "customers", tables["customers"].filter("id = 5"))
+    assert rows(left["messages"], "message_id") == [(2,), (3,)]
+    assert rows(left["notes"]) == [(2, 2, 6, 10, "b"), (3, None, None, None, "c")]
+
+
+def test_only_new_invoices_pass(table, rows):
+    stored = table("invoice_ref string", ("a",), (None,))
+    arrived = table("id bigint, invoice_ref string, at int", (1, "a", 1), (2, "b", 2), (3, "b", 1), (4, None, 1), (5, None, 1))
+    assert rows(review.new_sales(arrived, stored, ["at"]), "id") == [(3,), (4,), (5,)]
