@@ -4,9 +4,9 @@ Written as one join on ``contains`` this is a nested loop over texts x phrases.
 three ways, chosen by the counted size of the rule table:
 
 * few rules: they become one constant and each text is tested in place, without a join;
-* more rules: every phrase gets an anchor. That is an inner word, which a text that holds the phrase
-  has as a whole word; for phrases without one, a substring of 8, 4, 3, 2 or 1 letters, the longest
-  size that fits. A text is unfolded into its distinct words, and substrings of the sizes in use,
+* more rules: every phrase gets an anchor. That is an inner word few rules share, which a text that
+  holds the phrase has as a whole word; for other phrases a substring of 8, 4, 3, 2 or 1 letters, the
+  longest size that fits. A text is unfolded into its distinct words, and substrings of the sizes in use,
   joined to the anchors by equality and checked with ``contains``. The counted anchors are broadcast
   and the texts stay where they are;
 * rules beyond the broadcast bound: the same equality join, shuffled. Anchors are copied once per
@@ -29,7 +29,7 @@ from tallyloom.operators.sizing import has_at_most, rows_if_at_most
 INLINE_RULES = 256
 BROADCAST_RULES = 50_000
 GRAM_SIZES = (8, 4, 3, 2, 1)
-SHORTEST_WORD = 3
+RULES_PER_WORD = 8
 WORD_MARK = "\n"
 SALTS = 16
 
@@ -59,20 +59,25 @@ def _marked_words(words: Column) -> Column:
 
 
 def _anchored(rules: DataFrame) -> DataFrame:
-    """Rules with their anchor: of the candidates, the one fewest rules hold, then the longest.
+    """Rules with their anchor.
 
-    Phrases that open alike then still get different anchors, so a text meets few rules in vain.
+    An inner word that few rules hold comes first, the longest of them; it spares unfolding the texts into
+    substrings. Where every inner word is common among the rules, the candidate fewest rules hold is
+    taken, so phrases that differ in little still get different anchors.
     """
-    words = F.split("norm_phrase", " ")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))),
-                     lambda word: F.length(word) >= SHORTEST_WORD)
-    candidates = F.when(F.size(inner) > 0, _marked_words(inner))
+    phrase_words = F.split("norm_phrase", " ")
+    inner = F.slice(phrase_words, 2, F.greatest(F.size(phrase_words) - 2, F.lit(0)))
+    substrings = F.lit(None).cast("array<string>")
     for size in GRAM_SIZES:
-        candidates = F.coalesce(
-            candidates, F.when(F.length("norm_phrase") >= size, grams(F.col("norm_phrase"), size)))
-    choices = rules.select("keyword_id", F.explode(candidates).alias("anchor"))
+        substrings = F.coalesce(
+            substrings, F.when(F.length("norm_phrase") >= size, grams(F.col("norm_phrase"), size)))
+    choices = rules.select("keyword_id", F.explode(F.concat(_marked_words(inner), substrings)).alias("anchor"))
     uses = choices.groupBy("anchor").agg(F.count("*").alias("uses"))
-    preferred = F.struct("uses", (-F.length("anchor")).alias("by_length"), "anchor")
+    good_word = F.endswith("anchor", F.lit(WORD_MARK)) & (F.col("uses") <= RULES_PER_WORD)
+    shorter = -F.length("anchor").cast("bigint")
+    preferred = F.struct(
+        F.when(good_word, 0).otherwise(1).alias("rank"), F.when(good_word, shorter).otherwise(F.col("uses")).alias("first"),
+        F.when(good_word, F.col("uses")).otherwise(shorter).alias("second"), "anchor")
     chosen = (choices.join(uses, "anchor").groupBy("keyword_id")
               .agg(F.min(preferred)["anchor"].alias("anchor")))
     return rules.join(chosen, "keyword_id")

@@ -25,8 +25,10 @@ def test_hits_equal_brute_force(table, rows, way):
     texts = [(n, "".join(rng.choices(alphabet, k=rng.choice([0, 1, 5, 40, 200])))) for n in range(120)]
     # A third of the texts and many rules share one passage.
     texts += [(200 + n, f"x{n} hello world passage {'c' * (n % 9)}") for n in range(60)]
+    texts += [(400 + n, f"say number {n} of it all") for n in range(30)]
     phrases = ["hello world passage " + "c" * n for n in range(8)] + ["a", "b c", "ab", "%", "_", "é%", "abcab", " ", "zzz",
                                                                       "a b c", "b ab c", "a abc b", "c %_% a", "x world x"]
+    phrases += [f"say number {n} of it" for n in range(12)]
     rules = [(n, p, f"l{n % 3}", n % 5 != 4) for n, p in enumerate(phrases)]
 
     def clean(text):
