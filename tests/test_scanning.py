@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.operators.matching import assign_employees, employee_names, match_employees
 from tallyloom.operators.scanning import count_phrases, find_phrases
