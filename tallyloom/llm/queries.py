@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, license_scan, secret_scan, url_filter
+from tallyloom.llm import chat, decontaminate, license_scan, mixing, quality, secret_scan, url_filter
 
 # Rules of the url query.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -27,6 +27,11 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(_read(spark, folder, "documents").select("doc_id", "text"), _read(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(_read(spark, folder, "documents"))
 
@@ -53,6 +58,17 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    judged = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
+def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op3_license_scan, op5_secret_scan, op7_chat_format)
+    f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_license_scan, op5_secret_scan, op7_chat_format,
+                                op9_decontamination, op10_source_mix)
 }

@@ -98,7 +98,7 @@ def _op7() -> str:
     control = r"'([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|/?ROLE\])'"
     headers = {"user": chat.USER, "assistant": chat.ASSISTANT, "system": chat.SYSTEM}
     cases = " ".join(f"when '{role}' then {len(header)}" for role, header in headers.items())
-    escaped = lambda x: rf"length(regexp_replace({x}, {control}, '\1\\\\\2\3', 'g'))"
+    escaped = lambda x: rf"length(regexp_replace({x}, {control}, '\1\\\2\3', 'g'))"
     return f"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -113,4 +113,25 @@ from c group by conv_id
 """
 
 
-ORACLE = {"op1_url_filter": _OP1, "op3_license_scan": _op3(), "op5_secret_scan": _op5(), "op7_chat_format": _op7()}
+def _op9() -> str:
+    return f"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {_PLAIN}) as w from documents),
+b as (select item_id, regexp_extract_all({_lower("coalesce(text, '')")}, {_PLAIN}) as w from benchmark),
+win as (
+  select distinct item_id, least(len(w), 13) as m, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as x
+  from b, unnest(range(1, len(w) - least(len(w), 13) + 2)) t(i) where len(w) > 0),
+lengths as (select distinct m from win),
+hit as (
+  select k, i, m, array_to_string(w[i:i + m - 1], ' ') as x
+  from d, lengths, unnest(range(1, len(w) - m + 2)) t(i)),
+met as (select k, i, m, item_id from hit join win using (m, x)),
+n as (select k, count(distinct j) as n_hit from met, unnest(range(i, i + m)) t(j) group by k),
+items as (select k, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from met group by k)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
+from d left join n using (k) left join items using (k)
+"""
+
+
+ORACLE = {"op1_url_filter": _OP1, "op3_license_scan": _op3(), "op5_secret_scan": _op5(), "op7_chat_format": _op7(),
+          "op9_decontamination": _op9()}

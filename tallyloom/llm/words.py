@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Runs without ASCII blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 #: Runs of ASCII lower-case letters, digits and everything beyond ASCII; for texts after ``ascii_lower``.
-PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Letters beyond ASCII that ``lower`` would change.
-_OTHER_UPPER = r"[\p{javaUpperCase}\p{javaTitleCase}&&[^\x00-\x7F]]"
+PLAIN_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def whole(text: Column) -> Column:
@@ -20,8 +20,13 @@ def whole(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case and nothing else changed; ``translate`` is slow, so only texts that need it pay for it."""
-    return F.when(text.rlike(_OTHER_UPPER), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+    """A-Z in lower case and nothing else changed."""
+    return F.translate(text, UPPER, UPPER.lower())
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` reads it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def blank_words(text: Column) -> Column:
