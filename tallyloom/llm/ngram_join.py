@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.storage import stored
+from tallyloom.llm.words import whole
 
 #: Words of a shingle and percent of the union that two documents must share, as the library has them by default.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -94,75 +95,179 @@ def signatures(items: np.ndarray, group: int, difference: int, common: np.ndarra
         return hashed
     rare = total
     if common.size:
-        at = np.minimum(np.searchsorted(common, items), common.size - 1) if False else None
-        del at
-        cls = (items % np.uint64(COUNT_CLASSES)).astype(np.int64)
-        place = np.minimum(np.searchsorted(common, cls), common.size - 1)
-        rare = np.bincount(segment[common[place] != cls], minlength=n)
+        classes = (items % np.uint64(COUNT_CLASSES)).astype(np.int64)
+        place = np.minimum(np.searchsorted(common, classes), common.size - 1)
+        rare = np.bincount(segment[common[place] != classes], minlength=n)
     return hashed[np.lexsort((hashed, total, rare))[spare:]]
 
 
-def text_id(text: str | None) -> tuple[int, int]:
-    """Two 64-bit numbers that name a text."""
-    digest = xxhash.xxh3_128_intdigest((text or "").encode())
-    return _signed(digest >> 64), _signed(digest & (2**64 - 1))
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def _once(frame: pd.DataFrame) -> pd.DataFrame:
+    """Copies of a text inside a batch as one row with their number."""
+    return frame.groupby(["hi", "lo"], sort=False).agg(text=("text", "first"), copies=("text", "size")).reset_index()
 
 
 def _sizes(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """A row per document, and at the end of a task a row per common class of shingles."""
+    """A row with the set size of every text, and at the end of a task a row per common class of shingles."""
     counts, documents = np.zeros(COUNT_CLASSES, np.int32), 0
     for frame in frames:
-        ids, sizes, seen = [], [], []
-        for text in frame["text"]:
+        own = _once(frame)
+        sizes = []
+        for text, copies in zip(own["text"], own["copies"], strict=True):
             items = shingle_set(text, length)
-            ids.append(text_id(text))
             sizes.append(len(items))
-            seen.append(items)
-        flat = np.concatenate(seen) if seen else np.empty(0, np.uint64)
-        np.add.at(counts, (flat % np.uint64(COUNT_CLASSES)).astype(np.int64), 1)
-        documents += len(sizes)
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "hi": [i[0] for i in ids], "lo": [i[1] for i in ids],
-                            "n_shingles": sizes, "class": -1, "n": 0})
+            np.add.at(counts, (items % np.uint64(COUNT_CLASSES)).astype(np.int64), copies)
+        documents += len(frame)
+        yield pd.DataFrame({"hi": own["hi"], "lo": own["lo"], "n_shingles": sizes, "class": -1, "n": 0})
     common = np.flatnonzero(counts >= max(FEWEST_COMMON, int(COMMON_SHARE * documents)))
     if common.size:
-        yield pd.DataFrame({"doc_id": pd.array([None] * common.size, "Int64"), "hi": 0, "lo": 0, "n_shingles": 0,
-                            "class": common, "n": counts[common]})
+        yield pd.DataFrame({"hi": 0, "lo": 0, "n_shingles": 0, "class": common, "n": counts[common]})
 
 
 def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, common: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows (sig, hi, lo, copies); copies of a text inside a batch are one."""
+    """Rows (sig, hi, lo, copies) of every text."""
     bands = Bands(percent)
     for frame in frames:
-        copies = frame["text"].fillna("").value_counts(sort=False)
-        parts, his, los, many = [], [], [], []
-        for text, n in copies.items():
-            items = shingle_set(text, length)
+        parts, columns = [], []
+        for row in _once(frame).itertuples(index=False):
+            items = shingle_set(row.text, length)
             if not len(items):
                 continue
-            hi, lo = text_id(text)
             own = bands.band(len(items))
             found = np.concatenate([signatures(items, g, bands.difference(g), common) for g in (own, own - 1) if g >= 0])
             parts.append(found)
-            his.append(np.full(len(found), hi))
-            los.append(np.full(len(found), lo))
-            many.append(np.full(len(found), n, np.int32))
+            columns.append((row.hi, row.lo, row.copies, len(found)))
         if parts:
-            yield pd.DataFrame({"sig": np.concatenate(parts).view(np.int64), "hi": np.concatenate(his),
-                                "lo": np.concatenate(los), "copies": np.concatenate(many)})
-
-
-def _verify(pairs: pd.DataFrame, texts: pd.DataFrame, length: int, percent: int) -> pd.DataFrame:
-    """Links among the pairs of one leader and some members, by the exact sets."""
-    leader = next((t for t, lead in zip(texts["text"], texts["leads"], strict=True) if lead), None)
-    own = shingle_set(leader, length)
-    rows = []
-    for row in pairs.itertuples(index=False):
-        other = shingle_set(row.text, length)
-        shared = np.intersect1d(own, other, assume_unique=True).size
-        if 100 * shared >= percent * (own.size + other.size - shared):
-            rows.append((row.a_hi, row.a_lo, row.hi, row.lo))
-    return pd.DataFrame(rows, columns=["a_hi", "a_lo", "hi", "lo"]).astype("int64")
+            hi, lo, copies, n = (np.array(c, np.int64) for c in zip(*columns, strict=True))
+            yield pd.DataFrame({"sig": np.concatenate(parts).view(np.int64), "hi": np.repeat(hi, n), "lo": np.repeat(lo, n),
+                                "copies": np.repeat(copies, n).astype(np.int32)})
+
+
+def _verified(frames: Iterator[pd.DataFrame], length: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Links of rows that are ordered so that a leader's text comes before those of its members."""
+    leader, own = None, np.empty(0, np.uint64)
+    for frame in frames:
+        rows = []
+        for row in frame.itertuples(index=False):
+            key = (row.a_hi, row.a_lo)
+            if row.member == 0:
+                if key != leader:
+                    leader, own = key, shingle_set(row.text, length)
+                continue
+            other = shingle_set(row.text, length)
+            shared = np.intersect1d(own, other, assume_unique=True).size
+            if 100 * shared >= percent * (own.size + other.size - shared):
+                rows.append((row.a_hi, row.a_lo, row.hi, row.lo))
+        if rows:
+            yield pd.DataFrame(rows, columns=["a_hi", "a_lo", "hi", "lo"])
+
+
+_IDS = "a_hi long, a_lo long, hi long, lo long"
+
+
+def identified(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (doc_id, text, hi, lo): the text, NULL as empty, and two 64-bit hashes that name it."""
+    body = whole(F.col(text))
+    return documents.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hi"),
+                            F.xxhash64(F.lit("second"), body).alias("lo"))
+
+
+def verify(pairs: DataFrame, bodies: DataFrame, length: int, percent: int) -> DataFrame:
+    """The linked ones of the pairs (a_hi, a_lo, hi, lo).
+
+    Members of one leader are dealt out in parts of about ``LEADER_MEMBERS``, each with a copy of the leader's
+    text, so that no task gets more than a part of a large group at once.
+    """
+    parts = F.ceil(F.col("n") / LEADER_MEMBERS).cast("int")
+    leaders = pairs.groupBy("a_hi", "a_lo").agg(F.count("*").alias("n")).withColumn("parts", parts).drop("n")
+    names = bodies.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), "text")
+    heads = leaders.join(names, ["a_hi", "a_lo"]).select("a_hi", "a_lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                                                         F.lit(0).alias("member"), F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"), "text")
+    part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int")
+    members = (pairs.join(leaders, ["a_hi", "a_lo"]).withColumn("part", part).join(bodies, ["hi", "lo"])
+               .select("a_hi", "a_lo", "part", F.lit(1).alias("member"), "hi", "lo", "text"))
+    dealt = heads.unionByName(members).repartition("a_hi", "a_lo", "part")
+    ordered = dealt.sortWithinPartitions("a_hi", "a_lo", "part", "member")
+    return ordered.mapInPandas(lambda frames: _verified(frames, length, percent), _IDS)
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """Rows (node, label) for links (a, b): the smallest node that is reachable. Each round is a stored table.
+
+    Every node takes the smallest label around it, and then its label's label, until nothing changes.
+    """
+    both = stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        old = labels.withColumnRenamed("label", "old")
+        taken = old.join(near, old["node"] == near["a"]).select("node", "old", F.least("old", "near").alias("label"))
+        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("root_label"))
+        new = stored(taken.join(roots, taken["label"] == roots["root"], "left").select(
+            "node", "old", F.least("label", F.coalesce("root_label", "label")).alias("label")), "labels")
+        changed = new.filter("old <> label").limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels
+
+
+def _pair_links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).alias("a"), F.struct("hi", "lo").alias("b"))
+
+
+def linked_texts(texts: DataFrame, length: int, percent: int, common: np.ndarray) -> DataFrame:
+    """Rows (node, label) of all texts that are linked with another one, for texts (hi, lo, text).
+
+    Texts that share a signature are candidates. Per signature, one of them, the one with most copies, is compared
+    with the others; what is linked by that needs no further comparison inside its component. Then texts of one
+    signature that are still in different components are compared with each other.
+    """
+    rows = texts.select("text", "hi", "lo").mapInPandas(
+        lambda frames: _emit(frames, length, percent, common), "sig long, hi long, lo long, copies int")
+    group = Window.partitionBy("sig")
+    node = F.struct("hi", "lo")
+    lead = F.max(F.struct("copies", "hi", "lo")).over(group)
+    rows = rows.withColumns({"lead": lead, "first": F.min(node).over(group), "last": F.max(node).over(group)})
+    members = stored(rows.filter("first <> last").select("sig", "hi", "lo", F.col("lead.hi").alias("a_hi"),
+                                                         F.col("lead.lo").alias("a_lo")).distinct(), "members")
+    involved = members.select("hi", "lo").distinct()
+    bodies = stored(texts.join(involved, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.any_value("text").alias("text")), "bodies")
+    stars = stored(members.filter("hi <> a_hi or lo <> a_lo").select("a_hi", "a_lo", "hi", "lo").distinct(), "pairs")
+    links = stored(_pair_links(verify(stars, bodies, length, percent)), "links")
+    labels = connected(links)
+    named = members.select("sig", node.alias("node"))
+    placed = named.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    open_sigs = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    left = stored(placed.join(open_sigs, "sig", "left_semi"), "open")
+    a, b = left.alias("a"), left.alias("b")
+    rest = a.join(b, F.expr("a.sig = b.sig and a.node < b.node and a.label <> b.label")).select(
+        F.col("a.node.hi").alias("a_hi"), F.col("a.node.lo").alias("a_lo"), F.col("b.node.hi").alias("hi"), F.col("b.node.lo").alias("lo")).distinct()
+    known = stars.union(stars.select("hi", "lo", "a_hi", "a_lo"))
+    rest = stored(rest.join(known, ["a_hi", "a_lo", "hi", "lo"], "left_anti"), "pairs")
+    more = _pair_links(verify(rest, bodies, length, percent))
+    return connected(links.union(more))
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = SHINGLE_WORDS,
+                    percent: int = PERCENT) -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id), the smallest id reachable by links.
+
+    Two documents link when their sets of shingles share ``percent`` of their union. Equal texts are one text until
+    the end. NULL and empty texts and texts without words have no shingles and link with nothing: each is a
+    component of its own. Repeated rows are linked copies; a NULL id never names a component unless all
+    its ids are NULL; no documents give no rows. Sets are of 64-bit hashes. Only the named columns are read.
+    """
+    texts = identified(documents, doc_id, text)
+    sized = stored(texts.select("text", "hi", "lo").mapInPandas(
+        lambda frames: _sizes(frames, length), "hi long, lo long, n_shingles long, class long, n long"), "sizes")
+    # A class is common in some task, so there are fewer than a mean set size over COMMON_SHARE of them.
+    found = sized.filter("class >= 0").select("class").distinct().toPandas()["class"]
+    labels = linked_texts(texts, length, percent, np.sort(found.to_numpy(dtype=np.int64)))
+    sizes = sized.filter("class < 0").groupBy("hi", "lo").agg(F.max("n_shingles").alias("n_shingles"))
+    node = F.struct("hi", "lo")
+    rows = texts.select("doc_id", "hi", "lo").join(sizes, ["hi", "lo"]).withColumn("node", node)
+    rows = rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    rows = stored(rows, "components")
+    least = rows.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    keyed = rows.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("label")))
+    joined = keyed.join(least.withColumnRenamed("label", "l"), F.col("key") == F.col("l"), "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

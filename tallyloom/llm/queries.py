@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, license_scan, mixing, quality, secret_scan, url_filter
+from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, quality, secret_scan, url_filter
 
 # Rules of the url query.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -36,6 +36,10 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(_read(spark, folder, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, folder, "documents"), length=4, percent=85)
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan_secrets(_read(spark, folder, "documents").select("doc_id", "text"))
     of_kind = lambda kind: F.filter("findings", lambda s: s["kind"] == kind)
@@ -69,6 +73,6 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_license_scan, op5_secret_scan, op7_chat_format,
+    f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_secret_scan, op7_chat_format,
                                 op9_decontamination, op10_source_mix)
 }
