@@ -162,11 +162,12 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """
     places, sources = _placed(documents, doc_id, text, source)
     times = drawn_slots(sources, block_words, seed).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = (_overlaps(places, block_words).join(times, ["source_no", "block"])
+    # Spark takes the slots for as few as the sources they are drawn from, and would broadcast them.
+    taken = (_overlaps(places, block_words).join(times.hint("merge"), ["source_no", "block"])
              .groupBy("source_no", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
     keyed = places.withColumn("key_at", F.when(F.col("size") > 0, F.col("at")))
     t = taken.select(F.col("source_no").alias("t_no"), F.col("at").alias("t_at"), "taken")
-    joined = keyed.join(t, (F.col("source_no") == F.col("t_no")) & (F.col("key_at") == F.col("t_at")), "left")
+    joined = keyed.join(t.hint("merge"), (F.col("source_no") == F.col("t_no")) & (F.col("key_at") == F.col("t_at")), "left")
     return joined.select("doc_id", "source", "size", "source_size", "target",
                          F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
@@ -188,6 +189,6 @@ def mixed_pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     count = F.least("end", (F.col("block") + 1) * block_words) - start
     pieces = cut.select("source_no", "block", "at", "doc_id",
                         F.array_join(F.slice("words", (start - F.col("at") + 1).cast("int"), count.cast("int")), " ").alias("piece"))
-    return drawn_slots(sources, block_words, seed).join(pieces, ["source_no", "block"]).select(
+    return drawn_slots(sources, block_words, seed).hint("merge").join(pieces, ["source_no", "block"]).select(
         "shard", "source_no", "slot", "at", "doc_id", "piece")
 
