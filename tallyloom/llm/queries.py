@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, quality, secret_scan, url_filter
+from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, pii, quality, secret_scan, url_filter, warc
 
 # Rules of the url query.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -22,6 +22,11 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _of_kind(kind: str) -> Column:
+    """Number of base spans of a kind."""
+    return F.size(F.filter("spans", lambda s: ~s["added"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.filter_urls(_read(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
@@ -49,6 +54,10 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("findings")).alias("spans"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                     F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
@@ -62,6 +71,13 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(_read(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: ~s["added"])
+    return found.select("doc_id", *(_of_kind(kind) for kind in pii.KINDS), F.sha2(joined_spans(base), 256).alias("base_sha256"),
+                        joined_spans(F.col("spans")).alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     judged = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -73,6 +89,6 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_secret_scan, op7_chat_format,
-                                op9_decontamination, op10_source_mix)
+    f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_secret_scan, op6_warc,
+                                op7_chat_format, op8_personal_data, op9_decontamination, op10_source_mix)
 }

@@ -94,6 +94,17 @@ from d left join a using (k)
 """
 
 
+_OP6 = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+q as (select page_id, octet_length(payload) as n, sha256(payload) as digest from p),
+f as (select *, case when n >= 100 then min(page_id) over (partition by digest, n >= 100) end as first_id from q)
+select page_id, n as payload_bytes, digest as payload_digest,
+       case when first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+       case when first_id is not null and page_id is distinct from first_id then first_id end as refers_to
+from f
+"""
+
+
 def _op7() -> str:
     control = r"'([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|/?ROLE\])'"
     headers = {"user": chat.USER, "assistant": chat.ASSISTANT, "system": chat.SYSTEM}
@@ -133,5 +144,6 @@ from d left join n using (k) left join items using (k)
 """
 
 
-ORACLE = {"op1_url_filter": _OP1, "op3_license_scan": _op3(), "op5_secret_scan": _op5(), "op7_chat_format": _op7(),
+ORACLE = {"op1_url_filter": _OP1, "op3_license_scan": _op3(), "op5_secret_scan": _op5(), "op6_warc": _OP6,
+          "op7_chat_format": _op7(),
           "op9_decontamination": _op9()}
