@@ -27,10 +27,10 @@ _EDGE = ".,;:!?()[]{}<>\"'"
 #: Documents with a digit or an at sign that the field is fitted on, the first by a hash of their text.
 TRAINING_DOCUMENTS = 500
 #: Passes of messages at most, and the belief from which a token is labelled.
-PASSES, BELIEF = 12, 0.95
+PASSES, BELIEF = 12, 0.98
 LABELS = len(KINDS) + 1  # 0 is none
 _FEATURES = 14
-#: Places of two digits or more that make tokens of different writing the same.
+#: Tokens with this many digits or more are the same if their last digits are, however they are written.
 _ALIKE_DIGITS = 7
 
 
