@@ -21,6 +21,7 @@ COMMON_SHARE = 0.002
 FEWEST_COMMON = 16
 #: Members that are verified against one copy of their leader.
 LEADER_MEMBERS = 256
+_WORD = r"[^\x20\x09-\x0D]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -247,6 +248,21 @@ def linked_texts(texts: DataFrame, length: int, percent: int, common: np.ndarray
     return connected(links.union(more))
 
 
+def components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = SHINGLE_WORDS,
+               percent: int = PERCENT) -> DataFrame:
+    """One stored row (doc_id, hi, lo, n_shingles, label) per document; linked documents have one label."""
+    texts = identified(documents, doc_id, text)
+    sized = stored(texts.select("text", "hi", "lo").mapInPandas(
+        lambda frames: _sizes(frames, length), "hi long, lo long, n_shingles long, class long, n long"), "sizes")
+    # A class is common in some task, so there are fewer than a mean set size over COMMON_SHARE of them.
+    found = sized.filter("class >= 0").select("class").distinct().toPandas()["class"]
+    labels = linked_texts(texts, length, percent, np.sort(found.to_numpy(dtype=np.int64)))
+    sizes = sized.filter("class < 0").groupBy("hi", "lo").agg(F.max("n_shingles").alias("n_shingles"))
+    rows = texts.select("doc_id", "hi", "lo").join(sizes, ["hi", "lo"]).withColumn("node", F.struct("hi", "lo"))
+    rows = rows.join(labels, "node", "left")
+    return stored(rows.select("doc_id", "hi", "lo", "n_shingles", F.coalesce("label", "node").alias("label")), "components")
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = SHINGLE_WORDS,
                     percent: int = PERCENT) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id), the smallest id reachable by links.
@@ -256,18 +272,33 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     component of its own. Repeated rows are linked copies; a NULL id never names a component unless all
     its ids are NULL; no documents give no rows. Sets are of 64-bit hashes. Only the named columns are read.
     """
-    texts = identified(documents, doc_id, text)
-    sized = stored(texts.select("text", "hi", "lo").mapInPandas(
-        lambda frames: _sizes(frames, length), "hi long, lo long, n_shingles long, class long, n long"), "sizes")
-    # A class is common in some task, so there are fewer than a mean set size over COMMON_SHARE of them.
-    found = sized.filter("class >= 0").select("class").distinct().toPandas()["class"]
-    labels = linked_texts(texts, length, percent, np.sort(found.to_numpy(dtype=np.int64)))
-    sizes = sized.filter("class < 0").groupBy("hi", "lo").agg(F.max("n_shingles").alias("n_shingles"))
-    node = F.struct("hi", "lo")
-    rows = texts.select("doc_id", "hi", "lo").join(sizes, ["hi", "lo"]).withColumn("node", node)
-    rows = rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
-    rows = stored(rows, "components")
-    least = rows.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    rows = components(documents, doc_id, text, length, percent)
+    least = rows.filter("n_shingles > 0").groupBy(F.col("label").alias("own")).agg(F.min("doc_id").alias("least"))
     keyed = rows.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("label")))
-    joined = keyed.join(least.withColumnRenamed("label", "l"), F.col("key") == F.col("l"), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = keyed.join(least, F.col("key") == F.col("own"), "left")
+    named = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "n_shingles", named.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``documents`` with one row left of each component: the one with the smallest id (NULLs last), then text hash.
+
+    Documents without words are components of their own and all stay. Of rows with one id and one text one stays.
+    """
+    rows = components(documents, doc_id, text, **options).filter("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hi", "lo"))
+    chosen = rows.groupBy("label").agg(first.alias("w")).select("w.doc_id", "w.hi", "w.lo")
+    counts = rows.groupBy("doc_id", "hi", "lo").agg(F.count("*").alias("copies"))
+    same = lambda a, b: (a["hi"] == b["hi"]) & (a["lo"] == b["lo"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    counted = chosen.join(counts, same(chosen, counts)).select(chosen["doc_id"], chosen["hi"], chosen["lo"], "copies")
+    winners = stored(counted, "winners").select(F.col("doc_id").alias("w_id"), F.col("hi").alias("w_hi"), F.col("lo").alias("w_lo"), "copies")
+    names = documents.columns
+    body = whole(F.col(text))
+    held = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col(doc_id).alias("k_id"),
+                            F.xxhash64(body).alias("k_hi"), F.xxhash64(F.lit("second"), body).alias("k_lo"), body.rlike(_WORD).alias("words"))
+    met = F.col("k_id").eqNullSafe(F.col("w_id")) & (F.col("k_hi") == F.col("w_hi")) & (F.col("k_lo") == F.col("w_lo"))
+    joined = held.filter("words").join(winners, met)
+    once = joined.filter("copies = 1").select("row")
+    repeated = joined.filter("copies > 1").groupBy("k_id", "k_hi", "k_lo").agg(F.any_value("row").alias("row")).select("row")
+    left = once.union(repeated).union(held.filter("not words").select("row"))
+    return left.select(*(F.col("row").getField(n).alias(n) for n in names))
