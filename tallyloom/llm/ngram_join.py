@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _seed(n: int) -> np.uint64:
+    return np.uint64(n * int(_MIX) & (2**64 - 1))
+
+
 def shingle_set(text: str | None, length: int) -> np.ndarray:
     """Distinct 64-bit hashes of the text's shingles, sorted; a shorter text is one shingle, an empty one none.
 
@@ -59,16 +64,17 @@ class Bands:
         self.percent = percent
         self.limits = [1]
 
-    def band(self, size: int) -> int:
-        while self.limits[-1] <= size:
+    def _reach(self, size: int, groups: int = 0) -> None:
+        while self.limits[-1] <= size or len(self.limits) < groups:
             self.limits.append(self.limits[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.limits, size, side="right")) - 1
+
+    def band(self, size: int) -> int:
+        self._reach(size)
+        return bisect_right(self.limits, size) - 1
 
     def difference(self, group: int) -> int:
         """Most elements that are in only one of two linked sets of the group."""
-        self.band(self.limits[-1])
-        while len(self.limits) < group + 2:
-            self.band(self.limits[-1])
+        self._reach(0, group + 2)
         small = self.limits[group + 1] - 1
         return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
@@ -83,7 +89,7 @@ def signatures(items: np.ndarray, group: int, difference: int, common: np.ndarra
     """
     spare = 0 if difference == 0 else 1 + difference // 8
     n = difference + 1 + spare
-    salted = _mixed(items + np.uint64(group + 1) * _MIX)
+    salted = _mixed(items + _seed(group + 1))
     segment = ((salted >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
     total = np.bincount(segment, minlength=n)
@@ -91,7 +97,7 @@ def signatures(items: np.ndarray, group: int, difference: int, common: np.ndarra
     sums = np.zeros(n, np.uint64)
     filled = total > 0
     sums[filled] = np.add.reduceat(_mixed(salted[order]), starts[filled])
-    hashed = _mixed(sums + np.arange(1, n + 1, dtype=np.uint64) * _MIX + np.uint64(group) * np.uint64(0xD6E8FEB86659FD93))
+    hashed = _mixed(sums + np.arange(1, n + 1, dtype=np.uint64) * _MIX + _seed(-1 - group))
     if not spare:
         return hashed
     rare = total
