@@ -149,8 +149,11 @@ def contamination(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id"
 
 def clean_documents(documents: DataFrame, items: DataFrame, text: str = "text", share: int = SHARE, **options) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, unchanged."""
-    dirty = hits(documents, items, text, **options).select("text_key", covered(F.col("spans")).alias("n_hit"))
-    rows = documents.withColumn("__key", text_key(documents[text]))
-    joined = rows.join(dirty, rows["__key"] == dirty["text_key"], "left")
-    bad = (F.coalesce("n_hit", F.lit(0)) > 0) & (F.col("n_hit") * share >= F.size(plain_words(whole(rows[text]))))
-    return joined.filter(~bad).select(*(rows[c] for c in documents.columns))
+    dirty = hits(documents, items, text, **options).select(F.col("text_key").alias("dirty_key"), covered(F.col("spans")).alias("n_hit"))
+    names = documents.columns
+    held = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), text_key(F.col(text)).alias("key"),
+                            F.size(plain_words(whole(F.col(text)))).alias("n_words"))
+    joined = held.join(dirty, F.col("key") == F.col("dirty_key"), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    left = joined.filter(~((n_hit > 0) & (n_hit * share >= F.col("n_words"))))
+    return left.select(*(F.col("row").getField(n).alias(n) for n in names))

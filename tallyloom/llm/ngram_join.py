@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.storage import stored
@@ -16,10 +16,14 @@ from tallyloom.llm.words import whole
 
 #: Words of a shingle and percent of the union that two documents must share, as the library has them by default.
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Shingles are counted in this many classes per task; a class is common when it is in this share of a task's documents.
+#: Segments are counted in this many classes per task; classes with several are summed, and so many of the largest kept.
 COUNT_CLASSES = 1 << 22
-COMMON_SHARE = 0.002
-FEWEST_COMMON = 16
+SEVERAL = 3
+COSTLY_CLASSES = 1 << 18
+REMEMBERED_WORDS = 1 << 18
+#: Words of 64 bits that hold a set's parities.
+PARITY_WORDS = 8
+PARITIES = [f"p{n}" for n in range(PARITY_WORDS)]
 #: Members that are verified against one copy of their leader.
 LEADER_MEMBERS = 256
 _WORD = r"[^\x20\x09-\x0D]"
@@ -36,6 +40,19 @@ def _seed(n: int) -> np.uint64:
     return np.uint64(n * int(_MIX) & (2**64 - 1))
 
 
+class _Hashes(dict):
+    """Hashes of the words seen so far; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_HASHES = _Hashes()
+
+
 def shingle_set(text: str | None, length: int) -> np.ndarray:
     """Distinct 64-bit hashes of the text's shingles, sorted; a shorter text is one shingle, an empty one none.
 
@@ -44,7 +61,7 @@ def shingle_set(text: str | None, length: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    hashed = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     width = min(length, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for n in range(width):
@@ -79,16 +96,19 @@ class Bands:
         return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(items: np.ndarray, group: int, difference: int, common: np.ndarray) -> np.ndarray:
-    """Hashes of ``difference + 1`` segments of the set.
+def parities(items: np.ndarray) -> np.ndarray:
+    """For each of 64 times ``PARITY_WORDS`` classes whether the set has an odd number of elements in it.
 
-    The universe is dealt into ``difference + 1 + spare`` segments. Linked sets differ in at most ``difference`` of
-    them, so they agree on ``spare + 1`` at least. Both leave out their ``spare`` most costly segments in one order
-    that depends on a segment's content only: the cheapest of the shared ones has at least ``spare`` shared ones above it
-    and so is left out by neither. Costly are segments with few rare shingles: many unlike sets agree on them.
+    An element in only one of two sets changes one parity, so sets differ in at least as many elements as parities.
     """
-    spare = 0 if difference == 0 else 1 + difference // 8
-    n = difference + 1 + spare
+    n = 64 * PARITY_WORDS
+    odd = np.bincount(((items >> np.uint64(17)) % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def segments(items: np.ndarray, group: int, difference: int) -> np.ndarray:
+    """Hashes of what the set has in each of ``2 * difference + 1`` segments of the universe."""
+    n = 2 * difference + 1
     salted = _mixed(items + _seed(group + 1))
     segment = ((salted >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
@@ -97,15 +117,35 @@ def signatures(items: np.ndarray, group: int, difference: int, common: np.ndarra
     sums = np.zeros(n, np.uint64)
     filled = total > 0
     sums[filled] = np.add.reduceat(_mixed(salted[order]), starts[filled])
-    hashed = _mixed(sums + np.arange(1, n + 1, dtype=np.uint64) * _MIX + _seed(-1 - group))
-    if not spare:
-        return hashed
-    rare = total
-    if common.size:
-        classes = (items % np.uint64(COUNT_CLASSES)).astype(np.int64)
-        place = np.minimum(np.searchsorted(common, classes), common.size - 1)
-        rare = np.bincount(segment[common[place] != classes], minlength=n)
-    return hashed[np.lexsort((hashed, total, rare))[spare:]]
+    return _mixed(sums + np.arange(1, n + 1, dtype=np.uint64) * _MIX + _seed(-1 - group))
+
+
+def _class(signature: np.ndarray) -> np.ndarray:
+    return (signature % np.uint64(COUNT_CLASSES)).astype(np.int64)
+
+
+def signatures(items: np.ndarray, group: int, difference: int, costs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hashes of the ``difference + 1`` cheapest segments of the set.
+
+    Linked sets differ in at most ``difference`` segments, so they agree on ``difference + 1`` at least. Both leave out
+    their ``difference`` most costly ones, in one order that depends on the hash only: the cheapest segment they agree
+    on has ``difference`` such segments above it and so is left out by neither. The cost of a segment is the number
+    of sets that were counted with it, so sets that are alike in common parts only seldom become candidates.
+    """
+    hashed = segments(items, group, difference)
+    classes, counts = costs
+    cost = np.zeros(hashed.size, np.int64)
+    if classes.size:
+        own = _class(hashed)
+        place = np.minimum(np.searchsorted(classes, own), classes.size - 1)
+        cost = np.where(classes[place] == own, counts[place], 0)
+    return hashed[np.lexsort((hashed, cost))[:difference + 1]]
+
+
+def _groups(bands: Bands, size: int) -> list[tuple[int, int]]:
+    """Groups a set of this size takes part in, with their differences."""
+    own = bands.band(size)
+    return [(g, bands.difference(g)) for g in (own, own - 1) if g >= 0]
 
 
 def _once(frame: pd.DataFrame) -> pd.DataFrame:
@@ -113,24 +153,25 @@ def _once(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.groupby(["hi", "lo"], sort=False).agg(text=("text", "first"), copies=("text", "size")).reset_index()
 
 
-def _sizes(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """A row with the set size of every text, and at the end of a task a row per common class of shingles."""
-    counts, documents = np.zeros(COUNT_CLASSES, np.int32), 0
+def _sizes(frames: Iterator[pd.DataFrame], length: int, percent: int) -> Iterator[pd.DataFrame]:
+    """A row with the set size of every text, and at the end of a task a row per class that several segments fell in."""
+    bands, counts = Bands(percent), np.zeros(COUNT_CLASSES, np.int32)
     for frame in frames:
         own = _once(frame)
-        sizes = []
-        for text, copies in zip(own["text"], own["copies"], strict=True):
+        sizes, odd = [], np.zeros((len(own), PARITY_WORDS), np.int64)
+        for n, text in enumerate(own["text"]):
             items = shingle_set(text, length)
             sizes.append(len(items))
-            np.add.at(counts, (items % np.uint64(COUNT_CLASSES)).astype(np.int64), copies)
-        documents += len(frame)
-        yield pd.DataFrame({"hi": own["hi"], "lo": own["lo"], "n_shingles": sizes, "class": -1, "n": 0})
-    common = np.flatnonzero(counts >= max(FEWEST_COMMON, int(COMMON_SHARE * documents)))
-    if common.size:
-        yield pd.DataFrame({"hi": 0, "lo": 0, "n_shingles": 0, "class": common, "n": counts[common]})
+            odd[n] = parities(items)
+            for group, difference in _groups(bands, len(items)) if len(items) else ():
+                np.add.at(counts, _class(segments(items, group, difference)), 1)
+        yield pd.DataFrame({"hi": own["hi"], "lo": own["lo"], "n_shingles": sizes, "class": -1, "n": 0, **dict(zip(PARITIES, odd.T, strict=True))})
+    several = np.flatnonzero(counts >= SEVERAL)
+    if several.size:
+        yield pd.DataFrame({"hi": 0, "lo": 0, "n_shingles": 0, "class": several, "n": counts[several], **dict.fromkeys(PARITIES, 0)})
 
 
-def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, common: np.ndarray) -> Iterator[pd.DataFrame]:
+def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, costs: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
     """Rows (sig, hi, lo, copies) of every text."""
     bands = Bands(percent)
     for frame in frames:
@@ -139,8 +180,7 @@ def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, common: np.
             items = shingle_set(row.text, length)
             if not len(items):
                 continue
-            own = bands.band(len(items))
-            found = np.concatenate([signatures(items, g, bands.difference(g), common) for g in (own, own - 1) if g >= 0])
+            found = np.concatenate([signatures(items, g, difference, costs) for g, difference in _groups(bands, len(items))])
             parts.append(found)
             columns.append((row.hi, row.lo, row.copies, len(found)))
         if parts:
@@ -221,50 +261,68 @@ def _pair_links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).alias("a"), F.struct("hi", "lo").alias("b"))
 
 
-def linked_texts(texts: DataFrame, length: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Rows (node, label) of all texts that are linked with another one, for texts (hi, lo, text).
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether the parities leave room for a link; true for every linked pair."""
+    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES), F.lit(0))
+    return differ * (100 + percent) <= (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
+
+
+def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int, costs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (node, label) of all texts that are linked with another one, for texts (hi, lo, text) and their sizes.
 
     Texts that share a signature are candidates. Per signature, one of them, the one with most copies, is compared
     with the others; what is linked by that needs no further comparison inside its component. Then texts of one
-    signature that are still in different components are compared with each other.
+    signature that are still in different components are compared. Before a text is read again, the parities of
+    both sets have to allow a link.
     """
     rows = texts.select("text", "hi", "lo").mapInPandas(
-        lambda frames: _emit(frames, length, percent, common), "sig long, hi long, lo long, copies int")
+        lambda frames: _emit(frames, length, percent, costs), "sig long, hi long, lo long, copies int")
     group = Window.partitionBy("sig")
     node = F.struct("hi", "lo")
     lead = F.max(F.struct("copies", "hi", "lo")).over(group)
     rows = rows.withColumns({"lead": lead, "first": F.min(node).over(group), "last": F.max(node).over(group)})
     members = stored(rows.filter("first <> last").select("sig", "hi", "lo", F.col("lead.hi").alias("a_hi"),
                                                          F.col("lead.lo").alias("a_lo")).distinct(), "members")
-    involved = members.select("hi", "lo").distinct()
-    bodies = stored(texts.join(involved, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.any_value("text").alias("text")), "bodies")
-    stars = stored(members.filter("hi <> a_hi or lo <> a_lo").select("a_hi", "a_lo", "hi", "lo").distinct(), "pairs")
-    links = stored(_pair_links(verify(stars, bodies, length, percent)), "links")
+    info = stored(sizes.join(members.select("hi", "lo").distinct(), ["hi", "lo"], "left_semi"), "infos")
+    stars = members.filter("hi <> a_hi or lo <> a_lo").select("a_hi", "a_lo", "hi", "lo").distinct()
+    stars = (stars.alias("s").join(info.alias("b"), F.expr("s.hi = b.hi and s.lo = b.lo"))
+             .join(info.alias("a"), F.expr("s.a_hi = a.hi and s.a_lo = a.lo")).filter(_may_link("a", "b", percent)).select("s.*"))
+    stars = stored(stars, "pairs")
+    links = stored(_pair_links(verify(stars, _bodies(texts, stars), length, percent)), "links")
     labels = connected(links)
-    named = members.select("sig", node.alias("node"))
-    placed = named.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    placed = members.select("sig", node.alias("node")).join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     open_sigs = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-    left = stored(placed.join(open_sigs, "sig", "left_semi"), "open")
-    a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, F.expr("a.sig = b.sig and a.node < b.node and a.label <> b.label")).select(
-        F.col("a.node.hi").alias("a_hi"), F.col("a.node.lo").alias("a_lo"), F.col("b.node.hi").alias("hi"), F.col("b.node.lo").alias("lo")).distinct()
+    left = placed.join(open_sigs, "sig", "left_semi")
+    left = left.join(info, (F.col("node.hi") == info["hi"]) & (F.col("node.lo") == info["lo"])).select("sig", "node", "label", "n_shingles", *PARITIES)
+    left = stored(left, "open")
+    rest = left.alias("a").join(left.alias("b"), F.expr("a.sig = b.sig and a.node < b.node and a.label <> b.label") & _may_link("a", "b", percent))
+    rest = rest.select(F.col("a.node.hi").alias("a_hi"), F.col("a.node.lo").alias("a_lo"), F.col("b.node.hi").alias("hi"),
+                       F.col("b.node.lo").alias("lo")).distinct()
     known = stars.union(stars.select("hi", "lo", "a_hi", "a_lo"))
     rest = stored(rest.join(known, ["a_hi", "a_lo", "hi", "lo"], "left_anti"), "pairs")
-    more = _pair_links(verify(rest, bodies, length, percent))
+    more = _pair_links(verify(rest, _bodies(texts, rest), length, percent))
     return connected(links.union(more))
 
 
+def _bodies(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that the pairs name, each once."""
+    named = pairs.select("hi", "lo").union(pairs.select("a_hi", "a_lo")).distinct()
+    return stored(texts.join(named, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.any_value("text").alias("text")), "bodies")
+
+
 def components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = SHINGLE_WORDS,
                percent: int = PERCENT) -> DataFrame:
     """One stored row (doc_id, hi, lo, n_shingles, label) per document; linked documents have one label."""
     texts = identified(documents, doc_id, text)
     sized = stored(texts.select("text", "hi", "lo").mapInPandas(
-        lambda frames: _sizes(frames, length), "hi long, lo long, n_shingles long, class long, n long"), "sizes")
-    # A class is common in some task, so there are fewer than a mean set size over COMMON_SHARE of them.
-    found = sized.filter("class >= 0").select("class").distinct().toPandas()["class"]
-    labels = linked_texts(texts, length, percent, np.sort(found.to_numpy(dtype=np.int64)))
-    sizes = sized.filter("class < 0").groupBy("hi", "lo").agg(F.max("n_shingles").alias("n_shingles"))
-    rows = texts.select("doc_id", "hi", "lo").join(sizes, ["hi", "lo"]).withColumn("node", F.struct("hi", "lo"))
+        lambda frames: _sizes(frames, length, percent), "hi long, lo long, n_shingles long, class long, n long, " + ", ".join(f"{p} long" for p in PARITIES)), "sizes")
+    # Costs order the work and change no result; their number is bounded by a parameter.
+    found = (sized.filter("class >= 0").groupBy("class").agg(F.sum("n").alias("n"))
+             .orderBy(F.desc("n"), "class").limit(COSTLY_CLASSES).toPandas().sort_values("class"))
+    costs = (found["class"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    sizes = sized.filter("class < 0").select("hi", "lo", "n_shingles", *PARITIES).distinct()
+    labels = linked_texts(texts, sizes, length, percent, costs)
+    rows = texts.select("doc_id", "hi", "lo").join(sizes.select("hi", "lo", "n_shingles"), ["hi", "lo"]).withColumn("node", F.struct("hi", "lo"))
     rows = rows.join(labels, "node", "left")
     return stored(rows.select("doc_id", "hi", "lo", "n_shingles", F.coalesce("label", "node").alias("label")), "components")
 

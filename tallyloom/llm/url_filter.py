@@ -81,7 +81,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
                                 & F.expr("startswith(path, rule_path)"))
     name = F.concat("rule_host", "rule_path")
     best = fitting.groupBy("host", "path").agg(F.max(F.struct(
-        F.length(name), F.length("rule_host"), F.col("action") == "block", name.alias("rule"), "action")).alias("best"))
+        F.length(name), F.length("rule_host"), F.col("action") == "block", name.alias("rule"), "action")).alias("__best"))
     return (judged.join(best, ["host", "path"], "left")
-            .select(*(c for c in judged.columns), F.col("best.rule").alias("rule"),
-                    F.coalesce("best.action", F.lit(default)).alias("verdict")))
+            .select(*(c for c in judged.columns), F.col("__best.rule").alias("rule"),
+                    F.coalesce("__best.action", F.lit(default)).alias("verdict")))
