@@ -25,7 +25,7 @@ def test_base_rules(table):
 
 def test_added_rules_and_order(table):
     text = "secret=" + "ab12" * 9 + " -----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36
-    assert [k for k, *_ in _scan(table, text)[0]] == ["assign", "hex", "pem", "hosttoken"]
+    assert [k for k, *_ in _scan(table, text)[0]] == ["assign", "hex", "pem", "hosttoken", "hex"]
 
 
 def test_only_unseen_pairs_are_scanned(spark, table):
