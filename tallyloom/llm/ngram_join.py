@@ -16,10 +16,10 @@ from tallyloom.llm.words import whole
 
 #: Words of a shingle and percent of the union that two documents must share, as the library has them by default.
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Segments are counted in this many classes per task; classes with several are summed, and so many of the largest kept.
+#: Shingles are counted in this many classes per task; a class is common when it is in this share of a task's documents.
 COUNT_CLASSES = 1 << 22
-SEVERAL = 3
-COSTLY_CLASSES = 1 << 18
+COMMON_SHARE = 0.002
+FEWEST_COMMON = 16
 REMEMBERED_WORDS = 1 << 18
 #: Words of 64 bits that hold a set's parities.
 PARITY_WORDS = 8
@@ -28,6 +28,7 @@ PARITIES = [f"p{n}" for n in range(PARITY_WORDS)]
 LEADER_MEMBERS = 256
 _WORD = r"[^\x20\x09-\x0D]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64((1 << 26) - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,7 +68,11 @@ def shingle_set(text: str | None, length: int) -> np.ndarray:
     for n in range(width):
         out = (out ^ hashed[n:len(words) - width + 1 + n]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(_mixed(out))
+    out = np.sort(_mixed(out))
+    first = np.empty(out.size, bool)
+    first[0] = True
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
 
 
 class Bands:
@@ -106,40 +111,35 @@ def parities(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def segments(items: np.ndarray, group: int, difference: int) -> np.ndarray:
-    """Hashes of what the set has in each of ``2 * difference + 1`` segments of the universe."""
-    n = 2 * difference + 1
-    salted = _mixed(items + _seed(group + 1))
-    segment = ((salted >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    total = np.bincount(segment, minlength=n)
-    starts = np.cumsum(total) - total
-    sums = np.zeros(n, np.uint64)
-    filled = total > 0
-    sums[filled] = np.add.reduceat(_mixed(salted[order]), starts[filled])
-    return _mixed(sums + np.arange(1, n + 1, dtype=np.uint64) * _MIX + _seed(-1 - group))
-
+def _classes(items: np.ndarray) -> np.ndarray:
+    return (items % np.uint64(COUNT_CLASSES)).astype(np.int64)
 
-def _class(signature: np.ndarray) -> np.ndarray:
-    return (signature % np.uint64(COUNT_CLASSES)).astype(np.int64)
 
+def signatures(items: np.ndarray, group: int, difference: int, common: np.ndarray) -> np.ndarray:
+    """Hashes of ``difference + 1`` segments of the set; ``common`` are the classes of common shingles, in order.
 
-def signatures(items: np.ndarray, group: int, difference: int, costs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Hashes of the ``difference + 1`` cheapest segments of the set.
-
-    Linked sets differ in at most ``difference`` segments, so they agree on ``difference + 1`` at least. Both leave out
-    their ``difference`` most costly ones, in one order that depends on the hash only: the cheapest segment they agree
-    on has ``difference`` such segments above it and so is left out by neither. The cost of a segment is the number
-    of sets that were counted with it, so sets that are alike in common parts only seldom become candidates.
+    The universe is dealt into ``difference + 1 + spare`` segments. Linked sets differ in at most ``difference`` of
+    them, so they agree on ``spare + 1`` at least. Both leave out their ``spare`` most costly segments, in one order
+    that depends on a segment's content only: the cheapest segment they agree on has ``spare`` such segments above it
+    and so is left out by neither. Costly are segments with few rare shingles: many unlike sets agree on them.
     """
-    hashed = segments(items, group, difference)
-    classes, counts = costs
-    cost = np.zeros(hashed.size, np.int64)
-    if classes.size:
-        own = _class(hashed)
-        place = np.minimum(np.searchsorted(classes, own), classes.size - 1)
-        cost = np.where(classes[place] == own, counts[place], 0)
-    return hashed[np.lexsort((hashed, cost))[:difference + 1]]
+    spare = 0 if difference == 0 else 1 + difference // 8
+    n = difference + 1 + spare
+    salted = _mixed(items + _seed(group + 1))
+    segment = (((salted >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+    # Sums of 26 bits each are exact as floating point numbers for sets of up to 2 ** 27 shingles.
+    low, high = (np.bincount(segment, weights=part.astype(float), minlength=n).astype(np.uint64)
+                 for part in (salted & _HALF, (salted >> np.uint64(26)) & _HALF))
+    hashed = _mixed((high << np.uint64(26)) + low + np.arange(1, n + 1, dtype=np.uint64) * _MIX + _seed(-1 - group))
+    if not spare:
+        return hashed
+    total = np.bincount(segment, minlength=n)
+    rare = total
+    if common.size:
+        classes = _classes(items)
+        place = np.minimum(np.searchsorted(common, classes), common.size - 1)
+        rare = np.bincount(segment[common[place] != classes], minlength=n)
+    return hashed[np.lexsort((hashed, total, rare))[spare:]]
 
 
 def _groups(bands: Bands, size: int) -> list[tuple[int, int]]:
@@ -153,25 +153,25 @@ def _once(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.groupby(["hi", "lo"], sort=False).agg(text=("text", "first"), copies=("text", "size")).reset_index()
 
 
-def _sizes(frames: Iterator[pd.DataFrame], length: int, percent: int) -> Iterator[pd.DataFrame]:
-    """A row with the set size of every text, and at the end of a task a row per class that several segments fell in."""
-    bands, counts = Bands(percent), np.zeros(COUNT_CLASSES, np.int32)
+def _sizes(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """A row with the set size of every text, and at the end of a task a row per common class of shingles."""
+    counts, documents = np.zeros(COUNT_CLASSES, np.int32), 0
     for frame in frames:
         own = _once(frame)
         sizes, odd = [], np.zeros((len(own), PARITY_WORDS), np.int64)
-        for n, text in enumerate(own["text"]):
+        for n, (text, copies) in enumerate(zip(own["text"], own["copies"], strict=True)):
             items = shingle_set(text, length)
             sizes.append(len(items))
             odd[n] = parities(items)
-            for group, difference in _groups(bands, len(items)) if len(items) else ():
-                np.add.at(counts, _class(segments(items, group, difference)), 1)
+            np.add.at(counts, _classes(items), copies)
+        documents += len(frame)
         yield pd.DataFrame({"hi": own["hi"], "lo": own["lo"], "n_shingles": sizes, "class": -1, "n": 0, **dict(zip(PARITIES, odd.T, strict=True))})
-    several = np.flatnonzero(counts >= SEVERAL)
-    if several.size:
-        yield pd.DataFrame({"hi": 0, "lo": 0, "n_shingles": 0, "class": several, "n": counts[several], **dict.fromkeys(PARITIES, 0)})
+    common = np.flatnonzero(counts >= max(FEWEST_COMMON, int(COMMON_SHARE * documents)))
+    if common.size:
+        yield pd.DataFrame({"hi": 0, "lo": 0, "n_shingles": 0, "class": common, "n": counts[common], **dict.fromkeys(PARITIES, 0)})
 
 
-def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, costs: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
+def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, common: np.ndarray) -> Iterator[pd.DataFrame]:
     """Rows (sig, hi, lo, copies) of every text."""
     bands = Bands(percent)
     for frame in frames:
@@ -180,7 +180,7 @@ def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, costs: tupl
             items = shingle_set(row.text, length)
             if not len(items):
                 continue
-            found = np.concatenate([signatures(items, g, difference, costs) for g, difference in _groups(bands, len(items))])
+            found = np.concatenate([signatures(items, g, difference, common) for g, difference in _groups(bands, len(items))])
             parts.append(found)
             columns.append((row.hi, row.lo, row.copies, len(found)))
         if parts:
@@ -267,7 +267,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
 
 
-def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int, costs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int, common: np.ndarray) -> DataFrame:
     """Rows (node, label) of all texts that are linked with another one, for texts (hi, lo, text) and their sizes.
 
     Texts that share a signature are candidates. Per signature, one of them, the one with most copies, is compared
@@ -276,7 +276,7 @@ def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int,
     both sets have to allow a link.
     """
     rows = texts.select("text", "hi", "lo").mapInPandas(
-        lambda frames: _emit(frames, length, percent, costs), "sig long, hi long, lo long, copies int")
+        lambda frames: _emit(frames, length, percent, common), "sig long, hi long, lo long, copies int")
     group = Window.partitionBy("sig")
     node = F.struct("hi", "lo")
     lead = F.max(F.struct("copies", "hi", "lo")).over(group)
@@ -315,13 +315,13 @@ def components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One stored row (doc_id, hi, lo, n_shingles, label) per document; linked documents have one label."""
     texts = identified(documents, doc_id, text)
     sized = stored(texts.select("text", "hi", "lo").mapInPandas(
-        lambda frames: _sizes(frames, length, percent), "hi long, lo long, n_shingles long, class long, n long, " + ", ".join(f"{p} long" for p in PARITIES)), "sizes")
-    # Costs order the work and change no result; their number is bounded by a parameter.
-    found = (sized.filter("class >= 0").groupBy("class").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "class").limit(COSTLY_CLASSES).toPandas().sort_values("class"))
-    costs = (found["class"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+        lambda frames: _sizes(frames, length), "hi long, lo long, n_shingles long, class long, n long, " + ", ".join(f"{p} long" for p in PARITIES)), "sizes")
+    # A class is common in some task, so there are at most a mean set size over COMMON_SHARE of them per task; they
+    # order the work and change no result.
+    found = sized.filter("class >= 0").select("class").distinct().toPandas()["class"]
+    common = np.sort(found.to_numpy(dtype=np.int64))
     sizes = sized.filter("class < 0").select("hi", "lo", "n_shingles", *PARITIES).distinct()
-    labels = linked_texts(texts, sizes, length, percent, costs)
+    labels = linked_texts(texts, sizes, length, percent, common)
     rows = texts.select("doc_id", "hi", "lo").join(sizes.select("hi", "lo", "n_shingles"), ["hi", "lo"]).withColumn("node", F.struct("hi", "lo"))
     rows = rows.join(labels, "node", "left")
     return stored(rows.select("doc_id", "hi", "lo", "n_shingles", F.coalesce("label", "node").alias("label")), "components")
