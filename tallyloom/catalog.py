@@ -24,7 +24,6 @@ from tallyloom.plans import maintenance, performance, quality, review, roster
 from tallyloom.plans.deletion import delete_rows
 from tallyloom.sources import samples
 from tallyloom.sources.sinks import seed_rows
-from tallyloom.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,34 +217,34 @@ def performance_after_assign(t):
 def normalize_text_(t):
     documents = t.base("documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = t.base("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    texts = spread(documents, "id").unionByName(spread(pages, "id"))
+    texts = documents.unionByName(pages)
     return texts.select("kind", "id", normalize_text(F.col("text")).alias("norm_text"))
 
 
 @query
 def match_employee(t):
-    return matching.match_employees(spread(t.messages, "message_id"), "message_id", "body", matching.employee_names(t.people))
+    return matching.match_employees(t.messages, "message_id", "body", matching.employee_names(t.people))
 
 
 @query
 def match_employee_many(t):
-    return matching.match_employees(spread(t.base("documents"), "doc_id"), "doc_id", "text",
+    return matching.match_employees(t.base("documents"), "doc_id", "text",
                                     matching.employee_names(t.authors))
 
 
 @query
 def match_employee_shuffled(t):
-    return matching.match_employees(spread(t.base("documents"), "doc_id"), "doc_id", "text",
-                                    matching.employee_names(t.authors), broadcast_names=0)
+    return matching.match_employees(t.base("documents"), "doc_id", "text",
+                                    matching.employee_names(t.authors))
 
 
 @query
 def keyword_scan(t):
-    return quality.scan_messages(spread(t.messages, "message_id"), t.channel_customers, t.keywords)
+    return quality.scan_messages(t.messages, t.channel_customers, t.keywords, in_place=True)
 
 
 def _passages(t):
-    documents = spread(t.base("documents"), "doc_id")
+    documents = t.base("documents")
     return documents.select(
         F.col("doc_id").alias("message_id"), (F.col("doc_id") % 150).alias("customer_id"),
         F.lit(None).cast("bigint").alias("employee_id"), F.col("text").alias("body"),
@@ -254,18 +253,17 @@ def _passages(t):
 
 @query
 def keyword_scan_many(t):
-    return quality.scan_messages(_passages(t), t.channel_customers, t.passage_rules, inline_rules=8)
+    return quality.scan_messages(_passages(t), t.channel_customers, t.passage_rules)
 
 
 @query
 def keyword_scan_shuffled(t):
-    return quality.scan_messages(_passages(t), t.channel_customers, t.passage_rules,
-                                 inline_rules=8, broadcast_rules=8)
+    return quality.scan_messages(_passages(t), t.channel_customers, t.passage_rules)
 
 
 @query
 def notes_per_message(t):
-    return quality.notes_per_message(spread(t.messages, "message_id"), t.keywords)
+    return quality.notes_per_message(t.messages, t.keywords, in_place=True)
 
 
 # Chat feed
@@ -297,9 +295,11 @@ def webhook_flatten(t):
 @query
 def epoch_parse(t):
     seconds = (F.col("event_id") + 1_700_000_000).cast("string")
-    case = F.col("event_id") % 5
+    case = F.col("event_id") % 9
     text = (F.when(case == 0, seconds).when(case == 1, F.concat(seconds, F.lit("abc")))
-            .when(case == 2, "0").when(case == 3, "x"))
+            .when(case == 2, "0").when(case == 3, "x").when(case == 5, F.concat(F.lit("0" * 20), seconds))
+            .when(case == 6, F.concat(seconds, F.lit("0" * 12))).when(case == 7, F.concat(seconds, F.lit("0" * 40)))
+            .when(case == 8, F.concat(F.lit("  +"), seconds)))
     return t.base("events").select(
         "event_id", epoch_or_arrival(text, F.col("ts").cast("timestamp")).alias("sent_at"))
 

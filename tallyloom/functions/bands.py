@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.defaults import DEFAULT_BANDS, NO_BAND
-from tallyloom.schemas import BAND_LIST, PERCENT
-
-MOST_BANDS = 1000
+from tallyloom.schemas import BAND_LIST, LIMIT, PERCENT
 
 
 @dataclass(frozen=True)
@@ -37,17 +35,15 @@ def default_bands() -> list[Band]:
 
 
 def threshold_rows(settings: DataFrame, *keep: str) -> DataFrame:
-    """One row per band of every settings row."""
+    """One row per band of every settings row, the limit as it is written, to twelve places."""
     thresholds = F.from_json(F.get_json_object("value", "$.status_thresholds"), BAND_LIST)
     return (settings.select(*keep, F.inline(thresholds))
-            .select(*keep, "label", F.col("min").alias("min_pct"), "color"))
+            .select(*keep, "label", F.col("min").try_cast(LIMIT).alias("min_pct"), "color"))
 
 
 def load_bands(settings: DataFrame, key: str = "system") -> list[Band]:
-    """Bands of one settings row. No row or no thresholds means no bands."""
-    rows = threshold_rows(settings.filter(F.col("key") == key)).limit(MOST_BANDS + 1).collect()
-    if len(rows) > MOST_BANDS:
-        raise ValueError(f"more than {MOST_BANDS} status bands in one settings row")
+    """Bands of one settings row, which is one document. No row or no thresholds means no bands."""
+    rows = threshold_rows(settings.filter(F.col("key") == key)).collect()
     return _highest_first([Band(r["label"], r["min_pct"]) for r in rows if r["min_pct"] is not None])
 
 
@@ -72,11 +68,14 @@ def status_of_ratio(achieved: Column, target: Column, bands: list[Band]) -> Colu
 def percentage_of_target(achieved: Column, target: Column) -> Column:
     """``achieved / target * 100`` rounded half away from zero to two places; 0 without a target.
 
-    A decimal quotient would be rounded once by the division and again here, so the hundredths are
-    counted with an integer division instead.
+    A decimal quotient is rounded by the division, so its floor is corrected by the remainder it leaves. A
+    percentage that does not fit its type is NULL, which ``check_performance`` reports.
     """
-    doubled = F.abs(achieved) * 20000 + target
-    hundredths = F.call_function("div", doubled, target * 2)
+    doubled = (F.abs(achieved) * 20000 + target).try_cast("decimal(38,2)")
+    width = (target * 2).try_cast("decimal(20,2)")
+    rough = F.floor(F.try_divide(doubled, width)).try_cast("decimal(30,0)")
+    left = F.try_subtract(doubled, F.try_multiply(rough, width))
+    hundredths = F.when(left < 0, rough - 1).when(left >= width, rough + 1).otherwise(rough)
     signed = F.when(achieved < 0, -hundredths).otherwise(hundredths)
-    return (F.when(target > 0, (signed.cast("decimal(19,0)") * F.lit(Decimal("0.01"))).cast(PERCENT))
+    return (F.when(target > 0, (signed * F.lit(Decimal("0.01"))).try_cast(PERCENT))
             .otherwise(F.lit(Decimal("0.00")).cast(PERCENT)))

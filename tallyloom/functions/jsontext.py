@@ -31,8 +31,12 @@ def public_settings(value: Column, default_name: str = "") -> list[Column]:
 
 
 def epoch_or_arrival(epoch_text: Column, arrived_at: Column) -> Column:
-    """Timestamp of a text that starts with epoch seconds; the arrival second for anything else or 0."""
-    digits = F.regexp_extract(epoch_text, r"^\s*([+-]?\d{1,18})", 1)
-    seconds = F.nullif(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
-    usable = F.when(F.abs(seconds) <= _SECONDS_IN_RANGE, seconds)
+    """Timestamp of a text that starts with epoch seconds; the arrival second for anything else, 0 or out of range.
+
+    All digits count, leading zeros do not; more digits than a decimal holds are out of range anyway.
+    """
+    number = r"^\s*([+-]?)0*(\d+)"
+    digits = F.concat(F.regexp_extract(epoch_text, number, 1), F.regexp_extract(epoch_text, number, 2))
+    seconds = F.nullif(digits.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    usable = F.when(F.abs(seconds) <= _SECONDS_IN_RANGE, seconds.try_cast("bigint"))
     return F.coalesce(F.timestamp_seconds(usable), F.date_trunc("second", arrived_at))

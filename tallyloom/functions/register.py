@@ -26,5 +26,5 @@ def register_functions(spark: SparkSession, bands: list[Band]) -> None:
     highest_first = sorted(bands, key=lambda band: (-band.min_pct, band.label))
     steps = " ".join(f"when percentage >= {band.min_pct} then {_quoted(band.label)}" for band in highest_first)
     body = f"case {steps} else {_quoted(NO_BAND)} end" if steps else _quoted(NO_BAND)
-    spark.sql(f"create or replace temporary function status_label(percentage decimal(21,2)) returns string return {body}")
+    spark.sql(f"create or replace temporary function status_label(percentage decimal(38,12)) returns string return {body}")
 

@@ -14,7 +14,7 @@ from tallyloom import schemas
 from tallyloom.functions.bands import load_bands
 from tallyloom.functions.periods import Periods
 from tallyloom.plans import performance, review
-from tallyloom.sources.sinks import log_run, replace_snapshot, write_sales
+from tallyloom.sources.sinks import append, log_audit, log_run, replace_snapshot, write_sales
 from tallyloom.sources.tables import read_or_empty, read_sales, read_table
 
 
@@ -52,7 +52,7 @@ def _logged(store: Warehouse, run_id: str, triggered_by: str, work: Callable[[],
         status = "success"
         return records
     except Exception as error:
-        message = str(error)[:1000]
+        message = str(error)
         raise
     finally:
         log_run(store.spark, store.path("run_log"), run_id=run_id, started_at=started, finished_at=_now(),
@@ -63,14 +63,17 @@ def recompute_performance(store: Warehouse, as_of: date, run_id: str, *, assignm
                           triggered_by: str = "auto") -> int:
     """Recompute the current periods of ``as_of`` and put them into the stored snapshots.
 
-    ``assignments`` (sale_id, employee_id, assigned_at) are applied on the fly. Returns the number of
-    rows written, counted while they are written.
+    The stored assignments are applied to the sales as they are read, so a recompute keeps every one of them;
+    ``assignments`` (sale_id, employee_id, assigned_at) are added to them for this run. Returns the number
+    of rows written, counted while they are written.
     """
     def work() -> int:
         periods = Periods(as_of)
         sales = read_sales(store.spark, store.path("sales"), periods.scan_from, periods.scan_until)
+        kept = read_or_empty(store.spark, store.path("assignments"), schemas.ASSIGNMENTS)
         if assignments is not None:
-            sales = review.with_assignments(sales, assignments, "assigned_at")
+            kept = kept.unionByName(assignments.select(*schemas.ASSIGNMENTS.fieldNames()))
+        sales = review.with_assignments(sales, kept, "assigned_at")
         fresh = performance.performance_snapshot(
             sales, store.read("employees"), store.read("team_leaders"), store.read("targets"), periods,
             load_bands(store.read("settings")), _now())
@@ -82,6 +85,35 @@ def recompute_performance(store: Warehouse, as_of: date, run_id: str, *, assignm
     return _logged(store, run_id, triggered_by, work)
 
 
+def assign_sales(store: Warehouse, assignments: DataFrame, *, user_id: int, user_name: str, role: str) -> None:
+    """Store manual assignments (sale_id, employee_id; NULL clears) and an audit row for each.
+
+    Both are appended tables; a later recompute applies them. Assignments with their time given keep it.
+    """
+    now = _now()
+    timed = assignments if "assigned_at" in assignments.columns else assignments.withColumn("assigned_at", F.lit(now))
+    rows = timed.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ASSIGNMENTS])
+    append(rows, store.path("assignments"))
+    details = F.to_json(F.struct("employee_id"), {"ignoreNullFields": "false"})
+    audit = rows.select(F.lit(user_id).cast("bigint").alias("user_id"), F.lit(user_name).alias("user_name"), F.lit(role).alias("role"),
+                        F.lit("assign").alias("action"), F.lit("sale").alias("entity_type"), F.col("sale_id").alias("entity_id"),
+                        details.alias("details"), F.lit(now).cast("timestamp").alias("logged_at"))
+    append(audit, store.path("audit_log"))
+
+
+def store_dimension(store: Warehouse, name: str, changed: DataFrame, *, user_id: int, user_name: str, role: str, action: str) -> None:
+    """Put a changed dimension (the result of an upsert, a replacement or a deletion) into the warehouse, with an audit row.
+
+    The rows are written beside the table first and then read back from there, since they were made from it.
+    """
+    schema = getattr(schemas, name.upper())
+    aside = store.path(f"_{name}_next")
+    changed.select(*schema.fieldNames()).write.mode("overwrite").parquet(aside)
+    read_table(store.spark, aside, schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store.path(name))
+    log_audit(store.spark, store.path("audit_log"), user_id=user_id, user_name=user_name, role=role, action=action,
+              entity_type=name, logged_at=_now())
+
+
 def load_sales(store: Warehouse, arrived: DataFrame, order: list[str], run_id: str, triggered_by: str = "auto") -> int:
     """Append the sales that are new by invoice. A repeated load of identified sales adds nothing."""
     def work() -> int:

@@ -11,10 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import match_name, normalize_text, words
-from tallyloom.operators.sizing import has_at_most
-
-BROADCAST_NAMES = 200_000
-SALTS = 16
 
 
 def employee_names(employees: DataFrame) -> DataFrame:
@@ -42,27 +38,23 @@ def _name_pairs(names: DataFrame) -> DataFrame:
                     F.when(rarer_first, F.col("last_word")).otherwise(F.col("first_word")).alias("other")))
 
 
-def match_employees(texts: DataFrame, key: str, text: str, names: DataFrame, *,
-                    broadcast_names: int = BROADCAST_NAMES, salts: int = SALTS) -> DataFrame:
-    """``key`` and ``employee_id`` of every text that names someone. ``key`` is unique per text."""
+def match_employees(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """``key`` and ``employee_id`` of every text that names someone. ``key`` is unique per text.
+
+    Only keys travel with a text's words; the words are joined again by key where a rarer word was met.
+    """
     pairs = _name_pairs(names)
-    tokens = texts.select(key, words(normalize_text(F.col(text))).alias("tokens"))
+    tokens = texts.select(key, F.array_distinct(words(normalize_text(F.col(text)))).alias("tokens"))
     # Unfolding an expression keeps Spark from testing the whole cleaning once more in a filter below.
-    word = F.explode(F.array_distinct("tokens")).alias("word")
-    if has_at_most(names, broadcast_names):
-        candidates = tokens.select(key, "tokens", word).join(F.broadcast(pairs), "word")
-    else:
-        salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt")
-        copies = pairs.withColumn("salt", F.explode(F.array(*[F.lit(n) for n in range(salts)])))
-        matched = tokens.select(key, salt, word).join(copies, ["word", "salt"]).select(key, "employee_id", "other")
-        candidates = matched.join(tokens, key)
+    word = F.explode(F.concat("tokens")).alias("word")
+    candidates = tokens.select(key, word).join(pairs, "word").select(key, "employee_id", "other").join(tokens, key)
     found = candidates.filter(F.array_contains("tokens", F.col("other")))
     return found.groupBy(key).agg(F.min("employee_id").alias("employee_id"))
 
 
-def assign_employees(messages: DataFrame, key: str, text: str, names: DataFrame, **limits) -> DataFrame:
+def assign_employees(messages: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """Messages with a missing employee filled in from their text."""
     open_messages = messages.filter(F.col("employee_id").isNull())
-    found = match_employees(open_messages, key, text, names, **limits).withColumnRenamed("employee_id", "_found")
+    found = match_employees(open_messages, key, text, names).withColumnRenamed("employee_id", "_found")
     return (messages.join(found, key, "left")
             .withColumn("employee_id", F.coalesce("employee_id", "_found")).drop("_found"))

@@ -1,17 +1,13 @@
 """Substring scan of texts against a table of phrases.
 
-Written as one join on ``contains`` this is a nested loop over texts x phrases. Here it is exact in
-three ways, chosen by the counted size of the rule table:
-
-* few rules: they become one constant and each text is tested in place, without a join;
-* more rules: every phrase gets an anchor. That is an inner word few rules share, which a text that
-  holds the phrase has as a whole word; for other phrases a substring of 8, 4, 3, 2 or 1 letters, the
-  longest size that fits. A text is unfolded into its distinct words, and substrings of the sizes in use,
-  joined to the anchors by equality and checked with ``contains``. The counted anchors are broadcast
-  and the texts stay where they are;
-* rules beyond the broadcast bound: the same equality join, shuffled. Anchors are copied once per
-  salt and a text's substrings carry the salt of their text, so one frequent anchor spreads over many
-  tasks. Only keys travel; the texts are joined once more by key for the check.
+Written as one join on ``contains`` this is a nested loop over texts x phrases. Here it is one join by equality:
+every phrase gets an anchor. That is an inner word few rules share, which a text that holds the phrase
+has as a whole word; for other phrases a substring of 8, 4, 3, 2 or 1 letters, the longest size that
+fits. A text is unfolded into its distinct words, and substrings of the sizes in use, joined to the
+anchors and checked with ``contains``. Only keys travel through the join; the texts are joined once more by key
+for the check. Spark broadcasts the anchors where their size in bytes allows it, and otherwise shuffles and splits
+frequent anchors at run time. A caller with a handful of rules can have them tested in place (``in_place``): then
+they become one constant of the plan and no text is shuffled. The results are the same.
 
 A text is unfolded into each anchor once and a phrase has one anchor, so a (text, phrase) pair comes up once.
 """
@@ -24,14 +20,10 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import grams, normalize_text
-from tallyloom.operators.sizing import has_at_most, rows_if_at_most
 
-INLINE_RULES = 256
-BROADCAST_RULES = 50_000
 GRAM_SIZES = (8, 4, 3, 2, 1)
 RULES_PER_WORD = 8
 WORD_MARK = "\n"
-SALTS = 16
 
 _RULES = "array<struct<keyword_id: bigint, matched_phrase: string, label: string, norm_phrase: string>>"
 
@@ -96,38 +88,29 @@ def _anchors_of(text: Column, kinds: list[int]) -> Column:
 
 
 def find_phrases(texts: DataFrame, key: str, text: str, keywords: DataFrame, *, keep: tuple[str, ...] = (),
-                 inline_rules: int = INLINE_RULES, broadcast_rules: int = BROADCAST_RULES,
-                 salts: int = SALTS) -> DataFrame:
+                 in_place: bool = False) -> DataFrame:
     """All (text, rule) hits: ``key``, the columns to ``keep``, keyword_id, matched_phrase, label.
 
-    ``key`` is unique per text.
+    ``key`` is unique per text. With ``in_place`` all active rules are brought into the plan.
     """
     rules = active_rules(keywords)
-    inline = rows_if_at_most(rules, inline_rules)
     norm = texts.select(key, *keep, normalize_text(F.col(text)).alias("norm_text"))
-    if inline is not None:
-        return norm.select(key, *keep, F.inline(_inline_hits(F.col("norm_text"), inline)))
-
+    if in_place:
+        return norm.select(key, *keep, F.inline(_inline_hits(F.col("norm_text"), rules.collect())))
     anchored = _anchored(rules)
-    found = _anchors_of(F.col("norm_text"), _kinds_in_use(anchored))
-    if has_at_most(rules, broadcast_rules):
-        unfolded = norm.select(key, *keep, "norm_text", F.explode(found).alias("anchor"))
-        candidates = unfolded.join(F.broadcast(anchored), "anchor")
-    else:
-        salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-        keyed = norm.select(key, salt.alias("salt"), F.explode(found).alias("anchor"))
-        copies = anchored.withColumn("salt", F.explode(F.array(*[F.lit(n) for n in range(salts)])))
-        candidates = keyed.join(copies, ["anchor", "salt"]).join(norm, key)
+    kinds = _kinds_in_use(anchored)
+    found = _anchors_of(F.col("norm_text"), kinds) if kinds else F.array().cast("array<string>")
+    candidates = norm.select(key, F.explode(found).alias("anchor")).join(anchored, "anchor").drop("anchor").join(norm, key)
     return (candidates.filter(F.contains("norm_text", "norm_phrase"))
             .select(key, *keep, "keyword_id", "matched_phrase", "label"))
 
 
-def count_phrases(texts: DataFrame, key: str, text: str, keywords: DataFrame, **limits) -> DataFrame:
+def count_phrases(texts: DataFrame, key: str, text: str, keywords: DataFrame, *, in_place: bool = False) -> DataFrame:
     """Number of hits of every text, zero included."""
-    inline = rows_if_at_most(active_rules(keywords), limits.get("inline_rules", INLINE_RULES))
-    if inline is not None:
+    if in_place:
         norm = texts.select(key, normalize_text(F.col(text)).alias("norm_text"))
-        return norm.select(key, F.size(_inline_hits(F.col("norm_text"), inline)).cast("bigint").alias("n_notes"))
-    counts = find_phrases(texts, key, text, keywords, **limits).groupBy(key).agg(F.count("*").alias("n_notes"))
+        hits = F.size(_inline_hits(F.col("norm_text"), active_rules(keywords).collect()))
+        return norm.select(key, hits.cast("bigint").alias("n_notes"))
+    counts = find_phrases(texts, key, text, keywords).groupBy(key).agg(F.count("*").alias("n_notes"))
     return texts.select(key).join(counts, key, "left").select(
         key, F.coalesce("n_notes", F.lit(0).cast("bigint")).alias("n_notes"))

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.jsontext import epoch_or_arrival
 from tallyloom.functions.text import none_if_empty
-from tallyloom.operators.keyed import new_rows
+from tallyloom.operators.keyed import first_per_key, new_rows
 from tallyloom.schemas import CHAT_MESSAGE, PAYLOAD
 
 ARRIVAL = ["received_at", "payload_id", "position"]
-_POSITIONS = 1_000_000
 
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
-    """Deliveries with their JSON parsed; ``payloads`` needs payload_id, payload and received_at."""
+    """Deliveries with their JSON parsed; ``payloads`` needs payload_id, payload and received_at.
+
+    A delivery without an id is named by its content.
+    """
+    known = F.coalesce("payload_id", F.sha2(F.coalesce("payload", F.lit("")), 256))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
-    return payloads.withColumn("doc", F.from_json("payload", PAYLOAD, options))
+    return payloads.withColumns({"payload_id": known, "doc": F.from_json("payload", PAYLOAD, options)})
 
 
 def rejected_payloads(parsed: DataFrame) -> DataFrame:
@@ -60,15 +63,14 @@ def flatten_payloads(parsed: DataFrame) -> DataFrame:
     changes = entries.select(*delivery, "entry_no", _each("entry.changes", "change_no", "change"))
     elements = changes.select(*delivery, "entry_no", "change_no", F.col("change.value.contacts").alias("contacts"),
                               _each("change.value.messages", "message_no", "raw"))
-    position = ((F.col("entry_no").cast("bigint") * _POSITIONS + F.col("change_no")) * _POSITIONS
-                + F.col("message_no"))
+    numbers = ["entry_no", "change_no", "message_no"]
     parsed_messages = elements.select(
-        "payload_id", "received_at", position.alias("position"), "contacts", "raw",
+        "payload_id", "received_at", F.struct(*numbers).alias("position"), *numbers, "contacts", "raw",
         F.from_json("raw", CHAT_MESSAGE).alias("m"))
     sender = F.col("m.from")
     return parsed_messages.select(
         "payload_id", "received_at", "position",
-        F.concat_ws("/", "payload_id", "position").alias("message_id"),
+        F.concat_ws("/", "payload_id", *numbers).alias("message_id"),
         F.col("m.id").alias("channel_message_id"), sender.alias("channel_id"),
         _contact_name(F.col("contacts"), sender).alias("customer_name"),
         F.lit(None).cast("bigint").alias("employee_id"), F.lit("inbound").alias("direction"),
@@ -76,6 +78,11 @@ def flatten_payloads(parsed: DataFrame) -> DataFrame:
         "raw")
 
 
+def once_per_delivery(messages: DataFrame) -> DataFrame:
+    """Messages of deliveries that a collector sent again are left out: the first of each message_id stays."""
+    return first_per_key(messages, ["message_id"], ["received_at"])
+
+
 def with_direction(messages: DataFrame) -> DataFrame:
     return messages.withColumn("direction", F.coalesce("direction", F.lit("inbound")))
 
@@ -114,28 +121,39 @@ def feed_health(messages: DataFrame, arrived_at: str = "received_at") -> DataFra
 
 
 def names_on_arrival(events: DataFrame, arrived: DataFrame, stored: DataFrame) -> DataFrame:
-    """message_id and the customer name each event saw when it arrived.
+    """message_id and the customer name each event saw when it arrived, one row per message_id.
 
     That is the last name its customer gave up to and with the event, else the stored one, else the
-    channel id. ``events`` are some of the ``arrived`` rows. Names are carried forward in two steps,
-    from second to second and within a second, so one busy customer is not one window group.
+    channel id; an event without a sender has no name. ``events`` are some of the ``arrived`` rows. Names are carried
+    forward from day to day, from second to second of a day and within a second, so that one busy customer
+    is many small window groups.
     """
-    second = F.date_trunc("second", F.col("received_at")).alias("second")
+    day, second = F.date_trunc("day", F.col("received_at")).alias("day"), F.date_trunc("second", F.col("received_at")).alias("second")
     order = F.struct(*ARRIVAL)
-    wanted = events.select("channel_id", second).distinct()
-    per_second = (arrived.filter(F.col("customer_name").isNotNull()).groupBy("channel_id", second)
-                  .agg(F.max_by("customer_name", order).alias("given")))
+    known_events = events.filter(F.col("channel_id").isNotNull())
+    wanted = known_events.select("channel_id", day, second).distinct()
+    per_second = (arrived.filter(F.col("customer_name").isNotNull() & F.col("channel_id").isNotNull())
+                  .groupBy("channel_id", day, second).agg(F.max_by("customer_name", order).alias("given")))
     steps = (per_second.unionByName(wanted.withColumn("given", F.lit(None).cast("string")))
-             .groupBy("channel_id", "second").agg(F.max("given").alias("given")))
-    before = Window.partitionBy("channel_id").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
-    carried = steps.select("channel_id", "second", F.last("given", ignorenulls=True).over(before).alias("carried"))
+             .groupBy("channel_id", "day", "second").agg(F.max("given").alias("given")))
+
+    def carried(rows: DataFrame, keys: list[str], step: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(*keys, step, F.last("given", ignorenulls=True).over(before).alias(name))
+
+    last = F.max_by("given", F.when(F.col("given").isNotNull(), F.col("second"))).alias("given")
+    days = carried(steps.groupBy("channel_id", "day").agg(last), ["channel_id"], "day", "before_day")
+    seconds = carried(steps, ["channel_id", "day"], "second", "in_day")
 
     within = (Window.partitionBy("channel_id", "second").orderBy(*ARRIVAL)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = (arrived.withColumn("second", second).join(wanted, ["channel_id", "second"], "left_semi")
-            .select("message_id", "channel_id", "second",
-                    F.last("customer_name", ignorenulls=True).over(within).alias("given")))
+    seen = (arrived.withColumns({"day": day, "second": second}).join(wanted, ["channel_id", "day", "second"], "left_semi")
+            .select("message_id", "channel_id", "day", "second", *ARRIVAL, F.last("customer_name", ignorenulls=True).over(within).alias("given")))
+    seen = seen.groupBy("message_id").agg(F.min(F.struct(*ARRIVAL, "channel_id", "day", "second", "given")).alias("s")).select("message_id", "s.*")
     known = stored.select("channel_id", F.col("name").alias("stored_name"))
-    return (events.select("message_id").join(seen, "message_id")
-            .join(carried, ["channel_id", "second"], "left").join(known, "channel_id", "left")
-            .select("message_id", F.coalesce("given", "carried", "stored_name", "channel_id").alias("customer_name")))
+    found = (known_events.select("message_id").distinct().join(seen, "message_id")
+             .join(seconds, ["channel_id", "day", "second"], "left").join(days, ["channel_id", "day"], "left")
+             .join(known, "channel_id", "left")
+             .select("message_id", F.coalesce("given", "in_day", "before_day", "stored_name", "channel_id").alias("customer_name")))
+    unknown = events.filter(F.col("channel_id").isNull()).select("message_id", F.lit(None).cast("string").alias("customer_name")).distinct()
+    return found.unionByName(unknown)

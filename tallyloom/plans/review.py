@@ -36,10 +36,11 @@ def unmatched_count(sales: DataFrame) -> DataFrame:
 def with_assignments(sales: DataFrame, assignments: DataFrame, order: str) -> DataFrame:
     """Sales with the latest manual assignment applied; an assignment to NULL clears the employee.
 
-    Assignments of unknown sales have no effect.
+    Assignments of unknown sales have no effect. One without an order counts as the oldest; of several with the same
+    order the highest employee wins, and clearing the employee is lowest.
     """
     latest = (assignments.filter(F.col("sale_id").isNotNull()).groupBy("sale_id")
-              .agg(F.max_by(F.struct("employee_id"), F.col(order)).alias("_assigned")))
+              .agg(F.max(F.struct(F.col(order), "employee_id")).alias("_assigned")))
     employee = F.when(F.col("_assigned").isNotNull(), F.col("_assigned.employee_id")).otherwise(F.col("employee_id"))
     return (sales.join(latest, sales["id"] == latest["sale_id"], "left")
             .select(*[employee.alias(c) if c == "employee_id" else F.col(c) for c in sales.columns]))

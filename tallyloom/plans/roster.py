@@ -1,31 +1,20 @@
-"""Teams as JSON documents."""
+"""Teams and their members as JSON rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMBERS_PER_PAGE = 5000
 
+def team_rosters(team_leaders: DataFrame, employees: DataFrame) -> DataFrame:
+    """One row per team and member, the member as JSON, in the order of team, member name and id.
 
-def team_rosters(team_leaders: DataFrame, employees: DataFrame, page_size: int = MEMBERS_PER_PAGE) -> DataFrame:
-    """One JSON document per team, members by name.
-
-    A team beyond ``page_size`` members is dealt out to several pages of about that size, each in name
-    order, so no task gathers a whole large team; every member is on exactly one page.
+    The order is a range sort over all rows, so no task gathers a team, whatever its size. A team without members
+    has one row without a member.
     """
-    sizes = (employees.filter(F.col("team_leader_id").isNotNull()).groupBy("team_leader_id")
-             .agg(F.ceil(F.count("*") / page_size).alias("n_pages")))
-    entry = F.struct("full_name", "id", "is_active")
-    pages = (employees.join(sizes, "team_leader_id")
-             .groupBy("team_leader_id", F.pmod(F.xxhash64("id"), "n_pages").alias("page"))
-             .agg(F.count("*").alias("n_members"), F.sort_array(F.collect_list(entry)).alias("members")))
+    member = F.to_json(F.struct("full_name", "id", "is_active"))
+    members = employees.filter(F.col("team_leader_id").isNotNull()).select(
+        "team_leader_id", F.col("full_name").alias("_name"), F.col("id").alias("employee_id"), member.alias("member"))
     teams = team_leaders.select(F.col("id").alias("team_leader_id"), F.col("full_name").alias("team_leader_name"))
-    joined = teams.join(pages, "team_leader_id", "left")
-    return joined.select(
-        "team_leader_id", F.coalesce("page", F.lit(0).cast("bigint")).alias("page"),
-        F.coalesce("n_members", F.lit(0).cast("bigint")).alias("n_members"),
-        F.to_json(F.struct(
-            F.col("team_leader_name").alias("leader"),
-            F.coalesce("members", F.array().cast("array<struct<full_name:string,id:bigint,is_active:boolean>>"))
-            .alias("members"))).alias("roster"))
+    return (teams.join(members, "team_leader_id", "left").orderBy("team_leader_id", "_name", "employee_id")
+            .select("team_leader_id", "team_leader_name", "employee_id", "member"))

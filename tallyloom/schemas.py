@@ -9,6 +9,7 @@ DATE, MOMENT = T.DateType(), T.TimestampType()
 MONEY = T.DecimalType(14, 2)
 TOTAL = T.DecimalType(24, 2)
 PERCENT = T.DecimalType(21, 2)
+LIMIT = T.DecimalType(38, 12)
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -23,6 +24,7 @@ EMPLOYEES = _struct(id=BIGINT, full_name=TEXT, employee_code=TEXT, external_ref=
                     show_in_display=FLAG, is_active=FLAG, updated_at=MOMENT)
 TARGETS = _struct(id=BIGINT, scope=TEXT, employee_id=BIGINT, team_leader_id=BIGINT, period_type=TEXT,
                   target_amount=MONEY, effective_from=DATE)
+ASSIGNMENTS = _struct(sale_id=BIGINT, employee_id=BIGINT, assigned_at=MOMENT)
 SALES = _struct(id=BIGINT, employee_id=BIGINT, invoice_ref=TEXT, amount=MONEY, sale_date=DATE, raw=TEXT,
                 synced_at=MOMENT)
 PERFORMANCE = _struct(scope=TEXT, employee_id=BIGINT, team_leader_id=BIGINT, period_type=TEXT, period_date=DATE,
@@ -30,8 +32,9 @@ PERFORMANCE = _struct(scope=TEXT, employee_id=BIGINT, team_leader_id=BIGINT, per
                       computed_at=MOMENT)
 SETTINGS = _struct(key=TEXT, value=TEXT, updated_at=MOMENT, updated_by=BIGINT)
 KEYWORDS = _struct(id=BIGINT, phrase=TEXT, label=TEXT, is_active=FLAG)
+POSITION = _struct(entry_no=T.IntegerType(), change_no=T.IntegerType(), message_no=T.IntegerType())
 CUSTOMER_CHANGES = _struct(channel_id=TEXT, name=TEXT,
-                           name_at=_struct(received_at=MOMENT, payload_id=TEXT, position=BIGINT), batch_id=BIGINT)
+                           name_at=_struct(received_at=MOMENT, payload_id=TEXT, position=POSITION), batch_id=BIGINT)
 MESSAGES = _struct(message_id=TEXT, channel_message_id=TEXT, channel_id=TEXT, employee_id=BIGINT, direction=TEXT,
                    body=TEXT, sent_at=MOMENT, raw=TEXT, received_at=MOMENT, batch_id=BIGINT)
 NOTES = _struct(message_id=TEXT, channel_id=TEXT, employee_id=BIGINT, customer_name=TEXT, message_text=TEXT,
@@ -49,4 +52,4 @@ CHANGE = _struct(value=_struct(contacts=T.ArrayType(CONTACT), messages=T.ArrayTy
 PAYLOAD = _struct(entry=T.ArrayType(_struct(changes=T.ArrayType(CHANGE))), malformed=TEXT)
 CHAT_MESSAGE = _struct(**{"id": TEXT, "from": TEXT, "timestamp": TEXT, "type": TEXT, "text": _struct(body=TEXT),
                           "button": _struct(text=TEXT), "interactive": TEXT})
-BAND_LIST = T.ArrayType(_struct(label=TEXT, min=T.DecimalType(9, 2), color=TEXT))
+BAND_LIST = T.ArrayType(_struct(label=TEXT, min=TEXT, color=TEXT))

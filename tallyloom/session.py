@@ -5,8 +5,6 @@ Every job also runs in a session somebody else built; these are the settings we
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -28,13 +26,3 @@ def build_session(app_name: str = "tallyloom", master: str | None = None,
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for stream checkpoints: the cluster's setting, or a fresh local one in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="tallyloom-")

@@ -14,8 +14,8 @@ from pyspark.sql.types import StructType
 
 SALES_AS_OF = date(2000, 6, 1)
 NOTES_AS_OF = date(2024, 1, 20)
-BANDS_JSON = ('[{"label":"excellent","min":100},{"label":"very good","min":85},{"label":"good","min":70},'
-              '{"label":"follow up","min":50},{"label":"weak","min":0}]')
+BANDS_JSON = ('[{"label":"excellent","min":100},{"label":"very good","min":82.5},{"label":"good","min":61.125},'
+              '{"label":"follow up","min":37.5},{"label":"weak","min":0}]')
 
 _LINES = """
 select l_orderkey * 10 + l_linenumber as id,
@@ -124,7 +124,7 @@ select c_custkey as id, c_name as full_name,
 from [customer]""",
     "sessions": """
 select event_id as session_id, user_id, ts as created_at, ts + interval '7' day as expires_at
-from [events] where event_type = 'signup'""",
+from [events]""",
     "settings": """
 select 'team-' || cast(c_custkey as string) as key,
        '{' || case when c_custkey % 4 <> 0 then '"system_name":"Board ' || cast(c_custkey as string) || '",' else '' end

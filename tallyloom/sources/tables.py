@@ -57,12 +57,3 @@ def feed_of_records(records: DataFrame) -> DataFrame:
     """Feed read from a message log, with its usual columns topic, partition, offset, value, timestamp."""
     return records.select(F.concat_ws("/", "topic", "partition", "offset").alias("payload_id"),
                           F.col("value").cast("string").alias("payload"), F.col("timestamp").alias("received_at"))
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Deal out a source of fewer files than cores before costly work per row.
-
-    One file with one row group is one task. A source with a file per core or more is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows

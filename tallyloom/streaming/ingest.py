@@ -19,7 +19,6 @@ from tallyloom import schemas
 from tallyloom.operators.matching import assign_employees
 from tallyloom.operators.scanning import find_phrases
 from tallyloom.plans import messages as feed
-from tallyloom.session import checkpoint_root
 from tallyloom.sources.sinks import write_batch
 from tallyloom.sources.tables import read_or_empty
 
@@ -76,7 +75,7 @@ def ingest_batch(payloads: DataFrame, batch_id: int, tables: FeedTables, keyword
     """Store one batch of deliveries. With ``names``, messages get an employee from their text."""
     spark = payloads.sparkSession
     parsed = feed.parse_payloads(payloads).persist(StorageLevel.MEMORY_AND_DISK)
-    arrived = feed.flatten_payloads(parsed).persist(StorageLevel.MEMORY_AND_DISK)
+    arrived = feed.once_per_delivery(feed.flatten_payloads(parsed)).persist(StorageLevel.MEMORY_AND_DISK)
     stored = _before(spark, tables.messages, schemas.MESSAGES, batch_id)
     fresh = feed.new_messages(arrived, stored, feed.ARRIVAL)
     if names is not None:
@@ -97,16 +96,15 @@ def ingest_batch(payloads: DataFrame, batch_id: int, tables: FeedTables, keyword
 
 
 def start_ingest(payloads: DataFrame, tables: FeedTables, read_keywords: Callable[[], DataFrame],
-                 read_names: Callable[[], DataFrame] | None = None, checkpoint: str | None = None,
-                 **trigger) -> StreamingQuery:
-    """Start the stream. Rules are read again for every batch, so an edit applies to new messages only."""
-    spark = payloads.sparkSession
+                 read_names: Callable[[], DataFrame] | None = None, *, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start the stream; ``checkpoint`` is a folder that the whole cluster reaches.
 
+    Rules are read again for every batch, so an edit applies to new messages only.
+    """
     def store(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, tables, read_keywords(), read_names() if read_names else None)
 
-    location = checkpoint or f"{checkpoint_root(spark)}/chat-feed"
-    return (payloads.writeStream.foreachBatch(store).option("checkpointLocation", location)
+    return (payloads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 

@@ -132,3 +132,13 @@ def test_json_defaults(table):
 def test_missing_direction_is_inbound(table, rows):
     frame = table("id int, direction string", (1, None), (2, "outbound"))
     assert rows(feed.with_direction(frame)) == [(1, "inbound"), (2, "outbound")]
+
+
+def test_repeated_delivery_and_unknown_sender_on_arrival(table, rows):
+    arrived = table("message_id string, payload_id string, received_at timestamp, position bigint, channel_id string, customer_name string",
+                    ("a", "p", datetime(2024, 1, 1), 0, "c", "First"), ("a", "p", datetime(2024, 1, 1), 0, "c", "First"),
+                    ("b", "q", datetime(2024, 1, 3, 5), 0, "c", None), ("d", "q", datetime(2024, 1, 3, 6), 1, None, None),
+                    ("e", "r", datetime(2024, 1, 3, 6), 2, "other", None))
+    stored = table("channel_id string, name string", ("other", "Kept"))
+    assert rows(feed.names_on_arrival(arrived, arrived, stored), "message_id", "customer_name") == [
+        ("a", "First"), ("b", "First"), ("d", None), ("e", "Kept")]

@@ -10,8 +10,8 @@ from tallyloom import schemas
 from tallyloom.functions.bands import bands_from_json, status_label
 from tallyloom.functions.register import register_functions
 from tallyloom.functions.text import normalize_text
-from tallyloom.jobs import Warehouse, live_board, load_sales, recompute_performance
-from tallyloom.plans import maintenance
+from tallyloom.jobs import Warehouse, assign_sales, live_board, load_sales, recompute_performance, store_dimension
+from tallyloom.plans import maintenance, review
 from tallyloom.sources.samples import BANDS_JSON
 from tallyloom.sources.sinks import write_sales
 from tests.test_text import GOLDEN
@@ -110,3 +110,25 @@ def test_loading_sales_twice_adds_nothing(spark, store, rows):
         [(8, 1, "i1", D(1), DAY, None, None), (9, 2, "i9", D(2), DAY, None, None)], schemas.SALES)
     assert [load_sales(store, arrived, ["id"], run) for run in ("l1", "l2")] == [1, 0]
     assert rows(store.read("sales"), "invoice_ref") == [("i1",), ("i2",), ("i3",), ("i9",)]
+
+
+def test_an_assignment_outlives_recomputes_and_is_audited(spark, table, tmp_path):
+    store = Warehouse(spark, str(tmp_path))
+    assign_sales(store, table("sale_id bigint, employee_id bigint", (1, 5), (2, None)), user_id=9, user_name="u", role="admin")
+    assign_sales(store, table("sale_id bigint, employee_id bigint", (1, 6)), user_id=9, user_name="u", role="admin")
+    sales = table("id bigint, employee_id bigint", (1, None), (2, 3), (3, 4))
+    kept = review.with_assignments(sales, store.read("assignments"), "assigned_at")
+    assert sorted((r.id, r.employee_id) for r in kept.collect()) == [(1, 6), (2, None), (3, 4)]
+    audit = store.read("audit_log").collect()
+    assert sorted((a.entity_id, a.details) for a in audit) == [(1, '{"employee_id":5}'), (1, '{"employee_id":6}'), (2, '{"employee_id":null}')]
+
+
+def test_dimensions_are_stored_with_an_audit_row(spark, table, tmp_path):
+    store = Warehouse(spark, str(tmp_path))
+    rule = "id bigint, phrase string, label string, is_active boolean"
+    for rows in ([(1, "a", "l", True)], [(1, "b", "l", True), (2, "c", "l", False)]):
+        store_dimension(store, "keywords", table(rule, *rows), user_id=1, user_name="u", role="admin", action="upsert")
+    changed = store.read("keywords").filter("id = 2")
+    store_dimension(store, "keywords", changed, user_id=1, user_name="u", role="admin", action="delete")
+    assert [r.id for r in store.read("keywords").collect()] == [2]
+    assert [a.entity_type for a in store.read("audit_log").collect()] == ["keywords"] * 3

@@ -127,16 +127,12 @@ def test_sessions_and_directory(table, rows):
     assert rows(access.active_admins(users)) == [(1, True)]
 
 
-def test_roster_pages_hold_every_member_once(table):
+def test_roster_has_one_shape_at_every_size(table):
     leaders = table("id bigint, full_name string", (1, "L"), (2, "M"))
-    employees = table(EMPLOYEES, *[(n, f"e{n}", 1, True) for n in range(25)], (99, "free", None, True))
-    pages = roster.team_rosters(leaders, employees, page_size=10).withColumn(
-        "ids", F.from_json("roster", "struct<members: array<struct<id: bigint>>>")["members"]["id"]).collect()
-    assert sorted(i for p in pages for i in p.ids) == list(range(25))
-    assert [(p.team_leader_id, p.n_members) for p in pages if p.team_leader_id == 2] == [(2, 0)]
-    assert {p.page for p in pages if p.team_leader_id == 1} == {0, 1, 2}
-    whole = roster.team_rosters(leaders, employees).filter("team_leader_id = 1").collect()
-    assert len(whole) == 1 and whole[0].n_members == 25
+    employees = table(EMPLOYEES, *[(n, f"e{9999 - n}", 1, True) for n in range(6000)], (99999, "free", None, True))
+    found = roster.team_rosters(leaders, employees).collect()
+    assert [r.employee_id for r in found] == [*sorted(range(6000), key=lambda n: f"e{9999 - n}"), None]
+    assert found[0].member == '{"full_name":"e4000","id":5999,"is_active":true}' and found[-1].member is None
 
 
 def test_note_filters(table, rows):

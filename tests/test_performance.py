@@ -159,3 +159,13 @@ def test_ratio_band_has_no_rounding(table):
     bands = [Band("top", D(100)), Band("rest", D(0))]
     frame = table("a decimal(24,2), t decimal(14,2)", (D("999999999999.98"), D("999999999999.99")))
     assert frame.select(status_of_ratio(F.col("a"), F.col("t"), bands)).first()[0] == "rest"
+
+
+def test_percentages_never_wrap(table):
+    money = "achieved decimal(24,2), target decimal(14,2)"
+    cases = [(D("10000000000000.00"), D("0.01")), (D("9" * 22 + ".99"), D("0.01")), (D("-10000000000000.00"), D("0.01")),
+             (D("0.01"), D("999999999999.99")), (D("29998.80"), D("30000.00")), (D("-0.005"), D("1.00"))]
+    got = [r.p for r in table("n int, " + money, *((n, a, t) for n, (a, t) in enumerate(cases))).orderBy("n").select(
+        percentage_of_target(F.col("achieved"), F.col("target")).alias("p")).collect()]
+    assert got[0] == D("100000000000000000.00") and got[2] == -got[0]
+    assert got[1] is None and got[3] == D("0.00") and got[4] == D("100.00")

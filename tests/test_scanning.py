@@ -1,4 +1,4 @@
-"""The three ways of scanning and the two of matching, against plain Python on small inputs."""
+"""The two ways of scanning, and matching, against plain Python on small inputs."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from tallyloom.operators.matching import assign_employees, employee_names, match
 from tallyloom.operators.scanning import count_phrases, find_phrases
 from tallyloom.plans.quality import scan_messages
 
-WAYS = {"inline": {}, "broadcast": {"inline_rules": 0}, "shuffled": {"inline_rules": 0, "broadcast_rules": 0, "salts": 3}}
+WAYS = {"join": {}, "in_place": {"in_place": True}}
 KEYWORDS = "id bigint, phrase string, label string, is_active boolean"
 PEOPLE = "id bigint, full_name string, external_ref string, is_active boolean"
 CUSTOMERS = "id bigint, channel_id string, name string"
@@ -56,14 +56,13 @@ def test_notes(table, rows, way):
         (3, "ch9", 1, "send your ACCOUNT", "transfer")]
 
 
-@pytest.mark.parametrize("way", ["inline", "broadcast"])
+@pytest.mark.parametrize("way", WAYS)
 def test_no_rules_no_hits(table, way):
     frame = table("id bigint, body string", (1, "abc"))
     assert find_phrases(frame, "id", "body", table(KEYWORDS), **WAYS[way]).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_names": 0, "salts": 3}])
-def test_matches_equal_brute_force(table, limits):
+def test_matches_equal_brute_force(table):
     rng = random.Random(3)
     vocabulary = ["mo", "ali", "sam", "nur", "x", "zed", "kim"]
     texts = [(n, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 6])))) for n in range(150)]
@@ -81,7 +80,7 @@ def test_matches_equal_brute_force(table, limits):
         if ids:
             expected[t] = min(ids)
     found = match_employees(table("id bigint, body string", *texts), "id", "body",
-                            employee_names(table(PEOPLE, *people)), **limits)
+                            employee_names(table(PEOPLE, *people)))
     assert {r.id: r.employee_id for r in found.collect()} == expected
 
 
