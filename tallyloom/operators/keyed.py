@@ -32,10 +32,14 @@ def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 def first_per_known_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per non-NULL key and every row without one, as a unique index would keep them.
 
-    Rows without a key never enter the shuffle, however many they are.
+    Keys are counted first, alone. Rows whose key does not repeat pass as they are, without a sort; only the others
+    are reduced. Rows without a key never enter the shuffle, however many they are.
     """
-    known = first_per_key(rows.filter(F.col(key).isNotNull()), [key], order)
-    return known.unionByName(rows.filter(F.col(key).isNull()))
+    known = rows.filter(F.col(key).isNotNull())
+    repeated = known.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    single = known.join(repeated, key, "left_anti").select(*rows.columns)
+    reduced = first_per_key(known.join(repeated, key, "left_semi").select(*rows.columns), [key], order)
+    return single.unionByName(reduced).unionByName(rows.filter(F.col(key).isNull()))
 
 
 def _same_key(left: str, right: str, keys: list[str]) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from tallyloom.catalog import BANDS, Tables, _plain
+from tallyloom.catalog import BANDS, QUERIES, Tables, _plain
 from tallyloom.functions.periods import Periods
 from tallyloom.operators.keyed import first_per_key
 from tallyloom.plans import messages as feed
@@ -38,7 +38,7 @@ def final_plan_of(frame) -> str:
     return plan_of(frame)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_python_no_cross_join_no_single_task_window(spark, name):
     plan = plan_of(entry_points.queries()[name](spark, FOLDER))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroups", "MapInPandas", "CartesianProduct",
@@ -70,7 +70,7 @@ def test_notes_filters_reach_the_scan(spark):
 
 def test_a_few_rules_are_scanned_without_join_or_shuffle(spark):
     t = Tables(spark, FOLDER)
-    plan = plan_of(quality.notes_per_message(t.messages, t.keywords))
+    plan = plan_of(quality.notes_per_message(t.messages, t.keywords, in_place=True))
     assert "Join" not in plan and "Exchange" not in plan
 
 
