@@ -26,12 +26,18 @@ _EDGE = ".,;:!?()[]{}<>\"'"
 
 #: Documents with a digit or an at sign that the field is fitted on, the first by a hash of their text.
 TRAINING_DOCUMENTS = 500
-#: Passes of messages at most, and the belief from which a token is labelled.
-PASSES, BELIEF = 12, 0.98
+#: Messages are passed until they settle; passes after which a field that swings is left, and the belief from which a token is labelled.
+PASSES, SETTLED, BELIEF = 1000, 1e-4, 0.98
+#: Least weight of one label for a value and its repeats, however few repeats the sample has to learn it from.
+SAME = 6.0
 LABELS = len(KINDS) + 1  # 0 is none
-_FEATURES = 14
-#: Tokens with this many digits or more are the same if their last digits are, however they are written.
-_ALIKE_DIGITS = 7
+_FEATURES = 16
+#: Values with this many digits or more are alike if so many last digits are, however they are written; values that both
+#: have the longer suffix meet by it first.
+_ALIKE_DIGITS, _LONG_DIGITS, _MOST_DIGITS = 7, 10, 19
+#: Tokens that can be parts of one value, and what stands between such parts: blanks, brackets and hyphens.
+_PART = re.compile(r"[0-9+().\[\]-]+")
+_JOINT = re.compile(r"[\x20\x09-\x0D()\[\]-]*")
 
 
 def _luhn(digits: str) -> bool:
@@ -87,18 +93,121 @@ def _shape(token: str, before: str) -> np.ndarray:
     letters = sum(c.isalpha() for c in token)
     return np.array([1.0, digits / n, letters / n, "@" in token, token.count(".") == 1, token.count(".") >= 3, "-" in token,
                      token[:1] == "+" or before == "+", before == "(" or ")" in token, digits <= 2, 3 <= digits <= 6, 7 <= digits <= 12, digits >= 13,
-                     any("a" <= c <= "f" for c in token) and digits > 4], float)
+                     any("a" <= c <= "f" for c in token) and digits > 4, " " in token,
+                     digits >= 13 and token[:1] in tuple("3456")], float)
 
 
-def _alike(token: str) -> str:
-    """Tokens with the same value are repeats of each other: their digits if they have enough, else their letters."""
-    digits = "".join(c for c in token if c.isdigit())
-    return digits[-_ALIKE_DIGITS - 3:] if len(digits) >= _ALIKE_DIGITS and "@" not in token else token.lower()
+def _digits(text: str) -> str:
+    return re.sub("[^0-9]", "", text)
+
+
+def _is_ip(text: str) -> bool:
+    return bool(_IP.fullmatch(text)) and all(int(part[-4:]) <= 255 for part in text.split("."))
+
+
+def _value(text: str) -> str:
+    """What repeats are known by: the digits if there are enough, else the letters."""
+    digits = _digits(text)
+    return digits if len(digits) >= _ALIKE_DIGITS and "@" not in text and not _is_ip(text) else text.lower()
+
+
+def _nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
+    """Nodes (begin, end, label or -1, value): tokens of one base span together, and joined parts of other values.
+
+    Parts that stand side by side are one value where their last digits are those of a base value, the longest common
+    suffix first and then the fewest parts. Other parts are joined if all of them have as many digits as one value can have.
+    """
+    ordered = sorted(spans, key=lambda s: (s[0], s[2]))
+    base = [_value(text[b:e]) for b, _, e in ordered]
+    suffixes = {v[-n:] for v in base if v.isdigit() for n in range(_ALIKE_DIGITS, min(len(v), _MOST_DIGITS) + 1)}
+    nodes: list[tuple[int, int, int, str]] = []
+    run: list[tuple[int, int]] = []
+
+    def close() -> None:
+        digits = [_digits(text[b:e]) for b, e in run]
+        ends = []
+        for last in range(len(run)) if suffixes else ():
+            joined, first, best = "", last, (0, 0)
+            while first >= 0 and len(joined) + len(digits[first]) <= _MOST_DIGITS:
+                joined = digits[first] + joined
+                sizes = (len(joined), _LONG_DIGITS, _ALIKE_DIGITS)
+                common = next((n for n in sizes if _ALIKE_DIGITS <= n <= len(joined) and joined[-n:] in suffixes), 0)
+                best = max(best, (common, first))
+                first -= 1
+            if best[0]:
+                ends.append((-best[0], last - best[1], best[1], last))
+        owner = [-1] * len(run)
+        for n, (_, _, first, last) in enumerate(sorted(ends)):
+            if max(owner[first:last + 1]) < 0:
+                owner[first:last + 1] = [n] * (last - first + 1)
+        at = 0
+        while at < len(run):
+            stop = at + 1
+            while stop < len(run) and owner[stop] == owner[at]:
+                stop += 1
+            whole_value = owner[at] >= 0 or _ALIKE_DIGITS <= sum(map(len, digits[at:stop])) <= _MOST_DIGITS
+            for first, last in [(at, stop)] if whole_value else [(n, n + 1) for n in range(at, stop)]:
+                begin, end = run[first][0], run[last - 1][1]
+                nodes.append((begin, end, -1, _value(text[begin:end])))
+            at = stop
+        run.clear()
+
+    at, inside = 0, -1
+    for begin, end in tokens_of(text):
+        while at < len(ordered) and ordered[at][2] <= begin:
+            at += 1
+        k = at
+        while k < len(ordered) and ordered[k][0] < end and ordered[k][2] <= begin:
+            k += 1
+        if k < len(ordered) and ordered[k][0] < end:
+            close()
+            if inside == k:
+                nodes[-1] = (nodes[-1][0], end, *nodes[-1][2:])
+            else:
+                nodes.append((begin, end, ordered[k][1] + 1, base[k]))
+            inside = k
+            continue
+        inside = -1
+        part = _PART.fullmatch(text, begin, end) and not _is_ip(text[begin:end])
+        if run and not (part and _JOINT.fullmatch(text, run[-1][1], begin)):
+            close()
+        if part:
+            run.append((begin, end))
+        else:
+            nodes.append((begin, end, -1, _value(text[begin:end])))
+    close()
+    return nodes
+
+
+def _skips(values: list[str]) -> tuple[np.ndarray, int]:
+    """Edges from like nodes to the node of their value, which come after the others, and the number of value nodes.
+
+    One edge per occurrence; the nodes of long values with one short suffix meet in the node of that suffix.
+    """
+    members: dict[tuple[str, int], list] = {}
+    for n, value in enumerate(values):
+        if value.isdigit() and len(value) >= _ALIKE_DIGITS:
+            size = _LONG_DIGITS if len(value) >= _LONG_DIGITS else _ALIKE_DIGITS
+            members.setdefault((value[-size:], size), []).append(n)
+        elif len(value) >= _ALIKE_DIGITS:
+            members.setdefault((value, 0), []).append(n)
+    for value, size in [key for key in members if key[1] == _LONG_DIGITS]:
+        members.setdefault((value[-_ALIKE_DIGITS:], _ALIKE_DIGITS), []).append((value, size))
+    # A value node with one member only passes it on.
+    short = [key for key, own in members.items() if key[1] == _ALIKE_DIGITS and len(own) > 1]
+    above = {own for key in short for own in members[key] if isinstance(own, tuple)}
+    kept = [key for key, own in members.items() if key[1] != _ALIKE_DIGITS and (len(own) > 1 or key in above)] + short
+    place = {key: len(values) + n for n, key in enumerate(kept)}
+    edges = [(place[own] if isinstance(own, tuple) else own, place[key]) for key in kept for own in members[key]]
+    return np.array(edges, int).reshape(-1, 2), len(kept)
 
 
 @dataclass
 class Graph:
-    """Tokens of a document that can carry a label, and the edges between them."""
+    """Nodes of a document that can carry a label, the nodes of repeated values after them, and the edges between them.
+
+    Nodes of values have no features and the place (-1, -1).
+    """
 
     places: list[tuple[int, int]]
     features: np.ndarray
@@ -108,32 +217,15 @@ class Graph:
 
 
 def graph_of(text: str, spans: list[tuple[int, int, int]]) -> Graph | None:
-    places = tokens_of(text)
-    if not places:
+    nodes = _nodes(text, spans)
+    if not nodes:
         return None
-    known = np.full(len(places), -1)
-    at = 0
-    ordered = sorted(spans, key=lambda s: (s[0], s[2]))
-    for n, (begin, end) in enumerate(places):
-        while at < len(ordered) and ordered[at][2] <= begin:
-            at += 1
-        k = at
-        while k < len(ordered) and ordered[k][0] < end:
-            if ordered[k][2] > begin:
-                known[n] = ordered[k][1] + 1
-                break
-            k += 1
-    features = np.array([_shape(text[b:e], text[b - 1:b]) for b, e in places])
-    chain = [(n, n + 1) for n in range(len(places) - 1) if places[n + 1][0] - places[n][1] <= 2]
-    last: dict[str, int] = {}
-    skip = []
-    for n, (b, e) in enumerate(places):
-        value = _alike(text[b:e])
-        if len(value) >= _ALIKE_DIGITS and value in last:
-            skip.append((last[value], n))
-        last[value] = n
-    edges = lambda pairs: np.array(pairs, int).reshape(-1, 2)
-    return Graph(places, features, known, edges(chain), edges(skip))
+    skip, more = _skips([node[3] for node in nodes])
+    places = [node[:2] for node in nodes] + [(-1, -1)] * more
+    known = np.array([node[2] for node in nodes] + [-1] * more)
+    features = np.array([_shape(text[b:e], text[b - 1:b]) for b, e, *_ in nodes] + [np.zeros(_FEATURES)] * more)
+    chain = [(n, n + 1) for n in range(len(nodes) - 1) if nodes[n + 1][0] - nodes[n][1] <= 2]
+    return Graph(places, features, known, np.array(chain, int).reshape(-1, 2), skip)
 
 
 @dataclass
@@ -145,16 +237,42 @@ class Field:
     skip: np.ndarray
 
 
+def _observed(graph: Graph) -> np.ndarray:
+    """The known labels, and for the node of a value that of most base spans with it, so that repeats cannot outvote them."""
+    known = graph.known.copy()
+    counts = np.zeros((len(known), LABELS), int)
+    for n, value in graph.skip:
+        if known[n] >= 0:
+            counts[value, known[n]] += 1
+            if graph.known[value] < 0:
+                known[value] = counts[value].argmax()
+    return known
+
+
+def _taught(graph: Graph) -> np.ndarray:
+    """Labels to learn from: a repeat of a known value has its label, all others that are not known are none."""
+    own = graph.known.copy()
+    for n, value in graph.skip:
+        if own[value] < 0:
+            own[value] = own[n]
+    for n, value in graph.skip[::-1]:
+        if own[n] < 0:
+            own[n] = own[value]
+    return np.maximum(own, 0)
+
+
 def fit(graphs: list[Graph], steps: int = 300) -> Field:
-    """A field fitted to graphs whose known labels are taken as true and all other tokens as none.
+    """A field fitted to graphs whose known labels, and those of their repeats, are true and all other tokens none.
 
     Features by gradient steps on their likelihood, tables from smoothed counts of label pairs. Without
     tokens every potential is flat.
     """
     if not graphs:
         return Field(np.zeros((_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
-    features = np.concatenate([g.features for g in graphs])
-    labels = np.concatenate([np.maximum(g.known, 0) for g in graphs])
+    taught = [_taught(g) for g in graphs]
+    real = [g.features[:, 0] > 0 for g in graphs]  # nodes of values have no features
+    features = np.concatenate([g.features[r] for g, r in zip(graphs, real, strict=True)])
+    labels = np.concatenate([own[r] for own, r in zip(taught, real, strict=True)])
     truth = np.eye(LABELS)[labels]
     weights = np.zeros((_FEATURES, LABELS))
     for _ in range(steps):
@@ -165,8 +283,7 @@ def fit(graphs: list[Graph], steps: int = 300) -> Field:
 
     def table(edges: list[np.ndarray]) -> np.ndarray:
         counts = np.ones((LABELS, LABELS))
-        for g, e in zip(graphs, edges, strict=True):
-            own = np.maximum(g.known, 0)
+        for own, e in zip(taught, edges, strict=True):
             np.add.at(counts, (own[e[:, 0]], own[e[:, 1]]), 1)
         joint = (counts + counts.T) / (2 * counts.sum())
         alone = joint.sum(1)
@@ -174,16 +291,17 @@ def fit(graphs: list[Graph], steps: int = 300) -> Field:
 
     # Repeats of one value are of one kind; the counts only tell how strongly.
     skip = table([g.skip for g in graphs])
-    skip = np.where(np.eye(LABELS, dtype=bool), np.maximum(skip, 2.0), np.minimum(skip, -2.0))
+    skip = np.where(np.eye(LABELS, dtype=bool), np.maximum(skip, SAME), np.minimum(skip, -SAME))
     return Field(weights, table([g.chain for g in graphs]), skip)
 
 
 def beliefs(graph: Graph, field: Field, passes: int = PASSES) -> np.ndarray:
-    """Label beliefs by loopy sum-product; tokens in base spans are fixed to their label."""
+    """Label beliefs by loopy sum-product; nodes in base spans and the nodes of their values are fixed to their label."""
     node = graph.features @ field.weights
-    fixed = graph.known >= 0
-    node[fixed] = -50.0
-    node[fixed, graph.known[fixed]] = 50.0
+    known = _observed(graph)
+    fixed = known >= 0
+    node[fixed] = -1e9  # more than any number of messages
+    node[fixed, known[fixed]] = 0.0
     node -= node.max(1, keepdims=True)
     edges = np.concatenate([graph.chain, graph.skip])
     if not len(edges):
@@ -203,7 +321,7 @@ def beliefs(graph: Graph, field: Field, passes: int = PASSES) -> np.ndarray:
         fresh -= fresh.max(1, keepdims=True)
         moved = np.abs(fresh - messages).max()
         messages = 0.5 * messages + 0.5 * fresh
-        if moved < 1e-4:
+        if moved < SETTLED:
             break
     total = node.copy()
     np.add.at(total, goal, messages)
@@ -212,12 +330,13 @@ def beliefs(graph: Graph, field: Field, passes: int = PASSES) -> np.ndarray:
 
 
 def added_spans(graph: Graph, field: Field, belief: float = BELIEF) -> list[tuple[int, int, int]]:
-    """Tokens outside base spans that the field labels."""
+    """Nodes outside base spans that the field labels."""
     if not (graph.known < 0).any():
         return []
     p = beliefs(graph, field)
     best = p.argmax(1)
-    chosen = (graph.known < 0) & (best > 0) & (p.max(1) >= belief)
+    real = np.array([place[0] >= 0 for place in graph.places])
+    chosen = real & (graph.known < 0) & (best > 0) & (p.max(1) >= belief)
     return [(graph.places[n][0], int(best[n]) - 1, graph.places[n][1]) for n in np.flatnonzero(chosen)]
 
 
@@ -266,9 +385,9 @@ def _find(frames: Iterator[pd.DataFrame], text: str, field: Field) -> Iterator[p
 def find_personal_data(documents: DataFrame, text: str = "text", field: Field | None = None) -> DataFrame:
     """``documents`` with ``spans``, all base spans and those that the field adds, by start and then kind.
 
-    The field's tokens are those with a digit or an at sign. Tokens in a base span have its label; a token that
-    repeats another one, also in other writing of the same digits, is linked with it over any distance, and
-    messages over these links and between neighbours give a document one label for one value. Texts without such tokens
+    The field's nodes are tokens with a digit or an at sign, and parts of one value joined. Those in a base span have
+    its label; one that repeats another, also in other writing of the same digits, is linked with it over any distance
+    by a node of their value, and messages over these links and between neighbours give a document one label for one value. Texts without such tokens
     have no spans. NULL and empty texts have none; no documents give no rows; repeated rows are alike; a column
     named ``spans`` is replaced, all others are kept. Texts are judged whole and once per row.
     """

@@ -60,6 +60,28 @@ def test_repeats_take_the_label_over_any_distance():
     assert graph.skip.size
 
 
+def test_differently_written_repeats_get_the_label():
+    far = " word" * 3000 + " "
+    phones = ["415-555-2671", "14155552671", "555-2671", "(415) 555 2671", "415 - 555 - 2671", "0415 555 2671", "1.415.555.2671"]
+    cards = ["4111  1111  1111  1111", "(4111) 1111-1111 (1111", "4111.1111.1111.1111"]
+    others = ["415-555-9999", "20240229", "12 8800 41", "192.168.100.200"]
+    text = "call +1 (415) 555-2671, pay 4111 1111 1111 1111;" + "".join(f"{far}see {x}, ok" for x in phones + cards + others)
+    taught = pii.fit([pii.graph_of(text, pii.base_spans(text))] * 3)
+    for field in (_field(), taught):
+        found = [(text[b:e], pii.KINDS[k]) for b, k, e in pii.added_spans(pii.graph_of(text, pii.base_spans(text)), field, 0.8)]
+        assert found == [(x, "phone") for x in ("415-555-2671", "14155552671", "555-2671", "415) 555 2671", "415 - 555 - 2671", "0415 555 2671", "1.415.555.2671")] + [
+            (x, "card") for x in ("4111  1111  1111  1111", "4111) 1111-1111 (1111", "4111.1111.1111.1111")]
+
+
+def test_adjacent_values_and_many_repeats():
+    text = "+1 (415) 555-2671, 4111 1111 1111 1111, and 415 555 2671 (415) 555-2671 4111  1111  1111  1111 7" + " x 555-2671 y" * 3000
+    graph = pii.graph_of(text, pii.base_spans(text))
+    assert len(graph.skip) <= len(graph.places)  # linear in occurrences
+    found = [(text[b:e], pii.KINDS[k]) for b, k, e in pii.added_spans(graph, _field(), 0.8)]
+    assert found[:3] == [("415 555 2671", "phone"), ("415) 555-2671", "phone"), ("4111  1111  1111  1111", "card")]
+    assert found[3:] == [("555-2671", "phone")] * 3000
+
+
 def test_messages_agree_with_enumeration():
     text = "a1@x.org 5551234567 word word 5551234567 a1 5551234567"
     graph, field = pii.graph_of(text, pii.base_spans(text)), _field()
