@@ -23,6 +23,19 @@ TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy",
     "mpl": "this source code form is subject to the terms of the mozilla public license",
 }
+#: The templates with short notices of the same licenses; what follows a slash only tells templates of one label apart.
+NOTICES = TEMPLATES | {
+    "agpl/short": "affero general public license", "apache/short": "apache license", "bsd/short": "bsd license",
+    "bsd/2": "bsd 2 clause", "bsd/3": "bsd 3 clause", "cc-by": "licensed under cc by 4 0", "gpl/short": "gnu general public license",
+    "mit/short": "mit license", "mpl/short": "mozilla public license",
+}
+#: Words that must stand consecutively in a block, by template: what tells it from the notices of its siblings.
+TELLING = {
+    "agpl": "affero general public license", "agpl/short": "affero general public license", "apache/short": "apache license",
+    "bsd/short": "bsd license", "bsd/2": "bsd 2 clause", "bsd/3": "bsd 3 clause", "cc-by": "cc by", "cc-by-nc": "cc by nc",
+    "cc-by-sa": "cc by sa", "gpl": "gnu general public license", "gpl/short": "gnu general public license",
+    "mit/short": "mit license", "mpl/short": "mozilla public license",
+}
 #: A block matches from this share of a template's distinct words on.
 PERCENT = 80
 #: Blocks are this many words, and start at every half of it: each run of half a block and one word lies in one whole.
@@ -59,12 +72,13 @@ def _order(words: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def matching_blocks(documents: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES,
-                    percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+                    percent: int = PERCENT, block_words: int = BLOCK_WORDS, telling: Mapping[str, str] | None = None) -> DataFrame:
     """Rows (text_key, block, label, containment) for every block that holds ``percent`` of a template's distinct words.
 
     Words of the templates are ordered by the number of documents that hold them. With ``o`` words needed
     of ``n``, a matching block holds one of the template's ``n - o + 1`` rarest words (prefix), at least ``o`` template
     words (length), and ``o`` words from the rarest shared one on (position). What is left is counted exactly.
+    Of a template in ``telling`` the block also holds those words consecutively; a label is a template's name up to a slash.
     Words of no template are never needed, so a block is reduced to its template words before it is
     shuffled. Templates are a parameter of bounded size; their words are literals.
     """
@@ -89,10 +103,15 @@ def matching_blocks(documents: DataFrame, text: str = "text", templates: Mapping
     hits = F.filter(F.transform("words", lambda w, at: F.when(F.array_contains(rare, w), F.floor(at / step))),
                     lambda at: at.isNotNull())
     blocks = F.array_distinct(F.flatten(F.transform(hits, lambda b: F.array(b, F.greatest(b - 1, F.lit(0))))))
+    # Whole words between blanks: what is told is looked up before the block is reduced.
+    spaced = F.concat(F.lit(" "), F.array_join("part", " "), F.lit(" "))
+    phrases = {label: f" {words} " for label, words in (telling or {}).items() if label in sets}
+    told = F.filter(F.array(*(F.when(spaced.contains(phrase), F.lit(label)) for label, phrase in phrases.items())).cast("array<string>"),
+                    lambda label: label.isNotNull())
     found = (words.filter(F.arrays_overlap("words", rare))
              .select("text_key", "words", F.explode(blocks).alias("block"))
              .select("text_key", "block", F.slice("words", (F.col("block") * step + 1).cast("int"), block_words).alias("part"))
-             .select("text_key", "block", F.array_intersect(_texts(order), "part").alias("ranked"))
+             .select("text_key", "block", F.array_intersect(_texts(order), "part").alias("ranked"), told.alias("told"))
              .filter(F.size("ranked") >= min(needed.values())))
     probes = found.select("*", F.posexplode("ranked").alias("at", "word")).filter(F.array_contains(rare, F.col("word")))
     fields = T.StructType([T.StructField("word", T.StringType()), T.StructField("label", T.StringType()),
@@ -103,11 +122,13 @@ def matching_blocks(documents: DataFrame, text: str = "text", templates: Mapping
     shared = F.size(F.array_intersect("template", "ranked"))
     return (joined.filter((F.size("ranked") >= F.col("needed")) & (left >= F.col("needed")))
             .withColumn("shared", shared).filter(F.col("shared") >= F.col("needed"))
-            .select("text_key", "block", "label", (F.col("shared") / F.size("template")).alias("containment")).distinct())
+            .filter(~F.col("label").isin(list(phrases)) | F.array_contains("told", F.col("label")))
+            .select("text_key", "block", F.substring_index("label", "/", 1).alias("label"), (F.col("shared") / F.size("template")).alias("containment")).distinct())
 
 
 def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES,
-                  phrases: Mapping[str, str] = PHRASES, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+                  phrases: Mapping[str, str] = PHRASES, percent: int = PERCENT, block_words: int = BLOCK_WORDS,
+                  telling: Mapping[str, str] | None = None) -> DataFrame:
     """One row per document: places of the phrases, their labels, the labels of matching templates too, and a score.
 
     The score is 1 where a phrase stands, else the largest containment of a matching template, else 0. Blocks are
@@ -119,7 +140,7 @@ def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = documents.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"), words.alias("words"))
     places = F.concat(*(_labelled(phrase_starts(F.col("words"), phrase), label) for phrase, label in phrases.items()))
     base = rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), places.alias("places"))
-    blocks = matching_blocks(documents, text, templates, percent, block_words)
+    blocks = matching_blocks(documents, text, templates, percent, block_words, telling)
     method = blocks.groupBy("text_key").agg(F.collect_set("label").alias("method"), F.max("containment").alias("containment"))
     own = F.transform("places", lambda p: p["label"])
     joined = F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.coalesce("method", F.array().cast("array<string>"))))), ",")

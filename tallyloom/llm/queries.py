@@ -38,7 +38,7 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan.scan_licenses(_read(spark, folder, "documents"))
+    return license_scan.scan_licenses(_read(spark, folder, "documents"), templates=license_scan.NOTICES, telling=license_scan.TELLING)
 
 
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,3 +52,12 @@ def test_against_brute_force(table):
 def test_empty_tables(table):
     assert _scan(table) == []
     assert _scan(table, "mit cc by", templates={})[0][5] == "cc-by"
+
+
+def test_siblings_are_told_apart(table):
+    texts = {"This work is licensed under the GNU General Public License.": "gpl", "This program is licensed under the GNU Affero General Public License": "agpl,gpl",
+             "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa", "Licensed under CC BY 4.0": "cc-by",
+             "Released under the MIT License.": "mit", "under the License mit der": "", "BSD 3-Clause License": "bsd", "Mozilla Public License 2.0": "mpl"}
+    filler = "w " * 100
+    rows = _scan(table, *(f"{filler}{t} {filler}" for t in texts), templates=license_scan.NOTICES, telling=license_scan.TELLING)
+    assert [r[5] for r in rows] == list(texts.values())
