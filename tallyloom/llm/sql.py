@@ -144,6 +144,122 @@ from d left join n using (k) left join items using (k)
 """
 
 
+# CRC-32 of a list of bytes, by the usual table of 256 entries.
+_CRC = """
+crc_steps(i, x, k) as (
+  select range, range::bigint, 0 from range(256)
+  union all
+  select i, case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end, k + 1 from crc_steps where k < 8),
+crc as (select list(x order by i) as t from crc_steps where k = 8)"""
+
+
+def _bytes(text: str) -> str:
+    """UTF-8 of a text whose code points are below 2048."""
+    wide = "[192 + unicode(c) // 64, 128 + unicode(c) % 64]"
+    return f"flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else {wide} end))"
+
+
+def _crc32(text: str, table: str = "t") -> str:
+    folded = f"list_reduce({_bytes(text)}, lambda a, b: xor(a // 256, {table}[xor(a, b) % 256 + 1]), 4294967295::bigint)"
+    return f"xor({folded}, 4294967295)"
+
+
+def _op11() -> str:
+    turned = "case when state = 2 then 3 else 2 end"
+    role = "case when state = 2 then 'assistant' else 'user' end"
+    return f"""
+with recursive {_CRC},
+named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+hashed as (select n.*, {_crc32("name")} % 20 as h from named n, crc),
+damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+         case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from hashed, unnest(range(case when h = 3 then 2 else 1 end)) where h <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n from damaged),
+judged as (
+  select *, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank'
+                 when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate'
+                 when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 'truncated' else 'none' end as fault,
+         lag(role) over (partition by conv_id order by n) as before
+  from numbered),
+ids as (select distinct conv_id, dense_rank() over (order by conv_id nulls first) as k from named),
+todo as (select k, n, role, text, fault from judged j join ids on j.conv_id is not distinct from ids.conv_id),
+last_row as (select k, max(n) as last_n from todo group by k),
+-- one row per conversation, row and state: the cheapest edits so far, with what they write
+walk(k, n, state, best) as (
+  select k, 0::bigint, 0, {{'cost': 0, 'audit': '', 'out': []::varchar[]}} from last_row
+  union all
+  select k, n, state, min(best) from (
+    with opened as (
+      select k, n, state, best.cost as cost, best.audit as audit, best.out as out from walk),
+    once as (
+      select * from opened union all
+      select k, n, {turned}, cost + 3, audit || 'I', list_append(out, {role} || ':') from opened),
+    often as (
+      select * from once union all
+      select k, n, {turned}, cost + 3, audit || 'I', list_append(out, {role} || ':') from once where state = 2)
+    select o.k, o.n + 1 as n, state, {{'cost': cost + 4, 'audit': audit || 'D', 'out': out}} as best
+    from often o join todo t on t.k = o.k and t.n = o.n + 1
+    union all
+    select o.k, o.n + 1, {turned}, {{'cost': cost + 3 + case when fault = 'truncated' then 3 else 0 end, 'audit': audit || 'R',
+                                   'out': list_append(out, {role} || ':' || text)}}
+    from often o join todo t on t.k = o.k and t.n = o.n + 1 where fault not in ('blank', 'duplicate')
+    union all
+    select o.k, o.n + 1, case left(role, 1) when 's' then 1 when 'u' then 2 else 3 end,
+           {{'cost': cost + case when fault = 'truncated' then 3 else 0 end, 'audit': audit || 'K', 'out': list_append(out, role || ':' || text)}}
+    from often o join todo t on t.k = o.k and t.n = o.n + 1
+    where fault not in ('blank', 'duplicate')
+      and ((left(role, 1) = 's' and state = 0) or (left(role, 1) = 'u' and state <> 2) or (left(role, 1) = 'a' and state = 2)))
+  group by k, n, state),
+ended as (
+  select k, min({{'cost': best.cost + 3 * extra, 'audit': best.audit || repeat('I', extra),
+                 'out': list_concat(best.out, ['user:', 'assistant:'][3 - extra:])}}) as best
+  from (select w.*, case state when 1 then 2 when 2 then 1 else 0 end as extra from walk w join last_row l on l.k = w.k and l.last_n = w.n)
+  group by k),
+counted as (
+  select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal
+  from judged group by conv_id)
+select i.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost,
+       coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.out, chr(10)), '')) as repaired_sha256
+from ids i left join ended e on e.k = i.k left join counted c on c.conv_id is not distinct from i.conv_id
+"""
+
+
+def _op12() -> str:
+    return f"""
+with recursive {_CRC},
+runs as (
+  select doc_id, run, count(*) as m
+  from (select doc_id, unnest(regexp_extract_all({_lower("text")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents) group by all),
+hashed as (select run, m, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from runs, crc where length(run) >= 7),
+made as (select case when h % 31 = 0 then run[1 : h % length(run)] || run[h % length(run) + 2 :] else run end as word, m from hashed),
+v as (select word, sum(m)::bigint as n from made where length(word) >= 7 group by word having sum(m) >= 2),
+shorter as (select word, n, i, word[1 : i - 1] || word[i + 1 :] as rest from v, unnest(range(1, length(word) + 1)) t(i)),
+pairs as (
+  select a.word, a.n, b.word as other, b.n as other_n from shorter a join shorter b using (i, rest) where a.word <> b.word
+  union
+  select s.word, s.n, v.word, v.n from shorter s join v on v.word = s.rest
+  union
+  select v.word, v.n, s.word, s.n from shorter s join v on v.word = s.rest),
+near as (select word, count(*) as n_near, min({{'m': -other_n, 'other': other}}) as best from pairs group by word),
+judged as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when -best.m >= 10 * v.n then best.other end as form,
+         case when -best.m >= 10 * v.n then -best.m end as form_n
+  from v left join near on near.word = v.word),
+chains(word, root, steps) as (
+  select word, word, 0 from judged
+  union all
+  select c.word, j.form, steps + 1 from chains c join judged j on j.word = c.root where j.form is not null),
+roots as (select word, max_by(root, steps) as root from chains group by word)
+select word, n, n_near, form, form_n, root from judged join roots using (word)
+"""
+
+
 ORACLE = {"op1_url_filter": _OP1, "op3_license_scan": _op3(), "op5_secret_scan": _op5(), "op6_warc": _OP6,
           "op7_chat_format": _op7(),
-          "op9_decontamination": _op9()}
+          "op9_decontamination": _op9(),
+          "op11_conversation_repair": _op11(), "op12_spelling_variants": _op12()}
