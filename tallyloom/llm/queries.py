@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, pii, quality, repair, secret_scan, spelling, url_filter, warc
+from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, pii, quality, repair, secret_scan, spelling, substring_dedup, url_filter, warc
 
 # Rules of the url query.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -97,8 +97,13 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(_read(spark, folder, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
 
 
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.deduplicated(_read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_secret_scan, op6_warc,
                                 op7_chat_format, op8_personal_data, op9_decontamination, op10_source_mix,
-                                op11_conversation_repair, op12_spelling_variants)
+                                op11_conversation_repair, op12_spelling_variants, op13_suffix_dedup)
 }
