@@ -38,7 +38,8 @@ TELLING = {
 }
 #: A block matches from this share of a template's distinct words on.
 PERCENT = 80
-#: Blocks are this many words, and start at every half of it: each run of half a block and one word lies in one whole.
+#: Blocks are at least this many words, and twice the longest template; they start at every half of it, so each run of half a
+#: block and one word lies in one whole.
 BLOCK_WORDS = 48
 
 
@@ -72,7 +73,7 @@ def _order(words: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def matching_blocks(documents: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES,
-                    percent: int = PERCENT, block_words: int = BLOCK_WORDS, telling: Mapping[str, str] | None = None) -> DataFrame:
+                    percent: int = PERCENT, block_words: int | None = None, telling: Mapping[str, str] | None = None) -> DataFrame:
     """Rows (text_key, block, label, containment) for every block that holds ``percent`` of a template's distinct words.
 
     Words of the templates are ordered by the number of documents that hold them. With ``o`` words needed
@@ -82,6 +83,7 @@ def matching_blocks(documents: DataFrame, text: str = "text", templates: Mapping
     Words of no template are never needed, so a block is reduced to its template words before it is
     shuffled. Templates are a parameter of bounded size; their words are literals.
     """
+    block_words = block_words or max(BLOCK_WORDS, 2 * max((len(t.split()) for t in templates.values()), default=0))
     if block_words < 2:
         raise ValueError("a block has at least two words")
     spark = documents.sparkSession
@@ -127,7 +129,7 @@ def matching_blocks(documents: DataFrame, text: str = "text", templates: Mapping
 
 
 def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES,
-                  phrases: Mapping[str, str] = PHRASES, percent: int = PERCENT, block_words: int = BLOCK_WORDS,
+                  phrases: Mapping[str, str] = PHRASES, percent: int = PERCENT, block_words: int | None = None,
                   telling: Mapping[str, str] | None = None) -> DataFrame:
     """One row per document: places of the phrases, their labels, the labels of matching templates too, and a score.
 

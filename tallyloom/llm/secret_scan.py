@@ -33,15 +33,15 @@ BASE = (
 )
 #: A private key block reaches through its END line; without one, through header lines and the base64 lines that follow, a
 #: last short one included. Line breaks may be written as backslash and letter. Repeats are possessive, so no text is slow.
-_KEY_MARK = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_KEY_MARK = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 _BREAK = r"(?:\s|\\[nrt])"
 _PEM = (rf"-----BEGIN {_KEY_MARK}(?:[^-]*+(?:-{{1,4}}(?!-)[^-]*+)*+-----END {_KEY_MARK}"
-        rf"|(?:{_BREAK}++[A-Z][A-Za-z-]{{2,20}}: [^\r\n\\]{{0,200}}){{0,8}}+"
+        rf"|(?:{_BREAK}++[A-Z][A-Za-z-]{{2,}}+: [^\r\n\\]*+)*+"
         rf"(?:{_BREAK}++[A-Za-z0-9+/]{{32,}}+={{0,2}}+(?![A-Za-z0-9+/_=]))++"
         rf"(?:{_BREAK}++[A-Za-z0-9+/]{{1,31}}+={{0,2}}+(?=[\x20\t]*+(?:[\r\n\\]|\z)))?+)?+")
 #: Kinds beside the base: private key blocks, tokens of code hosts, signed web tokens.
 ADDED = (
-    Rule("pem", _PEM, version=2),
+    Rule("pem", _PEM, version=3),
     Rule("hosttoken", r"gh[oprsu]_[A-Za-z0-9]{36}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )

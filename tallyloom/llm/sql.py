@@ -37,19 +37,20 @@ def _phrase(phrase: str) -> str:
 def _op3() -> str:
     places = [f"list_transform({_phrase(p)}, lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in license_scan.PHRASES.items()]
     step = license_scan.BLOCK_WORDS // 2
-    sets = {label: sorted(set(text.split())) for label, text in license_scan.TEMPLATES.items()}
-    templates = ", ".join(f"('{label}', {words})" for label, words in sets.items())
+    templates = ", ".join(f"('{name}', '{name.split('/')[0]}', {sorted(set(text.split()))}, ' {license_scan.TELLING.get(name, '')} ')"
+                          for name, text in license_scan.NOTICES.items())
     return f"""
 with d as (
   select row_number() over () as k, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {_PLAIN}) as w from documents),
 base as (select k, doc_id, len(w) as n_words, list_concat({", ".join(places)}) as places from d),
 blocks as (
-  select k, list_distinct(w[b * {step} + 1 : b * {step} + {license_scan.BLOCK_WORDS}]) as part
+  select k, list_distinct(w[b * {step} + 1 : b * {step} + {license_scan.BLOCK_WORDS}]) as part,
+         ' ' || array_to_string(w[b * {step} + 1 : b * {step} + {license_scan.BLOCK_WORDS}], ' ') || ' ' as spaced
   from d, unnest(range(0, len(w) // {step} + 1)) t(b)),
 hits as (
   select k, label, len(list_intersect(part, words)) / len(words) as share
-  from blocks, (values {templates}) t(label, words)
-  where 100 * len(list_intersect(part, words)) >= {license_scan.PERCENT} * len(words)),
+  from blocks, (values {templates}) t(name, label, words, told)
+  where (told = '  ' or contains(spaced, told)) and 100 * len(list_intersect(part, words)) >= {license_scan.PERCENT} * len(words)),
 m as (select k, list(distinct label) as method, max(share) as share from hits group by k)
 select doc_id, n_words, cast(len(places) as bigint) as n_base,
        list_min(list_transform(places, lambda p: p.at)) as first_word, list_max(list_transform(places, lambda p: p.at)) as last_word,
@@ -66,11 +67,12 @@ def _either_case(text: str) -> str:
 
 def _op5() -> str:
     keys = "|".join(_either_case(k) for k in ("password", "passwd", "secret", "token", "api_?key"))
+    mark = "[A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----"
     kinds = [
         ("assign", rf"""({keys})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
         ("access", "AKIA[A-Z0-9]+", 0, 16),
         ("hex", "[0-9a-f]+", 0, 32),
-        ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+        ("pem", f"-----BEGIN {mark}([^-]*(-{{1,4}}[^-]+)*-----END {mark})?", 0, 1),
         ("hosttoken", "gh[oprsu]_[A-Za-z0-9]{36}", 0, 1),
         ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ]

@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a fresh local one only under a local master."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, one of this machine, if that is all there is."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

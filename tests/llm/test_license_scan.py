@@ -61,3 +61,11 @@ def test_siblings_are_told_apart(table):
     filler = "w " * 100
     rows = _scan(table, *(f"{filler}{t} {filler}" for t in texts), templates=license_scan.NOTICES, telling=license_scan.TELLING)
     assert [r[5] for r in rows] == list(texts.values())
+
+
+def test_a_template_longer_than_the_least_block_is_found_wherever_it_stands(table):
+    template = " ".join(f"t{n}" for n in range(60))
+    filler = [f"w{n}" for n in range(400)]
+    texts = [" ".join([*filler[:n], template, *filler[n:]]) for n in (0, 17, 59, 60, 119, 300)]
+    rows = _scan(table, *texts, templates={"long": template}, percent=100)
+    assert [(r[5], r[6]) for r in rows] == [("long", 1.0)] * len(texts)
