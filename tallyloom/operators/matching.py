@@ -16,18 +16,21 @@ from tallyloom.functions.text import match_name, normalize_text, words
 def employee_names(employees: DataFrame) -> DataFrame:
     """Active employees with the words they are matched by."""
     name = match_name(F.col("external_ref"), F.col("full_name"))
-    return (employees.filter("is_active").select("id", name.alias("name"))
-            .filter(F.col("name").isNotNull())
-            .select("id", "name", words(normalize_text(F.col("name"))).alias("tokens"))
-            .filter(F.size("tokens") > 0)
-            .select("id", "name", F.get("tokens", F.lit(0)).alias("first_word"),
-                    F.get("tokens", F.size("tokens") - 1).alias("last_word")))
+
+    def ends(tokens):
+        return F.struct(F.get(tokens, F.lit(0)).alias("first_word"), F.get(tokens, F.size(tokens) - 1).alias("last_word"))
+
+    # The words are bound in a lambda, so the name is cleaned once for both.
+    both = F.transform(F.array(words(normalize_text(F.col("name")))), ends)
+    return (employees.filter("is_active").select("id", name.alias("name")).filter(F.col("name").isNotNull())
+            .select("id", "name", F.inline(both)).filter(F.col("first_word").isNotNull()))
 
 
 def _name_pairs(names: DataFrame) -> DataFrame:
     """Distinct word pairs with their lowest id, keyed by the word fewer pairs share."""
     pairs = names.groupBy("first_word", "last_word").agg(F.min("id").alias("employee_id"))
-    uses = (pairs.select(F.explode(F.array_distinct(F.array("first_word", "last_word"))).alias("word"))
+    # The id is counted so that this reads the same exchange as the joins below.
+    uses = (pairs.select("employee_id", F.explode(F.array_distinct(F.array("first_word", "last_word"))).alias("word"))
             .groupBy("word").agg(F.count("*").alias("uses")))
     first_uses = uses.select(F.col("word").alias("first_word"), F.col("uses").alias("first_uses"))
     last_uses = uses.select(F.col("word").alias("last_word"), F.col("uses").alias("last_uses"))
@@ -41,14 +44,15 @@ def _name_pairs(names: DataFrame) -> DataFrame:
 def match_employees(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """``key`` and ``employee_id`` of every text that names someone. ``key`` is unique per text.
 
-    Only keys travel with a text's words; the words are joined again by key where a rarer word was met.
+    A text is read once: its words are cut down to words of names, gathered again per text, and only then
+    joined to the pairs by their rarer word.
     """
     pairs = _name_pairs(names)
-    tokens = texts.select(key, F.array_distinct(words(normalize_text(F.col(text)))).alias("tokens"))
-    # Unfolding an expression keeps Spark from testing the whole cleaning once more in a filter below.
-    word = F.explode(F.concat("tokens")).alias("word")
-    candidates = tokens.select(key, word).join(pairs, "word").select(key, "employee_id", "other").join(tokens, key)
-    found = candidates.filter(F.array_contains("tokens", F.col("other")))
+    name_words = names.select(F.explode(F.array("first_word", "last_word")).alias("word")).distinct()
+    word = F.explode(F.array_distinct(words(normalize_text(F.col(text))))).alias("word")
+    known = texts.select(key, word).join(name_words, "word").groupBy(key).agg(F.collect_list("word").alias("known"))
+    candidates = known.select(key, "known", F.explode(F.concat("known")).alias("word")).join(pairs, "word")
+    found = candidates.filter(F.array_contains("known", F.col("other")))
     return found.groupBy(key).agg(F.min("employee_id").alias("employee_id"))
 
 
