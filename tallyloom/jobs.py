@@ -9,11 +9,13 @@ from datetime import date, datetime, timezone
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tallyloom import schemas
 from tallyloom.functions.bands import load_bands
 from tallyloom.functions.periods import Periods
 from tallyloom.plans import performance, review
+from tallyloom.sources.idtable import IdTable, new_by_table
 from tallyloom.sources.sinks import append, log_audit, log_run, replace_snapshot, write_sales
 from tallyloom.sources.tables import read_or_empty, read_sales, read_table
 
@@ -115,12 +117,30 @@ def store_dimension(store: Warehouse, name: str, changed: DataFrame, *, user_id:
 
 
 def load_sales(store: Warehouse, arrived: DataFrame, order: list[str], run_id: str, triggered_by: str = "auto") -> int:
-    """Append the sales that are new by invoice. A repeated load of identified sales adds nothing."""
+    """Append the sales that are new by invoice. A repeated load of identified sales adds nothing.
+
+    Known invoices are looked up in a bucketed table of their own. Each load marks its start and its end; if the last one did
+    not end, or sales came before the table, it is first rebuilt from the sales.
+    """
     def work() -> int:
-        stored = read_or_empty(store.spark, store.path("sales"), schemas.SALES)
-        written = Observation("sales")
-        fresh = review.new_sales(arrived, stored, order).select(*schemas.SALES.fieldNames())
-        write_sales(fresh.observe(written, F.count("*").alias("n_rows")), store.path("sales"))
+        spark, marks = store.spark, store.path("sales_loads")
+        ids = IdTable(spark, store.path("invoice_ids"))
+        loads = read_or_empty(spark, marks, schemas.SALES_LOADS).agg(
+            F.max("load_no"), F.max(F.when(F.col("state") == "ended", F.col("load_no")))).first()
+        last, ended = (-1 if n is None else n for n in loads)
+        if last != ended or last < 0:
+            ids.rebuild(read_or_empty(spark, store.path("sales"), schemas.SALES).select("invoice_ref"), last)
+        now = last + 1
+        append(spark.createDataFrame([(now, "started")], schemas.SALES_LOADS), marks)
+        # What is appended is fixed before the sales change, since they are appended in place.
+        fresh = new_by_table(arrived, "invoice_ref", order, ids, now).select(*schemas.SALES.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            written = Observation("sales")
+            write_sales(fresh.observe(written, F.count("*").alias("n_rows")), store.path("sales"))
+            ids.add(fresh.select("invoice_ref"), now)
+        finally:
+            fresh.unpersist()
+        append(spark.createDataFrame([(now, "ended")], schemas.SALES_LOADS), marks)
         return _rows_seen(written)
 
     return _logged(store, run_id, triggered_by, work)

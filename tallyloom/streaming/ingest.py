@@ -19,6 +19,7 @@ from tallyloom import schemas
 from tallyloom.operators.matching import assign_employees
 from tallyloom.operators.scanning import find_phrases
 from tallyloom.plans import messages as feed
+from tallyloom.sources.idtable import IdTable, new_by_table
 from tallyloom.sources.sinks import write_batch
 from tallyloom.sources.tables import read_or_empty
 
@@ -49,6 +50,9 @@ class FeedTables:
     def health(self) -> str:
         return f"{self.root}/health"
 
+    def message_ids(self, spark: SparkSession) -> IdTable:
+        return IdTable(spark, f"{self.root}/message_ids")
+
 
 def _columns(rows: DataFrame, schema) -> DataFrame:
     return rows.select(*[f for f in schema.fieldNames() if f != "batch_id"])
@@ -76,14 +80,15 @@ def ingest_batch(payloads: DataFrame, batch_id: int, tables: FeedTables, keyword
     spark = payloads.sparkSession
     parsed = feed.parse_payloads(payloads).persist(StorageLevel.MEMORY_AND_DISK)
     arrived = feed.once_per_delivery(feed.flatten_payloads(parsed)).persist(StorageLevel.MEMORY_AND_DISK)
-    stored = _before(spark, tables.messages, schemas.MESSAGES, batch_id)
-    fresh = feed.new_messages(arrived, stored, feed.ARRIVAL)
+    ids = tables.message_ids(spark)
+    fresh = new_by_table(arrived, "channel_message_id", feed.ARRIVAL, ids, batch_id)
     if names is not None:
         fresh = assign_employees(fresh, "message_id", "body", names)
     fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         write_batch(feed.rejected_payloads(parsed), tables.rejects, batch_id)
         write_batch(_columns(fresh, schemas.MESSAGES), tables.messages, batch_id)
+        ids.add(fresh.select("channel_message_id"), batch_id)
         write_batch(feed.customer_changes(arrived, feed.ARRIVAL), tables.customers, batch_id)
         writers = arrived.filter(F.col("channel_id").isNotNull()).select("channel_id")
         log = _before(spark, tables.customers, schemas.CUSTOMER_CHANGES, batch_id)
