@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.defaults import NO_BAND
 from tallyloom.functions.bands import (
     bands_from_json,
     percentage_of_target,
@@ -18,12 +20,15 @@ from tallyloom.functions.bands import (
 from tallyloom.functions.jsontext import epoch_or_arrival, json_number, json_text, public_settings
 from tallyloom.functions.periods import Periods, period_columns
 from tallyloom.functions.text import match_name, none_if_blank, normalize_text
-from tallyloom.operators import access, integrity, keyed, matching
+from tallyloom.operators import access, integrity, intervals, keyed, matching
+from tallyloom.operators.asof import asof_join
 from tallyloom.plans import messages as feed
-from tallyloom.plans import maintenance, performance, quality, review, roster
-from tallyloom.plans.deletion import delete_rows
+from tallyloom.plans import calendar, deltas, maintenance, performance, quality, review, roster
+from tallyloom.plans.deletion import delete_many
 from tallyloom.sources import samples
+from tallyloom.sources.idtable import IdTable, new_by_table
 from tallyloom.sources.sinks import seed_rows
+from tallyloom.sources.workspace import fresh_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,6 +156,16 @@ def status_bands(t):
         "c_custkey", "percentage", status_label(F.col("percentage"), BANDS).alias("status"))
 
 
+@query
+def team_status_bands(t):
+    """Customers banded by the settings of their own team; a third of them belong to one team."""
+    team = F.when(F.col("c_custkey") % 3 == 0, 7).otherwise(F.col("c_custkey") % 40 + 1)
+    amount = (F.col("c_acctbal").cast("decimal(14,2)") * F.lit(0.02).cast("decimal(3,2)")).cast("decimal(38,12)")
+    rated = t.base("customer").select("c_custkey", F.concat(F.lit("team-"), team.cast("string")).alias("key"), amount.alias("percentage"))
+    found = asof_join(rated, threshold_rows(t.settings, "key"), ["key"], "percentage", "min_pct", ["label"])
+    return found.select("c_custkey", "key", "percentage", F.coalesce("label", F.lit(NO_BAND)).alias("status"))
+
+
 @query
 def threshold_rows_(t):
     return threshold_rows(t.settings, "key")
@@ -210,6 +225,20 @@ def performance_after_assign(t):
     return _snapshot(t, sales=_assigned(t))
 
 
+@query
+def performance_delta(t):
+    """A tenth of the sales is new and some of the others move: the rows of all periods these touch."""
+    stored, fresh = t.sales_records.filter("id % 11 <> 0"), t.sales_records.filter("id % 11 = 0")
+    dimensions = (t.employees, t.team_leaders, t.targets, BANDS)
+    signed = deltas.added_sales(fresh).unionByName(deltas.moved_sales(stored, _assignments(stored), "change_no"))
+    return deltas.performance_delta(deltas.performance_history(stored, *dimensions), signed, *dimensions)
+
+
+@query
+def performance_calendar(t):
+    return calendar.performance_calendar(t.sales_lines, t.employees, date(2000, 1, 1), date(2000, 12, 31))
+
+
 # Text and matching
 
 
@@ -312,6 +341,15 @@ def messages_dedup(t):
         "payload_id", "delivery", "channel_message_id", "channel_id", "body", "received_at")
 
 
+@query
+def messages_dedup_by_bucket(t):
+    """The same through a stored id table, of which the batch reads its own buckets only."""
+    ids = IdTable(t._spark, fresh_folder(t._spark, "message-ids"), buckets=16)
+    ids.add(t.messages.filter(F.col("customer_id") % 5 == 1).select("channel_message_id"), 0)
+    return new_by_table(t.deliveries, "channel_message_id", feed.ARRIVAL, ids, 1).select(
+        "payload_id", "delivery", "channel_message_id", "channel_id", "body", "received_at")
+
+
 @query
 def customers_upsert(t):
     return feed.upsert_customers(t.channel_customers, feed.customer_changes(t.deliveries, feed.ARRIVAL))
@@ -442,6 +480,27 @@ def active_sessions(t):
                                   t.users, datetime(2024, 1, 20))
 
 
+def _sessions(t):
+    """All sessions, and one of a month."""
+    long_one = t.users.select(F.min("id").alias("user_id")).select(
+        F.lit(-1).cast("bigint").alias("session_id"), "user_id", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("created_at"),
+        F.lit(datetime(2024, 2, 1)).cast("timestamp_ntz").alias("expires_at"))
+    own = t.sessions.select("session_id", F.col("user_id").cast("bigint").alias("user_id"), F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                            access.session_expiry(F.col("created_at")).cast("timestamp_ntz").alias("expires_at"))
+    return own.unionByName(long_one)
+
+
+@query
+def session_overlaps(t):
+    pairs = intervals.overlapping_pairs(_sessions(t), "session_id", "user_id", "created_at", "expires_at")
+    return pairs.groupBy("user_id").agg(F.count("*").alias("n_pairs"), F.sum("left_id").alias("left_ids"), F.sum("right_id").alias("right_ids"))
+
+
+@query
+def sessions_alive_hourly(t):
+    return intervals.alive_per_hour(_sessions(t), "created_at", "expires_at")
+
+
 @query
 def active_admins(t):
     return access.active_admins(t.users)
@@ -506,6 +565,32 @@ def employees_upsert_rejects(t):
     return _upserted(t)[1]
 
 
+@query
+def team_leaders_upsert(t):
+    leaders = t.team_leaders
+    edits = leaders.filter("id % 5 = 0").select("id", F.when(F.col("id") % 15 != 0, F.concat("full_name", F.lit(" (edited)"))).alias("full_name"),
+                                                F.lit(None).cast("boolean").alias("is_active"), F.lit(1).alias("change_no"))
+    last = leaders.filter("id % 10 = 0 and id % 15 <> 0").select("id", F.concat("full_name", F.lit(" (last)")).alias("full_name"),
+                                                                 F.lit(False).alias("is_active"), F.lit(2).alias("change_no"))
+    added = leaders.filter("id % 20 = 3").select(F.lit(None).cast("bigint").alias("id"), F.concat(F.lit("New "), F.col("id").cast("string")).alias("full_name"),
+                                                 F.lit(None).cast("boolean").alias("is_active"), F.lit(3).alias("change_no"))
+    new_id = F.element_at(F.split("full_name", " "), -1).cast("bigint") + 1_000_000
+    return maintenance.upsert_team_leaders(leaders, edits.unionByName(last).unionByName(added), order="change_no", new_id=new_id)[0]
+
+
+@query
+def keywords_upsert(t):
+    rules = t.part_rules
+    edits = rules.filter("id % 4 = 0").select("id", F.concat(F.lit("  "), "phrase", F.lit(" x ")).alias("phrase"),
+                                              F.when(F.col("id") % 8 == 0, "  ").otherwise(F.col("label")).alias("label"),
+                                              F.lit(False).alias("is_active"), F.lit(1).alias("change_no"))
+    refused = rules.filter("id % 9 = 1").select("id", F.lit("   ").alias("phrase"), "label", F.lit(False).alias("is_active"), F.lit(2).alias("change_no"))
+    added = rules.filter("id % 10 = 7").select(F.lit(None).cast("bigint").alias("id"), F.concat(F.lit("rule "), F.col("id").cast("string")).alias("phrase"),
+                                               F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("is_active"), F.lit(3).alias("change_no"))
+    new_id = F.element_at(F.split("phrase", " "), -1).try_cast("bigint") + 1_000_000
+    return maintenance.upsert_keywords(rules, edits.unionByName(refused).unionByName(added), order="change_no", new_id=new_id)[0]
+
+
 @query
 def targets_replace(t):
     changes = t.targets.filter("id % 4 = 0")
@@ -517,14 +602,13 @@ def targets_replace(t):
 
 @query
 def delete_cascade(t):
-    notes = quality.scan_messages(t.messages, t.channel_customers, t.keywords)
-    tables = {"team_leaders": t.team_leaders, "targets": t.targets, "customers": t.channel_customers,
-              "messages": t.messages, "notes": notes}
-    left = delete_rows(tables, "team_leaders", t.team_leaders.filter("id % 6 = 0"))
-    left = delete_rows(left, "customers", t.channel_customers.filter("id % 4 = 0"))
-    parts = [left[name].select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"))
-             for name, key in (("targets", "id"), ("messages", "message_id"), ("notes", "message_id"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    customers = written(t.channel_customers, "customers")
+    notes = written(quality.scan_messages(t.messages, customers, t.keywords), "notes")
+    tables = {"team_leaders": t.team_leaders, "targets": t.targets, "customers": customers, "messages": t.messages, "notes": notes}
+    left = delete_many(tables, {"team_leaders": t.team_leaders.filter("id % 6 = 0"), "customers": customers.filter("id % 4 = 0")})
+    parts = [left[name].select(F.lit(name).alias("table_name"), F.col("message_id" if name in ("messages", "notes") else "id").alias("row_id"))
+             for name in tables]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query

@@ -127,8 +127,8 @@ def load_sales(store: Warehouse, arrived: DataFrame, order: list[str], run_id: s
         ids = IdTable(spark, store.path("invoice_ids"))
         loads = read_or_empty(spark, marks, schemas.SALES_LOADS).agg(
             F.max("load_no"), F.max(F.when(F.col("state") == "ended", F.col("load_no")))).first()
-        last, ended = (-1 if n is None else n for n in loads)
-        if last != ended or last < 0:
+        last, ended = (n or 0 for n in loads)
+        if last != ended or last == 0:
             ids.rebuild(read_or_empty(spark, store.path("sales"), schemas.SALES).select("invoice_ref"), last)
         now = last + 1
         append(spark.createDataFrame([(now, "started")], schemas.SALES_LOADS), marks)

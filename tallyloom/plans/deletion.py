@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from tallyloom.operators.integrity import children_of, null_children_of, without_children_of
@@ -28,22 +30,46 @@ FOREIGN_KEYS = (
 _KEYS = {"messages": "message_id", "sessions": "session_id"}
 
 
-def delete_rows(tables: dict[str, DataFrame], name: str, deleted: DataFrame) -> dict[str, DataFrame]:
-    """The tables after ``deleted`` rows of table ``name`` are gone, with all their dependants.
+def _key(name: str) -> str:
+    return _KEYS.get(name, "id")
+
 
-    Dependent rows of cascading keys go too, to any depth; other keys become NULL. Tables that are not
-    given are left out. Each step is one join on the foreign key.
+def deleted_keys(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Keys of all rows that go, per table that others refer to: the given ones and, to any depth, what cascades from them.
+
+    The foreign keys form no cycle, so parents are worked through before their children and every table is met once.
     """
-    key = _KEYS.get(name, "id")
-    after = {**tables, name: without_children_of(tables[name], deleted, key, key)}
-    for child, column, parent, cascades in FOREIGN_KEYS:
-        if parent != name or child not in after:
-            continue
-        has_dependants = any(p == child and c in after for c, _, p, _ in FOREIGN_KEYS)
-        if not cascades:
-            after[child] = null_children_of(after[child], deleted, column, key)
-        elif has_dependants:
-            after = delete_rows(after, child, children_of(after[child], deleted, column, key))
-        else:
-            after[child] = without_children_of(after[child], deleted, column, key)
+    parents = [p for p in dict.fromkeys(parent for _, _, parent, _ in FOREIGN_KEYS) if p in tables]
+    gone: dict[str, DataFrame] = {}
+    for name in parents:
+        own = [deleted[name].select(_key(name))] if name in deleted else []
+        for child, column, parent, cascades in FOREIGN_KEYS:
+            if child == name and cascades and parent in gone:
+                own.append(children_of(tables[name], gone[parent], column, _key(parent)).select(_key(name)))
+        if own:
+            gone[name] = reduce(DataFrame.unionByName, own)
+    return gone
+
+
+def delete_many(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after the given rows of some of them are gone, with all their dependants.
+
+    The deleted keys are found first. Then each table is read once, with one join per foreign key whose parent lost rows: rows of a
+    cascading key go, other keys become NULL. Tables that are not given are left out.
+    """
+    gone = deleted_keys(tables, deleted)
+    after = {}
+    for name, rows in tables.items():
+        if name in deleted:
+            rows = without_children_of(rows, deleted[name], _key(name), _key(name))
+        for child, column, parent, cascades in FOREIGN_KEYS:
+            if child == name and parent in gone:
+                change = without_children_of if cascades else null_children_of
+                rows = change(rows, gone[parent], column, _key(parent))
+        after[name] = rows
     return after
+
+
+def delete_rows(tables: dict[str, DataFrame], name: str, deleted: DataFrame) -> dict[str, DataFrame]:
+    """The tables after ``deleted`` rows of table ``name`` are gone."""
+    return delete_many(tables, {name: deleted})

@@ -132,3 +132,17 @@ def test_dimensions_are_stored_with_an_audit_row(spark, table, tmp_path):
     store_dimension(store, "keywords", changed, user_id=1, user_name="u", role="admin", action="delete")
     assert [r.id for r in store.read("keywords").collect()] == [2]
     assert [a.entity_type for a in store.read("audit_log").collect()] == ["keywords"] * 3
+
+
+def test_a_load_that_died_is_repaired_from_the_sales(spark, store, table, monkeypatch):
+    from tallyloom.sources import idtable
+
+    columns = "id bigint, employee_id bigint, invoice_ref string, amount decimal(14,2), sale_date date, raw string, synced_at timestamp"
+    arrived = table(columns, (901, 1, "r1", D(5), date(2024, 1, 3), None, None), (902, 1, "r2", D(6), date(2024, 2, 3), None, None))
+    with monkeypatch.context() as patched:
+        patched.setattr(idtable.IdTable, "add", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            load_sales(store, arrived, ["id"], "first")
+    assert load_sales(store, arrived, ["id"], "again") == 0
+    more = arrived.unionByName(table(columns, (903, 1, "r3", D(7), date(2024, 2, 3), None, None)))
+    assert load_sales(store, more, ["id"], "more") == 1
