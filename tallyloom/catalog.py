@@ -132,7 +132,7 @@ def live_display(t):
 
 @query
 def performance_upsert(t):
-    return performance.upsert_snapshot(_snapshot(t, DAY_BEFORE), _snapshot(t))
+    return performance.replace_current(_snapshot(t, DAY_BEFORE), _snapshot(t), t.employees, t.team_leaders, PERIODS)
 
 
 @query

@@ -69,3 +69,9 @@ def period_columns(day: Column) -> list[Column]:
         week.alias("week_start"), F.date_add(week, 7).alias("week_end"),
         month.alias("month_start"), F.add_months(month, 1).alias("month_end"),
     ]
+
+
+def period_days(kind: str, start: date) -> list[date]:
+    """All days of a period that starts on a date."""
+    period = next(p for p in Periods(start).all if p.kind == kind)
+    return [period.start + timedelta(days=n) for n in range((period.end - period.start).days)]

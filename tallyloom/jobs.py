@@ -6,18 +6,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tallyloom import schemas
 from tallyloom.functions.bands import load_bands
-from tallyloom.functions.periods import Periods
-from tallyloom.plans import performance, review
+from tallyloom.functions.periods import Periods, period_days
+from tallyloom.plans import deltas, performance, review
 from tallyloom.sources.idtable import IdTable, new_by_table
-from tallyloom.sources.sinks import append, log_audit, log_run, replace_snapshot, write_sales
-from tallyloom.sources.tables import read_or_empty, read_sales, read_table
+from tallyloom.sources.sinks import append, log_audit, log_run, replace_periods, replace_snapshot, write_sales
+from tallyloom.sources.tables import read_or_empty, read_sales, read_sales_days, read_table
 
 
 @dataclass(frozen=True)
@@ -39,11 +38,8 @@ def _now() -> datetime:
 
 
 def _rows_seen(written: Observation) -> int:
-    """Rows counted by a finished write. Spark can drop an empty result together with its count."""
-    try:
-        return written.get["n_rows"]
-    except Py4JJavaError:
-        return 0
+    """Rows counted by a finished write; an empty result has no count."""
+    return written.get.get("n_rows", 0)
 
 
 def _logged(store: Warehouse, run_id: str, triggered_by: str, work: Callable[[], int]) -> int:
@@ -81,7 +77,7 @@ def recompute_performance(store: Warehouse, as_of: date, run_id: str, *, assignm
             load_bands(store.read("settings")), _now())
         written = Observation("snapshot")
         replace_snapshot(store.spark, fresh.observe(written, F.count("*").alias("n_rows")), store.path("performance"),
-                         periods)
+                         periods, (store.read("employees"), store.read("team_leaders")))
         return _rows_seen(written)
 
     return _logged(store, run_id, triggered_by, work)
@@ -103,6 +99,52 @@ def assign_sales(store: Warehouse, assignments: DataFrame, *, user_id: int, user
     append(audit, store.path("audit_log"))
 
 
+def _stored_assignments(store: Warehouse) -> DataFrame:
+    return read_or_empty(store.spark, store.path("assignments"), schemas.ASSIGNMENTS)
+
+
+def recompute_touched(store: Warehouse, signed: DataFrame, run_id: str, triggered_by: str = "auto") -> int:
+    """Recompute the owners and periods that changes touch, past ones included; returns how many.
+
+    ``signed`` are rows (employee_id, sale_date, amount) as in ``plans.deltas``; they say what is touched. The sums are made anew from the
+    sales of these periods' days, with all assignments, so that the job can be repeated. The periods are read as a list, which has
+    three entries per day that changed at most.
+    """
+    def work() -> int:
+        employees, fresh = store.read("employees"), None
+        touched = deltas.sums_by_period(signed, employees).select(*deltas.PERIOD_KEY).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            periods = [(r[0], r[1]) for r in touched.select("period_type", "period_date").distinct().collect()]
+            days = sorted({day for kind, start in periods for day in period_days(kind, start)})
+            months = sorted({day.replace(day=1) for day in days})
+            wanted = store.spark.createDataFrame([(day,) for day in days], "sale_date date")
+            sales = review.with_assignments(read_sales_days(store.spark, store.path("sales"), wanted, months), _stored_assignments(store), "assigned_at")
+            sums = deltas.sums_by_period(deltas.added_sales(sales), employees)
+            zero = F.lit(0).cast(schemas.TOTAL)
+            now = touched.join(sums, deltas.PERIOD_KEY, "left").withColumn("amount", F.coalesce("amount", zero).cast(schemas.TOTAL))
+            fresh = deltas.rated_rows(now, employees, store.read("team_leaders"), store.read("targets"), load_bands(store.read("settings")), _now())
+            fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+            replace_periods(store.spark, fresh, store.path("performance"), periods)
+            return fresh.count()
+        finally:
+            touched.unpersist()
+            if fresh is not None:
+                fresh.unpersist()
+
+    return _logged(store, run_id, triggered_by, work)
+
+
+def move_sales(store: Warehouse, assignments: DataFrame, run_id: str, *, user_id: int, user_name: str, role: str) -> int:
+    """Store manual assignments and recompute the periods, past ones too, of everyone who gains or loses a sale by them."""
+    timed = assignments.withColumn("assigned_at", F.lit(_now()))
+    sales = review.with_assignments(read_table(store.spark, store.path("sales"), schemas.SALES), _stored_assignments(store), "assigned_at")
+    # What moves is written before the assignments are: it is made from them, and a persisted copy would be made anew when they change.
+    moves = store.path(f"sale_moves/{run_id}")
+    deltas.moved_sales(sales, timed, "assigned_at").write.mode("overwrite").parquet(moves)
+    assign_sales(store, timed, user_id=user_id, user_name=user_name, role=role)
+    return recompute_touched(store, store.spark.read.schema(schemas.SIGNED_SALES).parquet(moves), run_id, triggered_by="assignment")
+
+
 def store_dimension(store: Warehouse, name: str, changed: DataFrame, *, user_id: int, user_name: str, role: str, action: str) -> None:
     """Put a changed dimension (the result of an upsert, a replacement or a deletion) into the warehouse, with an audit row.
 

@@ -138,6 +138,17 @@ def upsert_snapshot(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return replace_on_key(stored, fresh, SNAPSHOT_KEY)
 
 
+def replace_current(stored: DataFrame, fresh: DataFrame, employees: DataFrame, team_leaders: DataFrame, periods: Periods) -> DataFrame:
+    """The same for a recompute of ``periods``, which has a row for every active owner: what it replaces is known without computing it."""
+    owners = _active(employees, "employee").unionByName(_active(team_leaders, "team_leader"))
+    current = periods.is_current(F.col("period_type"), F.col("period_date"))
+    # An owner is one id beside a NULL; any other row is of no owner and stays.
+    only = ((F.col("scope") == "employee") & F.col("team_leader_id").isNull()) | ((F.col("scope") == "team_leader") & F.col("employee_id").isNull())
+    owned = stored.withColumn("owner_id", F.when(F.coalesce(current & only, F.lit(False)), _owner()))
+    kept = owned.join(owners, ["scope", "owner_id"], "left_anti").select(*stored.columns)
+    return kept.unionByName(fresh.select(*stored.columns))
+
+
 def live_display(performance: DataFrame, employees: DataFrame, team_leaders: DataFrame,
                  periods: Periods) -> DataFrame:
     """The public board: percentages and the monthly status of visible employees, no amounts."""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.defaults import DEFAULT_KEYWORDS
+from tallyloom.defaults import DEFAULT_KEYWORDS, PERIOD_TYPES
 from tallyloom.functions.periods import Periods
 from tallyloom.operators.keyed import absent
-from tallyloom.plans.performance import upsert_snapshot
+from tallyloom.plans.performance import replace_current, upsert_snapshot
 from tallyloom.schemas import AUDIT_LOG, KEYWORDS, PERFORMANCE, RUN_LOG
 from tallyloom.sources.tables import read_or_empty
 
@@ -34,15 +34,31 @@ def write_sales(sales: DataFrame, path: str) -> None:
     rows.hint("rebalance", "sale_month").write.mode("append").partitionBy("sale_month").parquet(path)
 
 
-def replace_snapshot(spark: SparkSession, fresh: DataFrame, path: str, periods: Periods) -> None:
+def replace_snapshot(spark: SparkSession, fresh: DataFrame, path: str, periods: Periods, owners: tuple[DataFrame, DataFrame] | None = None) -> None:
     """Put a recompute into the stored snapshots; only the three current period folders are read and rewritten.
 
+    With ``owners`` (employees, team leaders) the rows to replace are found without computing ``fresh`` a second time.
     Snapshots are derived data: a run that dies while it commits is repaired by running it again.
     """
     stored = read_or_empty(spark, path, PERFORMANCE).filter(
         periods.is_current(F.col("period_type"), F.col("period_date")))
-    merged = upsert_snapshot(stored, fresh.select(*PERFORMANCE.fieldNames()))
-    (merged.hint("rebalance", "period_type", "period_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = fresh.select(*PERFORMANCE.fieldNames())
+    _write_periods(upsert_snapshot(stored, rows) if owners is None else replace_current(stored, rows, *owners, periods), path)
+
+
+def replace_periods(spark: SparkSession, fresh: DataFrame, path: str, periods: list[tuple[str, date]]) -> None:
+    """Put rows of any periods into the stored snapshots; only the folders of these periods are read and rewritten."""
+    if not periods:
+        return
+    wanted = F.lit(False)
+    for kind in PERIOD_TYPES:
+        wanted = wanted | ((F.col("period_type") == kind) & F.col("period_date").isin([day for k, day in periods if k == kind]))
+    stored = read_or_empty(spark, path, PERFORMANCE).filter(wanted)
+    _write_periods(upsert_snapshot(stored, fresh.select(*PERFORMANCE.fieldNames())), path)
+
+
+def _write_periods(rows: DataFrame, path: str) -> None:
+    (rows.hint("rebalance", "period_type", "period_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("period_type", "period_date").parquet(path))
 
 

@@ -36,6 +36,13 @@ def read_sales(spark: SparkSession, path: str, since: date, until: date) -> Data
     return rows.filter(inside).drop("sale_month")
 
 
+def read_sales_days(spark: SparkSession, path: str, days: DataFrame, months: list[date]) -> DataFrame:
+    """Sales of the given days (``sale_date``), from the folders of the given months."""
+    schema = T.StructType([*SALES.fields, T.StructField("sale_month", T.DateType())])
+    rows = read_table(spark, path, schema).filter(F.col("sale_month").isin(months) if months else F.lit(False)).drop("sale_month")
+    return rows.join(days, "sale_date", "left_semi").select(*SALES.fieldNames())
+
+
 def _files(spark: SparkSession, streaming: bool):
     return spark.readStream if streaming else spark.read
 

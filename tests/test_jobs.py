@@ -10,7 +10,7 @@ from tallyloom import schemas
 from tallyloom.functions.bands import bands_from_json, status_label
 from tallyloom.functions.register import register_functions
 from tallyloom.functions.text import normalize_text
-from tallyloom.jobs import Warehouse, assign_sales, live_board, load_sales, recompute_performance, store_dimension
+from tallyloom.jobs import Warehouse, assign_sales, live_board, load_sales, move_sales, recompute_performance, store_dimension
 from tallyloom.plans import maintenance, review
 from tallyloom.sources.samples import BANDS_JSON
 from tallyloom.sources.sinks import write_sales
@@ -146,3 +146,23 @@ def test_a_load_that_died_is_repaired_from_the_sales(spark, store, table, monkey
     assert load_sales(store, arrived, ["id"], "again") == 0
     more = arrived.unionByName(table(columns, (903, 1, "r3", D(7), date(2024, 2, 3), None, None)))
     assert load_sales(store, more, ["id"], "more") == 1
+
+
+def test_moved_sales_change_past_periods_as_a_recompute_would(spark, store, table):
+    """Sale 3 is of a past month; moving it there and back, and clearing it, equals recomputes of all its days."""
+    key = ["scope", "employee_id", "team_leader_id", "period_type", "period_date"]
+
+    def snapshot():
+        return {tuple(r[c] for c in key): (r.achieved_amount, r.percentage, r.status) for r in store.read("performance").collect()}
+
+    for day in (date(2024, 1, 31), DAY):
+        recompute_performance(store, day, f"first-{day}")
+    for number, employee in enumerate((2, None, 1, 1)):
+        written = move_sales(store, table("sale_id bigint, employee_id bigint", (3, employee)), f"move-{number}", user_id=1, user_name="u", role="admin")
+        assert written == (0, 0, 6, 0)[number] or written > 0
+        moved = snapshot()
+        recompute_performance(store, date(2024, 1, 31), f"all-{number}")
+        assert {k: v for k, v in moved.items() if v[0]} == {k: v for k, v in snapshot().items() if v[0]}
+        own = moved[("employee", 2, None, "monthly", date(2024, 1, 1))]
+        assert own[0] == (D("7.00") if employee == 2 else 0)
+    assert written == 0
