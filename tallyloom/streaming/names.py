@@ -18,21 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.storagelevel import StorageLevel
 
 from tallyloom import schemas
-
-_ORDER = ["received_at", "payload_id", "entry_no", "change_no", "message_no"]
+from tallyloom.operators.matching import assign_employees
+from tallyloom.operators.scanning import find_phrases
+from tallyloom.plans import messages as feed
+from tallyloom.sources.idtable import new_by_table
+from tallyloom.sources.sinks import write_batch
+from tallyloom.streaming.ingest import FeedTables
+
+_ORDER = ["received_us", "payload_id", "entry_no", "change_no", "message_no"]
+_NO_TIME = -(1 << 62)
 _STATE = T.StructType([T.StructField("name", T.StringType()), T.StructField("at", T.StringType())])
-#: What a named row keeps of its message.
+_REST_TYPE = "channel_message_id string, direction string, body string, sent_us bigint, raw string"
+#: A row through the state: place in the order of arrival, the name given and the name known, and the rest of the message as JSON.
 NAMED = T.StructType([T.StructField("channel_id", T.StringType()), T.StructField("message_id", T.StringType()),
-                      *[T.StructField(n, T.TimestampType() if n == "received_at" else T.StringType() if n == "payload_id" else T.IntegerType())
-                        for n in _ORDER], T.StructField("seen_name", T.StringType())])
+                      *[T.StructField(n, T.LongType() if n == "received_us" else T.StringType() if n == "payload_id" else T.IntegerType())
+                        for n in _ORDER], T.StructField("customer_name", T.StringType()), T.StructField("rest", T.StringType()),
+                      T.StructField("seen_name", T.StringType())])
 
 
 def _moment(row: Any) -> str:
     """The place of a row in the order of arrival, as text that sorts alike."""
     numbers = "/".join(f"{getattr(row, n):010d}" for n in _ORDER[2:])
-    return f"{row.received_at.isoformat(timespec='microseconds')}/{row.payload_id}/{numbers}"
+    return f"{row.received_us - _NO_TIME:020d}/{row.payload_id}/{numbers}"
 
 
 class LastName(StatefulProcessor):
@@ -42,47 +52,74 @@ class LastName(StatefulProcessor):
         self._last = handle.getValueState("last", _STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        channel = key[0]
         name, at = self._last.get() if self._last.exists() else (None, "")
         own = pd.concat(list(rows), ignore_index=True).sort_values(_ORDER, kind="stable")
         # Names carry forward over the rows; before the first one, the stored name holds.
         given = own["customer_name"].where(own["customer_name"].notna(), None)
         seen = given.ffill()
-        seen = seen.where(seen.notna(), name if name is not None else channel)
+        seen = seen.where(seen.notna(), name if name is not None else key[0])
         named = own[given.notna()]
         if len(named):
             last = next(named.tail(1).itertuples())
             # A late batch does not put an older name in the place of a newer one.
             if _moment(last) >= at:
                 self._last.update((last.customer_name, _moment(last)))
-        yield own[["channel_id", "message_id", *_ORDER]].assign(seen_name=seen.astype(object))
+        yield own[NAMED.fieldNames()[:-1]].assign(seen_name=seen.astype(object))
 
     def close(self) -> None:
         pass
 
 
 def names_at_arrival(messages: DataFrame) -> DataFrame:
-    """message_id with ``seen_name`` for every row of a stream of flattened deliveries that has a sender."""
-    position = [F.col(f"position.{n}").alias(n) for n in _ORDER[2:]]
-    rows = messages.filter(F.col("channel_id").isNotNull()).select(
-        "channel_id", "message_id", "received_at", "payload_id", *position, "customer_name")
-    return rows.groupBy("channel_id").transformWithStateInPandas(LastName(), NAMED, "append", "none")
-
+    """Rows of a stream of flattened deliveries with ``seen_name``; without a sender there is no name and no state."""
+    rest = F.to_json(F.struct("channel_message_id", "direction", "body", F.unix_micros(F.col("sent_at")).alias("sent_us"), "raw"))
+    rows = messages.select(
+        "channel_id", "message_id", F.coalesce(F.unix_micros(F.col("received_at")), F.lit(_NO_TIME)).alias("received_us"), "payload_id",
+        *[F.col(f"position.{n}").alias(n) for n in _ORDER[2:]], "customer_name", rest.alias("rest"))
+    named = rows.filter(F.col("channel_id").isNotNull()).groupBy("channel_id").transformWithStateInPandas(LastName(), NAMED, "append", "none")
+    unknown = rows.filter(F.col("channel_id").isNull()).withColumn("seen_name", F.lit(None).cast("string"))
+    both = named.unionByName(unknown).withColumn("rest", F.from_json("rest", _REST_TYPE))
+    received = F.when(F.col("received_us") > _NO_TIME, F.timestamp_micros("received_us")).alias("received_at")
+    return both.select("payload_id", received, F.struct(*_ORDER[2:]).alias("position"), "message_id", "rest.channel_message_id", "channel_id",
+                       "customer_name", F.lit(None).cast("bigint").alias("employee_id"), "rest.direction", "rest.body",
+                       F.timestamp_micros("rest.sent_us").alias("sent_at"), "rest.raw", "seen_name")
+
+
+def ingest_named_batch(rows: DataFrame, batch_id: int, tables: FeedTables, keywords: DataFrame, names: DataFrame | None = None) -> None:
+    """Store one batch of messages that carry the name they were seen with. No stored message or customer is read, only id buckets."""
+    arrived = feed.once_per_delivery(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    ids = tables.message_ids(rows.sparkSession)
+    fresh = new_by_table(arrived, "channel_message_id", feed.ARRIVAL, ids, batch_id)
+    if names is not None:
+        fresh = assign_employees(fresh, "message_id", "body", names)
+    fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        columns = lambda frame, schema: frame.select(*[f for f in schema.fieldNames() if f != "batch_id"])
+        write_batch(columns(fresh, schemas.MESSAGES), tables.messages, batch_id)
+        ids.add(fresh.select("channel_message_id"), batch_id)
+        write_batch(feed.customer_changes(arrived, feed.ARRIVAL), tables.customers, batch_id)
+        hits = find_phrases(fresh, "message_id", "body", keywords, keep=("channel_id", "employee_id", "body", "sent_at", "seen_name"))
+        notes = hits.withColumnsRenamed({"seen_name": "customer_name", "body": "message_text", "sent_at": "message_at"})
+        write_batch(columns(notes, schemas.NOTES), tables.notes, batch_id)
+        write_batch(feed.feed_health(fresh), tables.health, batch_id)
+    finally:
+        for held in (fresh, arrived):
+            held.unpersist()
+
+
+def start_stateful_ingest(payloads: DataFrame, tables: FeedTables, read_keywords: Callable[[], DataFrame],
+                          read_names: Callable[[], DataFrame] | None = None, *, checkpoint: str, **trigger) -> list[StreamingQuery]:
+    """The feed with names kept as state: a query for the messages and one for what cannot be read; both have their folder in ``checkpoint``."""
+    parsed = feed.parse_payloads(payloads)
 
-def start_names(messages: DataFrame, path: str, *, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None,
-                **trigger) -> StreamingQuery:
-    """Write the named rows of a stream, one folder per batch, so that a retried batch replaces itself."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        if after is not None:
-            after(batch, batch_id)
-
-    return (names_at_arrival(messages).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+        ingest_named_batch(batch, batch_id, tables, read_keywords(), read_names() if read_names else None)
 
+    def store_rejects(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, tables.rejects, batch_id)
 
-def named_notes(notes: DataFrame, names: DataFrame) -> DataFrame:
-    """Notes with the name their message was seen with, from the rows ``start_names`` wrote; a repeated message keeps the first."""
-    first = names.groupBy("message_id").agg(F.min(F.struct(*_ORDER, "seen_name"))["seen_name"].alias("seen_name"))
-    return (notes.drop("customer_name").join(first.withColumnRenamed("seen_name", "customer_name"), "message_id", "left")
-            .select(*[f for f in schemas.NOTES.fieldNames() if f in notes.columns]))
+    when = trigger or {"availableNow": True}
+    messages = names_at_arrival(feed.flatten_payloads(parsed)).writeStream.foreachBatch(store)
+    rejects = feed.rejected_payloads(parsed).writeStream.foreachBatch(store_rejects)
+    return [query.option("checkpointLocation", f"{checkpoint}/{part}").trigger(**when).start()
+            for part, query in (("messages", messages), ("rejects", rejects))]

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from tallyloom.plans import messages as feed
 from tallyloom.sources.tables import feed_envelopes
-from tallyloom.streaming.names import names_at_arrival, start_names
-from tests.test_stream import delivery, land
+from tallyloom.streaming.ingest import FeedTables
+from tallyloom.streaming.names import names_at_arrival, start_stateful_ingest
+from tests.test_stream import EXPECTED, KEYWORDS, delivery, land, state
+from tests.test_stream import FIRST as FEED_FIRST
+from tests.test_stream import SECOND as FEED_SECOND
 
 FIRST = [delivery("m1", "c1", "a", "Ann"), delivery("m2", "c1", "b"), delivery("m3", "c2", "c"), delivery("m4", "c1", "d", "Anna"),
          delivery("m2", "c1", "b"), "{broken", delivery("m9", None, "no sender", "Nobody")]
@@ -23,7 +24,10 @@ def flat(spark, landed, streaming):
 
 
 def run(spark, landed, out, checkpoint):
-    start_names(flat(spark, landed, True), str(out), checkpoint=str(checkpoint)).awaitTermination()
+    query = (names_at_arrival(flat(spark, landed, True)).writeStream
+             .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}"))
+             .option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start())
+    query.awaitTermination()
 
 
 def stored(spark, out, rows):
@@ -36,9 +40,8 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path, rows):
         land(landed, name, *payloads, at=at)
         run(spark, landed, out, checkpoint)  # each run is a new query that goes on from the checkpoint
     arrived = flat(spark, landed, False)
-    known = arrived.filter("channel_id is not null")
     none = spark.createDataFrame([], "channel_id string, name string")
-    assert stored(spark, out, rows) == rows(feed.names_on_arrival(known, arrived, none), "message_id", "customer_name")
+    assert stored(spark, out, rows) == rows(feed.names_on_arrival(arrived, arrived, none), "message_id", "customer_name")
     # A replayed batch without new files changes nothing.
     before = stored(spark, out, rows)
     run(spark, landed, out, checkpoint)
@@ -68,8 +71,20 @@ def test_many_channels_in_one_batch(spark, tmp_path, rows):
     assert stored(spark, tmp_path / "out", rows) == rows(feed.names_on_arrival(arrived, arrived, none), "message_id", "customer_name")
 
 
+def test_ingest_with_state_equals_the_ingest_without(spark, table, tmp_path, rows):
+    keywords = table(KEYWORDS, (1, "account", "transfer", True), (2, "hello", "greeting", True))
+    landed, tables = tmp_path / "in", FeedTables(str(tmp_path / "out"))
+    for name, payloads, at in (("a", FEED_FIRST, 0), ("b", FEED_SECOND, 100), (None, (), 0)):
+        if name:
+            land(landed, name, *payloads, at=at)
+        for query in start_stateful_ingest(feed_envelopes(spark, str(landed), streaming=True), tables, lambda: keywords, checkpoint=str(tmp_path / "cp")):
+            query.awaitTermination()
+        if name != "a":
+            assert state(spark, tables, rows) == EXPECTED
+
+
 def test_the_plan_keeps_state_per_channel(spark, tmp_path):
     (tmp_path / "in").mkdir()
     frame = names_at_arrival(flat(spark, tmp_path / "in", True))
-    assert frame.isStreaming and set(frame.columns) >= {"message_id", "seen_name"}
-    assert frame.filter(F.col("seen_name").isNull()).columns == frame.columns
+    assert frame.isStreaming and "TransformWithState" in frame._jdf.queryExecution().analyzed().toString()
+    assert frame.columns == [*flat(spark, tmp_path / "in", False).columns, "seen_name"]
