@@ -19,6 +19,7 @@ from tallyloom.functions.bands import (
 )
 from tallyloom.functions.jsontext import epoch_or_arrival, json_number, json_text, public_settings
 from tallyloom.functions.periods import Periods, period_columns
+from tallyloom.functions.register import register_table_functions
 from tallyloom.functions.text import match_name, none_if_blank, normalize_text
 from tallyloom.operators import access, integrity, intervals, keyed, matching
 from tallyloom.operators.asof import asof_join
@@ -27,6 +28,7 @@ from tallyloom.plans import calendar, deltas, maintenance, performance, quality,
 from tallyloom.plans.deletion import delete_many
 from tallyloom.sources import samples
 from tallyloom.sources.idtable import IdTable, new_by_table
+from tallyloom.sources.searchindex import SearchIndex
 from tallyloom.sources.sinks import seed_rows
 from tallyloom.sources.workspace import fresh_folder, written
 
@@ -407,6 +409,30 @@ def notes_search(t):
     return quality.filter_notes(t.notes, search='VIEW {"K": 8').select("id", "customer_name", "message_text")
 
 
+@query
+def notes_search_indexed(t):
+    """The same through postings that are stored first."""
+    index = SearchIndex(t._spark, fresh_folder(t._spark, "note-index"), buckets=32)
+    index.add(t.notes, 0)
+    return index.search(t.notes, 'VIEW {"K": 8').select("id", "customer_name", "message_text")
+
+
+@query
+def sql_table_functions(t):
+    """The table functions in SQL, one of them laterally."""
+    views = {name: f"catalog_{name}" for name in ("sessions", "users", "notes")}
+    for name, shown in views.items():
+        getattr(t, name).createOrReplaceTempView(shown)
+    t.employees.createOrReplaceTempView("catalog_employees")
+    register_table_functions(t._spark, **views)
+    return t._spark.sql("""
+        select 'session' as kind, session_id as id, full_name as text, cast(user_id as bigint) as n from live_sessions(timestamp '2024-01-20')
+        union all
+        select 'note', id, message_text, length(customer_name) from notes_page('click', '"k": 8', date '2024-01-10', date '2024-01-20')
+        union all
+        select 'label', e.id, l.label, l.n_notes from catalog_employees e, lateral employee_labels(e.id) l""")
+
+
 @query
 def notes_date_range(t):
     return quality.filter_notes(t.notes, **NOTE_FILTERS).select("id", "message_at")
