@@ -28,6 +28,7 @@ from tallyloom.plans import calendar, deltas, maintenance, performance, quality,
 from tallyloom.plans.deletion import delete_many
 from tallyloom.sources import samples
 from tallyloom.sources.idtable import IdTable, new_by_table
+from tallyloom.sources.notepages import NotePages
 from tallyloom.sources.searchindex import SearchIndex
 from tallyloom.sources.sinks import seed_rows
 from tallyloom.sources.workspace import fresh_folder, written
@@ -323,6 +324,35 @@ def webhook_flatten(t):
                        json_text(F.col("raw"), "$.type").alias("raw_type"))
 
 
+@query
+def webhook_kinds(t):
+    """Deliveries of several messages of all kinds, with contacts that repeat or name nobody."""
+    customers = t.channel_customers.select(F.col("id").alias("customer_id"), "channel_id", "name")
+    rows, kind = t.messages.join(customers, "customer_id"), F.col("message_id") % 5
+
+    def only(n: int, value):
+        return F.when(kind == n, value)
+
+    body = F.coalesce("body", F.lit(""))
+    message = F.struct(
+        F.col("channel_message_id").alias("id"), F.col("channel_id").alias("from"), F.unix_seconds("sent_at").cast("string").alias("timestamp"),
+        F.when(kind == 4, "").otherwise(F.get(F.array(*map(F.lit, ("text", "button", "interactive", "image"))), kind.cast("int"))).alias("type"),
+        F.when(kind.isin(0, 1), F.struct(F.when(kind == 0, body).otherwise("").alias("body"))).alias("text"),
+        only(1, F.struct(F.concat(F.lit("B: "), body).alias("text"))).alias("button"),
+        only(2, F.struct(F.concat(F.lit("r"), F.col("message_id").cast("string")).alias("id"))).alias("interactive"))
+    gathered = rows.groupBy("customer_id", "channel_id", "name").agg(F.array_sort(F.collect_list(F.struct("message_id", message.alias("m")))).alias("sent"))
+    contact = lambda wa_id, name: F.struct(wa_id.alias("wa_id"), F.struct(name.alias("name")).alias("profile"))
+    contacts = F.array(contact(F.col("channel_id"), F.lit("First")), contact(F.lit(""), F.lit("Nobody")),
+                       contact(F.col("channel_id"), F.coalesce("name", F.lit(""))), contact(F.lit("other"), F.lit("Other")))
+    value = F.struct(contacts.alias("contacts"), F.transform("sent", lambda s: s["m"]).alias("messages"))
+    changes = F.struct(F.array(F.struct(value.alias("value"))).alias("changes"))
+    payloads = gathered.select(F.col("customer_id").cast("string").alias("payload_id"), F.to_json(F.struct(F.array(changes).alias("entry"))).alias("payload"),
+                               F.lit(datetime(2024, 2, 1)).alias("received_at"))
+    return feed.flatten_payloads(feed.parse_payloads(payloads)).select(
+        "payload_id", F.col("position.message_no").alias("message_no"), "message_id", "channel_message_id", "channel_id", "customer_name", "body", "sent_at",
+        json_text(F.col("raw"), "$.from").alias("raw_from"), json_text(F.col("raw"), "$.interactive.id").alias("raw_reply"))
+
+
 @query
 def epoch_parse(t):
     seconds = (F.col("event_id") + 1_700_000_000).cast("string")
@@ -438,6 +468,17 @@ def notes_date_range(t):
     return quality.filter_notes(t.notes, **NOTE_FILTERS).select("id", "message_at")
 
 
+@query
+def notes_pages(t):
+    """The third page of the notes, by the token of the second."""
+    pages = NotePages(t._spark, fresh_folder(t._spark, "note-pages"))
+    pages.write(t.notes, 8)
+    token = None
+    for _ in range(2):
+        token = pages.next_token(pages.page(40, token))
+    return pages.page(40, token).select("id", "message_at", "label")
+
+
 @query
 def notes_stats(t):
     return quality.notes_stats(t.notes, samples.NOTES_AS_OF)
