@@ -23,6 +23,7 @@ from tallyloom.functions.register import register_table_functions
 from tallyloom.functions.text import match_name, none_if_blank, normalize_text
 from tallyloom.operators import access, integrity, intervals, keyed, matching
 from tallyloom.operators.asof import asof_join
+from tallyloom.operators.scanning import frequent_words
 from tallyloom.plans import messages as feed
 from tallyloom.plans import calendar, deltas, maintenance, performance, quality, review, roster
 from tallyloom.plans.deletion import delete_many
@@ -293,6 +294,13 @@ def keyword_scan_shuffled(t):
     return quality.scan_messages(_passages(t), t.channel_customers, t.passage_rules)
 
 
+@query
+def keyword_scan_by_frequency(t):
+    """The same with anchors chosen by how many texts hold them."""
+    frequent = written(frequent_words(t.base("documents"), "text"), "frequent-words")
+    return quality.scan_messages(_passages(t), t.channel_customers, t.passage_rules, frequent=frequent)
+
+
 @query
 def notes_per_message(t):
     return quality.notes_per_message(t.messages, t.keywords, in_place=True)

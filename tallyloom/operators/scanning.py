@@ -50,12 +50,24 @@ def _marked_words(words: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda word: F.concat(word, F.lit(WORD_MARK))))
 
 
-def _anchored(rules: DataFrame) -> DataFrame:
+def frequent_words(texts: DataFrame, text: str, words: int = 1000, tracked: int = 100_000) -> DataFrame:
+    """``anchor`` and about how many texts hold it, of the most frequent words of normalised texts.
+
+    A sketch of bounded size, combined in each task, in one pass over all texts. It says which anchors to avoid and decides no hit, so
+    it may be made once for a corpus and kept.
+    """
+    held = texts.select(F.explode(_marked_words(F.split(normalize_text(F.col(text)), " "))).alias("word"))
+    top = held.agg(F.expr(f"approx_top_k(word, {int(words)}, {int(tracked)})").alias("top"))
+    return top.select(F.inline("top").alias("anchor", "n_texts")).select("anchor", F.col("n_texts").cast("bigint").alias("n_texts"))
+
+
+def _anchored(rules: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """Rules with their anchor.
 
     An inner word that few rules hold comes first, the longest of them; it spares unfolding the texts into
     substrings. Where every inner word is common among the rules, the candidate fewest rules hold is
-    taken, so phrases that differ in little still get different anchors.
+    taken, so phrases that differ in little still get different anchors. With ``frequent``, a word that is frequent in
+    the texts is taken only where a rule has nothing else, the least frequent first.
     """
     phrase_words = F.split("norm_phrase", " ")
     inner = F.slice(phrase_words, 2, F.greatest(F.size(phrase_words) - 2, F.lit(0)))
@@ -67,7 +79,18 @@ def _anchored(rules: DataFrame) -> DataFrame:
     uses = choices.groupBy("anchor").agg(F.count("*").alias("uses"))
     good_word = F.endswith("anchor", F.lit(WORD_MARK)) & (F.col("uses") <= RULES_PER_WORD)
     shorter = -F.length("anchor").cast("bigint")
+    if frequent is None:
+        choices = choices.withColumn("n_texts", F.lit(0).cast("bigint"))
+    else:
+        # A substring of a frequent word is in at least as many texts.
+        marked = choices.join(frequent.select("anchor", "n_texts"), "anchor", "left")
+        words = F.filter(F.transform("known", lambda k: F.struct(F.rtrim(k["anchor"], F.lit(WORD_MARK)).alias("w"), k["n_texts"].alias("n"))),
+                         lambda k: F.contains(k["w"], F.col("anchor")))
+        known = marked.filter(F.col("n_texts").isNotNull()).groupBy("keyword_id").agg(F.collect_set(F.struct("anchor", "n_texts")).alias("known"))
+        inside = F.coalesce(F.array_max(F.transform(words, lambda k: k["n"])), F.lit(0).cast("bigint"))
+        choices = marked.join(known, "keyword_id", "left").select("keyword_id", "anchor", F.coalesce("n_texts", inside).alias("n_texts"))
     preferred = F.struct(
+        "n_texts",
         F.when(good_word, 0).otherwise(1).alias("rank"), F.when(good_word, shorter).otherwise(F.col("uses")).alias("first"),
         F.when(good_word, F.col("uses")).otherwise(shorter).alias("second"), "anchor")
     chosen = (choices.join(uses, "anchor").groupBy("keyword_id")
@@ -87,20 +110,25 @@ def _anchors_of(text: Column, kinds: list[int]) -> Column:
     return F.concat(*[grams(text, size) if size else F.array_distinct(F.split(closed, " ")) for size in kinds])
 
 
+def _candidates(norm: DataFrame, key: str, anchored: DataFrame) -> DataFrame:
+    """Texts (their key) and rules whose anchor they hold."""
+    kinds = _kinds_in_use(anchored)
+    found = _anchors_of(F.col("norm_text"), kinds) if kinds else F.array().cast("array<string>")
+    return norm.select(key, F.explode(found).alias("anchor")).join(anchored, "anchor").drop("anchor")
+
+
 def find_phrases(texts: DataFrame, key: str, text: str, keywords: DataFrame, *, keep: tuple[str, ...] = (),
-                 in_place: bool = False) -> DataFrame:
+                 in_place: bool = False, frequent: DataFrame | None = None) -> DataFrame:
     """All (text, rule) hits: ``key``, the columns to ``keep``, keyword_id, matched_phrase, label.
 
-    ``key`` is unique per text. With ``in_place`` all active rules are brought into the plan.
+    ``key`` is unique per text. With ``in_place`` all active rules are brought into the plan. ``frequent`` is a result of
+    ``frequent_words``; it changes which texts are looked at, not what is found.
     """
     rules = active_rules(keywords)
     norm = texts.select(key, *keep, normalize_text(F.col(text)).alias("norm_text"))
     if in_place:
         return norm.select(key, *keep, F.inline(_inline_hits(F.col("norm_text"), rules.collect())))
-    anchored = _anchored(rules)
-    kinds = _kinds_in_use(anchored)
-    found = _anchors_of(F.col("norm_text"), kinds) if kinds else F.array().cast("array<string>")
-    candidates = norm.select(key, F.explode(found).alias("anchor")).join(anchored, "anchor").drop("anchor").join(norm, key)
+    candidates = _candidates(norm, key, _anchored(rules, frequent)).join(norm, key)
     return (candidates.filter(F.contains("norm_text", "norm_phrase"))
             .select(key, *keep, "keyword_id", "matched_phrase", "label"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators.matching import assign_employees, employee_names, match_employees
 from tallyloom.operators.scanning import count_phrases, find_phrases
@@ -98,3 +99,26 @@ def test_assignment_fills_only_open_messages(table, rows):
     messages = table("id bigint, employee_id bigint, body string", (1, None, "sara omar"), (2, 8, "sara omar"), (3, None, "x"))
     assert rows(assign_employees(messages, "id", "body", employee_names(people)).select("id", "employee_id")) == [
         (1, 5), (2, 8), (3, None)]
+
+
+def test_frequent_words_are_avoided_as_anchors(spark, table, rows):
+    from tallyloom.functions.text import normalize_text
+    from tallyloom.operators import scanning
+
+    common = "international organisation of the everything"
+    texts = table("id bigint, body string", *[(n, f"word{n} {common} {'zip code' if n % 50 == 0 else 'x'} end{n}") for n in range(300)])
+    rules = table("id bigint, phrase string, label string, is_active boolean",
+                  (1, "the everything zip code", "a", True), (2, "national organisation of the", "b", True), (3, "of the everything x end7", "c", True),
+                  (4, "everything", "d", True), (5, "nowhere at all to be found", "e", True))
+    frequent = scanning.frequent_words(texts, "body", words=20)
+    counted = {r.anchor.strip(): r.n_texts for r in frequent.collect()}
+    assert counted["international"] == counted["everything"] == 300
+    norm = texts.select("id", normalize_text(F.col("body")).alias("norm_text"))
+    active = scanning.active_rules(rules)
+    drawn = lambda known: {r.keyword_id: r["count"] for r in
+                           scanning._candidates(norm, "id", scanning._anchored(active, known)).groupBy("keyword_id").count().collect()}
+    before, after = drawn(None), drawn(frequent)
+    assert before[1] == 300 and after[1] == 6  # by "zip", not by "everything"
+    assert before[3] == 300 and after[3] <= 300 and after.get(5, 0) == 0
+    assert rows(find_phrases(texts, "id", "body", rules, frequent=frequent)) == rows(find_phrases(texts, "id", "body", rules))
+    assert rows(find_phrases(texts, "id", "body", rules, frequent=frequent.limit(0))) == rows(find_phrases(texts, "id", "body", rules))
