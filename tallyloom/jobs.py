@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from tallyloom import schemas
 from tallyloom.functions.bands import load_bands
 from tallyloom.functions.periods import Periods, period_days
 from tallyloom.plans import deltas, performance, review
+from tallyloom.plans.deletion import FOREIGN_KEYS, delete_many, deleted_keys
 from tallyloom.sources.idtable import IdTable, new_by_table
 from tallyloom.sources.sinks import append, log_audit, log_run, replace_periods, replace_snapshot, write_sales
 from tallyloom.sources.tables import read_or_empty, read_sales, read_sales_days, read_table
@@ -145,17 +148,98 @@ def move_sales(store: Warehouse, assignments: DataFrame, run_id: str, *, user_id
     return recompute_touched(store, store.spark.read.schema(schemas.SIGNED_SALES).parquet(moves), run_id, triggered_by="assignment")
 
 
+def finish_changes(store: Warehouse) -> None:
+    """Put tables in place that an interrupted change had written whole; nothing is done where no change is open."""
+    marks = read_or_empty(store.spark, store.path("table_changes"), schemas.TABLE_CHANGES)
+    done = marks.filter("state = 'done'").select("change_id")
+    for mark in marks.filter("state = 'ready'").join(done, "change_id", "left_anti").orderBy("change_id").collect():
+        _put_in_place(store, mark["change_id"], mark["tables"])
+
+
+def _put_in_place(store: Warehouse, change_id: str, names: list[str]) -> None:
+    for name in names:
+        whole = read_table(store.spark, store.path(f"_changes/{change_id}/{name}"), getattr(schemas, name.upper()))
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store.path(name))
+    _mark(store, change_id, names, "done")
+
+
+def _mark(store: Warehouse, change_id: str, names: list[str], state: str) -> None:
+    append(store.spark.createDataFrame([(change_id, names, state)], schemas.TABLE_CHANGES).coalesce(1), store.path("table_changes"))
+
+
+def store_tables(store: Warehouse, changed: dict[str, DataFrame], *, user_id: int, user_name: str, role: str, action: str) -> None:
+    """Put changed tables into the warehouse together, with an audit row for each.
+
+    All are first written aside and marked ready, then put in place. A death before the mark changes nothing; after it, the next call, or
+    ``finish_changes``, puts the same tables in place again. At most one change is open, so the open marks read are few.
+    """
+    finish_changes(store)
+    now = _now()
+    change_id = f"{now:%Y%m%dT%H%M%S%f}"
+    for name, rows in changed.items():
+        rows.select(*getattr(schemas, name.upper()).fieldNames()).write.mode("overwrite").parquet(store.path(f"_changes/{change_id}/{name}"))
+    _mark(store, change_id, list(changed), "ready")
+    _put_in_place(store, change_id, list(changed))
+    for name in changed:
+        log_audit(store.spark, store.path("audit_log"), user_id=user_id, user_name=user_name, role=role, action=action, entity_type=name, logged_at=now)
+
+
 def store_dimension(store: Warehouse, name: str, changed: DataFrame, *, user_id: int, user_name: str, role: str, action: str) -> None:
-    """Put a changed dimension (the result of an upsert, a replacement or a deletion) into the warehouse, with an audit row.
+    """Put one changed table (the result of an upsert, a replacement or a deletion) into the warehouse, with an audit row."""
+    store_tables(store, {name: changed}, user_id=user_id, user_name=user_name, role=role, action=action)
+
+
+#: Tables that are rewritten as a whole when rows they refer to are deleted. Sales and snapshots lie in folders by time.
+_WHOLE_TABLES = ("users", "sessions", "team_leaders", "settings", "employees", "targets", "keywords")
+
+
+def delete_from(store: Warehouse, name: str, ids: DataFrame, *, user_id: int, user_name: str, role: str) -> list[str]:
+    """Delete rows of a dimension by id with everything that cascades from them; returns the tables that were stored anew.
 
-    The rows are written beside the table first and then read back from there, since they were made from it.
+    Sales and snapshots of deleted owners are rewritten in their folders of the months and periods they lie in.
     """
-    schema = getattr(schemas, name.upper())
-    aside = store.path(f"_{name}_next")
-    changed.select(*schema.fieldNames()).write.mode("overwrite").parquet(aside)
-    read_table(store.spark, aside, schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store.path(name))
-    log_audit(store.spark, store.path("audit_log"), user_id=user_id, user_name=user_name, role=role, action=action,
-              entity_type=name, logged_at=_now())
+    spark = store.spark
+    finish_changes(store)
+    tables = {n: read_or_empty(spark, store.path(n), getattr(schemas, n.upper())) for n in _WHOLE_TABLES}
+    by_month = T.StructType([*schemas.SALES.fields, T.StructField("sale_month", T.DateType())])
+    folders = {"sales": (by_month, ["sale_month"]), "performance": (schemas.PERFORMANCE, ["period_type", "period_date"])}
+    tables |= {n: read_or_empty(spark, store.path(n), schema) for n, (schema, _) in folders.items()}
+    key = "session_id" if name == "sessions" else "id"
+    gone = tables[name].join(ids.select(F.col("id").alias(key)), key, "left_semi")
+    left = delete_many(tables, {name: gone})
+    touched = {child for child, _, parent, _ in FOREIGN_KEYS if parent in deleted_keys(tables, {name: gone})} | {name}
+    facts = {n: left[n] for n in folders if n in touched}
+    aside = store.path(f"_deleted/{_now():%Y%m%dT%H%M%S%f}")
+    for n, rows in facts.items():
+        # Only folders that lose rows are written again; they are read back from aside, since they are made from what they replace.
+        parts = folders[n][1]
+        before = tables[n].groupBy(*parts).agg(F.count("*").alias("had"))
+        kept = rows.groupBy(*parts).agg(F.count("*").alias("has")).withColumnsRenamed({p: f"_{p}" for p in parts})
+        same = reduce(Column.__and__, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts])
+        changed = before.join(kept, same, "left").filter("had > coalesce(has, 0)").select(*parts)
+        named = changed.withColumnsRenamed({p: f"_{p}" for p in parts})
+        rows.join(named, same, "left_semi").write.parquet(f"{aside}/{n}")
+        changed.write.parquet(f"{aside}/{n}_folders")
+    whole = {n: left[n] for n in _WHOLE_TABLES if n in touched}
+    # The tables that name the deleted rows go last: until then the job can be run again.
+    for n in facts:
+        schema, parts = folders[n]
+        emptied = spark.read.parquet(f"{aside}/{n}_folders")
+        back = read_table(spark, f"{aside}/{n}", schema)
+        _replace_folders(back, emptied, store.path(n), parts)
+    store_tables(store, whole, user_id=user_id, user_name=user_name, role=role, action="delete")
+    return sorted([*facts, *whole])
+
+
+def _replace_folders(rows: DataFrame, folders: DataFrame, path: str, parts: list[str]) -> None:
+    """Overwrite the named folders; one that has no row left keeps an empty file."""
+    held = rows.groupBy(*parts).agg(F.count("*").alias("n")).withColumnsRenamed({p: f"_{p}" for p in parts})
+    same = reduce(Column.__and__, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts])
+    empty = folders.join(held, same, "left_anti")
+    for folder in empty.collect():  # folders by month or by period, of deleted owners only
+        name = "/".join(f"{p}={folder[p]}" for p in parts)
+        rows.limit(0).drop(*parts).write.mode("overwrite").parquet(f"{path}/{name}")
+    (rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
 
 def load_sales(store: Warehouse, arrived: DataFrame, order: list[str], run_id: str, triggered_by: str = "auto") -> int:

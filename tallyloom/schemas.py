@@ -27,6 +27,7 @@ TARGETS = _struct(id=BIGINT, scope=TEXT, employee_id=BIGINT, team_leader_id=BIGI
 ASSIGNMENTS = _struct(sale_id=BIGINT, employee_id=BIGINT, assigned_at=MOMENT)
 SALES = _struct(id=BIGINT, employee_id=BIGINT, invoice_ref=TEXT, amount=MONEY, sale_date=DATE, raw=TEXT,
                 synced_at=MOMENT)
+TABLE_CHANGES = _struct(change_id=TEXT, tables=T.ArrayType(TEXT), state=TEXT)
 SIGNED_SALES = _struct(employee_id=BIGINT, sale_date=DATE, amount=TOTAL)
 SALES_LOADS = _struct(load_no=BIGINT, state=TEXT)
 PERFORMANCE = _struct(scope=TEXT, employee_id=BIGINT, team_leader_id=BIGINT, period_type=TEXT, period_date=DATE,

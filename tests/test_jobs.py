@@ -166,3 +166,38 @@ def test_moved_sales_change_past_periods_as_a_recompute_would(spark, store, tabl
         own = moved[("employee", 2, None, "monthly", date(2024, 1, 1))]
         assert own[0] == (D("7.00") if employee == 2 else 0)
     assert written == 0
+
+
+def test_deleting_an_employee_takes_sales_targets_and_snapshots_along(spark, store, table):
+    from tallyloom.jobs import delete_from
+
+    for day in (date(2024, 1, 31), DAY):
+        recompute_performance(store, day, f"r-{day}")
+    changed = delete_from(store, "employees", table("id bigint", (1,), (77,)), user_id=1, user_name="u", role="admin")
+    assert changed == ["employees", "performance", "sales", "targets"]
+    assert [r.id for r in store.read("employees").collect()] == [2]
+    assert [r.id for r in store.read("targets").collect()] == []
+    assert [r.id for r in store.read("sales").collect()] == [2]  # the unmatched one; the month of sale 3 is empty now
+    left = store.read("performance").collect()
+    assert left and {(r.employee_id, r.team_leader_id) for r in left} == {(2, None), (None, 10)}
+    changed = delete_from(store, "team_leaders", table("id bigint", (10,)), user_id=1, user_name="u", role="admin")
+    assert "employees" in changed and [(r.id, r.team_leader_id) for r in store.read("employees").collect()] == [(2, None)]
+    assert {(r.employee_id, r.team_leader_id) for r in store.read("performance").collect()} == {(2, None)}
+
+
+def test_a_change_that_died_is_put_in_place_later(spark, store, table, monkeypatch):
+    from tallyloom import jobs
+
+    rule = "id bigint, phrase string, label string, is_active boolean"
+    who = {"user_id": 1, "user_name": "u", "role": "admin", "action": "upsert"}
+    jobs.store_tables(store, {"keywords": table(rule, (1, "a", "l", True))}, **who)
+    people = store.read("employees").filter("id = 1")
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs, "_put_in_place", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            jobs.store_tables(store, {"keywords": table(rule, (2, "b", "l", True)), "employees": people}, **who)
+    assert [r.id for r in store.read("keywords").collect()] == [1]
+    jobs.finish_changes(store)
+    assert [r.id for r in store.read("keywords").collect()] == [2] and [r.id for r in store.read("employees").collect()] == [1]
+    jobs.finish_changes(store)
+    assert [r.id for r in store.read("keywords").collect()] == [2]
