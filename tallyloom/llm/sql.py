@@ -61,6 +61,27 @@ from base left join m using (k)
 """
 
 
+def _op4() -> str:
+    words = r"'[^\x20\x09-\x0D]+'"
+    return f"""
+with recursive
+d as (select row_number() over () as k, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {words}) as w from documents),
+s as (select distinct k, array_to_string(w[i : i + 3], ' ') as x from d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) where len(w) > 0),
+n as (select k, count(*) as size from s group by k),
+shared as (select x from s group by x having count(*) > 1),
+c as (select k, x from s join shared using (x)),
+links as (
+  select a.k as a, b.k as b
+  from c a join c b on a.x = b.x and a.k < b.k join n na on na.k = a.k join n nb on nb.k = b.k
+  group by a.k, b.k, na.size, nb.size
+  having 100 * count(*) >= 85 * (na.size + nb.size - count(*))),
+both_ways as (select a, b from links union select b, a from links),
+reach(k, r) as (select k, k from d union select reach.k, both_ways.b from reach join both_ways on both_ways.a = reach.r),
+least_id as (select reach.k, min(o.doc_id) as component_id from reach join d o on o.k = reach.r group by reach.k)
+select doc_id, coalesce(size, 0) as n_shingles, component_id from d join least_id using (k) left join n using (k)
+"""
+
+
 def _either_case(text: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in text)
 
@@ -261,7 +282,7 @@ select word, n, n_near, form, form_n, root from judged join roots using (word)
 """
 
 
-ORACLE = {"op1_url_filter": _OP1, "op3_license_scan": _op3(), "op5_secret_scan": _op5(), "op6_warc": _OP6,
+ORACLE = {"op1_url_filter": _OP1, "op3_license_scan": _op3(), "op4_ngram_join": _op4(), "op5_secret_scan": _op5(), "op6_warc": _OP6,
           "op7_chat_format": _op7(),
           "op9_decontamination": _op9(),
           "op11_conversation_repair": _op11(), "op12_spelling_variants": _op12()}
