@@ -678,7 +678,7 @@ def targets_replace(t):
 @query
 def delete_cascade(t):
     customers = written(t.channel_customers, "customers")
-    notes = written(quality.scan_messages(t.messages, customers, t.keywords), "notes")
+    notes = written(quality.scan_messages(t.messages, customers, t.keywords, in_place=True), "notes")
     tables = {"team_leaders": t.team_leaders, "targets": t.targets, "customers": customers, "messages": t.messages, "notes": notes}
     left = delete_many(tables, {"team_leaders": t.team_leaders.filter("id % 6 = 0"), "customers": customers.filter("id % 4 = 0")})
     parts = [left[name].select(F.lit(name).alias("table_name"), F.col("message_id" if name in ("messages", "notes") else "id").alias("row_id"))
