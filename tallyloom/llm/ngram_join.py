@@ -26,6 +26,8 @@ PARITY_WORDS = 8
 PARITIES = [f"p{n}" for n in range(PARITY_WORDS)]
 #: Members that are verified against one copy of their leader.
 LEADER_MEMBERS = 256
+#: Most keys of 8 bytes that are sent to every executor, which holds them in about 100 MB; more are joined by shuffle.
+SENT_KEYS = 1 << 21
 _WORD = r"[^\x20\x09-\x0D]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64((1 << 26) - 1)
@@ -304,10 +306,16 @@ def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int,
     return connected(links.union(more))
 
 
+def _few_keys(keys: DataFrame) -> DataFrame:
+    """Keys (hi), stored and counted: up to ``SENT_KEYS`` go to the texts, for more the texts are shuffled to the keys."""
+    kept = stored(keys.select("hi").distinct(), "keys")
+    return F.broadcast(kept) if kept.count() <= SENT_KEYS else kept
+
+
 def _bodies(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that the pairs name, each once."""
-    named = pairs.select("hi", "lo").union(pairs.select("a_hi", "a_lo")).distinct()
-    return stored(texts.join(named, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.any_value("text").alias("text")), "bodies")
+    """The texts that the pairs name, each once, and any that share the first hash of one of them."""
+    named = _few_keys(pairs.select("hi").union(pairs.select("a_hi")))
+    return stored(texts.join(named, "hi", "left_semi").groupBy("hi", "lo").agg(F.any_value("text").alias("text")), "bodies")
 
 
 def components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = SHINGLE_WORDS,
@@ -348,8 +356,12 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """``documents`` with one row left of each component: the one with the smallest id (NULLs last), then text hash.
 
     Documents without words are components of their own and all stay. Of rows with one id and one text one stays.
+    Rows of components with one row are passed on as they are; only the others are joined with what was chosen.
     """
     rows = components(documents, doc_id, text, **options).filter("n_shingles > 0")
+    several = rows.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+    touched = _few_keys(rows.join(several, "label", "left_semi"))
+    rows = rows.join(touched, "hi", "left_semi")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hi", "lo"))
     chosen = rows.groupBy("label").agg(first.alias("w")).select("w.doc_id", "w.hi", "w.lo")
     counts = rows.groupBy("doc_id", "hi", "lo").agg(F.count("*").alias("copies"))
@@ -360,9 +372,11 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     body = whole(F.col(text))
     held = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col(doc_id).alias("k_id"),
                             F.xxhash64(body).alias("k_hi"), F.xxhash64(F.lit("second"), body).alias("k_lo"), body.rlike(_WORD).alias("words"))
-    met = F.col("k_id").eqNullSafe(F.col("w_id")) & (F.col("k_hi") == F.col("w_hi")) & (F.col("k_lo") == F.col("w_lo"))
-    joined = held.filter("words").join(winners, met)
-    once = joined.filter("copies = 1").select("row")
+    inside = held["k_hi"] == touched["hi"]
+    # A text without words gets here only if it shares the first hash of another one; it stays.
+    met = F.col("words") & F.col("k_id").eqNullSafe(F.col("w_id")) & (F.col("k_hi") == F.col("w_hi")) & (F.col("k_lo") == F.col("w_lo"))
+    joined = held.join(touched, inside, "left_semi").join(winners, met, "left").filter("copies is not null or not words")
+    once = joined.filter("copies is null or copies = 1").select("row")
     repeated = joined.filter("copies > 1").groupBy("k_id", "k_hi", "k_lo").agg(F.any_value("row").alias("row")).select("row")
-    left = once.union(repeated).union(held.filter("not words").select("row"))
+    left = held.join(touched, inside, "left_anti").select("row").union(once).union(repeated)
     return left.select(*(F.col("row").getField(n).alias(n) for n in names))
