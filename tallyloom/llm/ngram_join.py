@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 COUNT_CLASSES = 1 << 22
 COMMON_SHARE = 0.002
 FEWEST_COMMON = 16
-REMEMBERED_WORDS = 1 << 18
+#: Bytes of a text whose words are hashed at once.
+BLOCK_BYTES = 1 << 16
 #: Words of 64 bits that hold a set's parities.
 PARITY_WORDS = 8
 PARITIES = [f"p{n}" for n in range(PARITY_WORDS)]
@@ -43,32 +43,59 @@ def _seed(n: int) -> np.uint64:
     return np.uint64(n * int(_MIX) & (2**64 - 1))
 
 
-class _Hashes(dict):
-    """Hashes of the words seen so far; forgotten when there are too many."""
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK_BYTES, base, np.uint64)]))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+#: A word's hash is the sum of its bytes' numbers times powers of an odd base, which is found from running sums.
+_BASE = 0xD1342543DE82EF95
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_NUMBERS = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
+_IN_WORD = np.array([n != 32 and not 9 <= n <= 13 for n in range(256)])
 
-_HASHES = _Hashes()
+
+def word_hashes(data: bytes, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """64-bit hashes of the words between ASCII blanks, in order.
+
+    Bytes are read in blocks, since each takes several numbers; a word that a block cuts goes on in the next one.
+    """
+    out, open_hash, open_length = [np.empty(0, np.uint64)], 0, 0
+    for at in range(0, len(data), block_bytes):
+        block = np.frombuffer(data, np.uint8, min(block_bytes, len(data) - at), at)
+        inside = np.zeros(block.size + 2, bool)
+        inside[1:-1] = _IN_WORD[block]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(block.size + 1, np.uint64)
+        np.cumsum(_NUMBERS[block] * _POWERS[:block.size], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * _INVERSES[starts]
+        before = open_length if inside[1] else 0
+        if before:
+            found[0] = (open_hash + pow(_BASE, before, 1 << 64) * int(found[0])) % (1 << 64)
+        elif open_length:
+            out.append(np.array([open_hash], np.uint64))
+        open_length = 0
+        if inside[-2]:
+            open_hash, open_length = int(found[-1]), int(ends[-1] - starts[-1]) + (before if starts.size == 1 else 0)
+            found = found[:-1]
+        out.append(found)
+    if open_length:
+        out.append(np.array([open_hash], np.uint64))
+    return _mixed(np.concatenate(out))
 
 
 def shingle_set(text: str | None, length: int) -> np.ndarray:
     """Distinct 64-bit hashes of the text's shingles, sorted; a shorter text is one shingle, an empty one none.
 
-    Words stand between ASCII blanks, A-Z in lower case, which is how ``bytes`` splits and lowers.
+    Words stand between ASCII blanks, A-Z in lower case, which is how ``bytes`` lowers.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(length, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    hashed = word_hashes((text or "").encode().lower())
+    if not hashed.size:
+        return hashed
+    width = min(length, hashed.size)
+    out = np.full(hashed.size - width + 1, width, np.uint64)
     for n in range(width):
-        out = (out ^ hashed[n:len(words) - width + 1 + n]) * _MIX
+        out = (out ^ hashed[n:hashed.size - width + 1 + n]) * _MIX
         out ^= out >> np.uint64(29)
     out = np.sort(_mixed(out))
     first = np.empty(out.size, bool)
@@ -157,7 +184,8 @@ def _once(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _sizes(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """A row with the set size of every text, and at the end of a task a row per common class of shingles."""
-    counts, documents = np.zeros(COUNT_CLASSES, np.int32), 0
+    counts, documents = np.zeros(COUNT_CLASSES, np.int64), 0
+    waiting, n_waiting = [], 0
     for frame in frames:
         own = _once(frame)
         sizes, odd = [], np.zeros((len(own), PARITY_WORDS), np.int64)
@@ -165,9 +193,19 @@ def _sizes(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
             items = shingle_set(text, length)
             sizes.append(len(items))
             odd[n] = parities(items)
-            np.add.at(counts, _classes(items), copies)
+            classes = _classes(items)
+            if copies > 1:
+                np.add.at(counts, classes, copies - 1)
+            waiting.append(classes)
+            n_waiting += classes.size
+            # Counting many sets at once costs a pass over the counters.
+            if n_waiting > COUNT_CLASSES:
+                counts += np.bincount(np.concatenate(waiting), minlength=COUNT_CLASSES)
+                waiting, n_waiting = [], 0
         documents += len(frame)
         yield pd.DataFrame({"hi": own["hi"], "lo": own["lo"], "n_shingles": sizes, "class": -1, "n": 0, **dict(zip(PARITIES, odd.T, strict=True))})
+    if waiting:
+        counts += np.bincount(np.concatenate(waiting), minlength=COUNT_CLASSES)
     common = np.flatnonzero(counts >= max(FEWEST_COMMON, int(COMMON_SHARE * documents)))
     if common.size:
         yield pd.DataFrame({"hi": 0, "lo": 0, "n_shingles": 0, "class": common, "n": counts[common], **dict.fromkeys(PARITIES, 0)})

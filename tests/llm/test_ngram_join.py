@@ -81,6 +81,35 @@ def test_signatures_meet_whenever_sets_are_alike():
         assert made[0] & made[1]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, join.BLOCK_BYTES])
+def test_word_hashes_in_blocks(block):
+    draw = random.Random(block)
+    blanks = [b" ", b"\t", b"\n\r", b"\x0b\x0c ", b" " * 9]
+    for _ in range(60):
+        words = [bytes(draw.choice(b"ab\x00\xc3\xff\x1f\x85") for _ in range(draw.choice((1, 1, 2, 3, 20, 70)))) for _ in range(draw.randrange(40))]
+        data = b"".join(w + draw.choice(blanks) for w in words) + draw.choice((b"", b"end"))
+        data = draw.choice((b"", b" ")) + data
+        split = data.split()
+        found = join.word_hashes(data, block).tolist()
+        assert len(found) == len(split)
+        assert found == [join.word_hashes(w).tolist()[0] for w in split]
+        assert len(set(found)) == len(set(split))
+
+
+def test_texts_joined_by_shuffle_when_keys_are_many(table, monkeypatch):
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(40)]
+    texts = [_edited(draw, base, n % 3) for n in range(20)] + [None, "", "own words alone"]
+    rows = table(DOCS, *((n // 2 * 2, t, "x", 1) for n, t in enumerate([t for t in texts for _ in range(2)])))
+    few = [_found(table, texts), sorted(map(str, join.one_of_each(rows).collect()))]
+    monkeypatch.setattr(join, "SENT_KEYS", 0)
+    assert few == [_found(table, texts), sorted(map(str, join.one_of_each(rows).collect()))]
+    brute = _brute(texts, join.SHINGLE_WORDS, join.PERCENT)
+    assert few[0] == brute
+    kept = {find for size, find in brute if size}
+    assert len(few[1]) == len(kept) + 4
+
+
 def test_nulls_ties_and_empty_table(table):
     text = "one two three four five six seven"
     rows = table(DOCS, (5, text, None, 1), (5, text, None, 1), (None, text, "a", None), (3, text + " eight", "b", 2), (None, None, None, None), (9, "", "c", 3))
