@@ -212,7 +212,7 @@ def _sizes(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
 
 
 def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, common: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows (sig, hi, lo, copies) of every text."""
+    """Rows (sig, hi, copies) of every text."""
     bands = Bands(percent)
     for frame in frames:
         parts, columns = [], []
@@ -222,11 +222,10 @@ def _emit(frames: Iterator[pd.DataFrame], length: int, percent: int, common: np.
                 continue
             found = np.concatenate([signatures(items, g, difference, common) for g, difference in _groups(bands, len(items))])
             parts.append(found)
-            columns.append((row.hi, row.lo, row.copies, len(found)))
+            columns.append((row.hi, row.copies, len(found)))
         if parts:
-            hi, lo, copies, n = (np.array(c, np.int64) for c in zip(*columns, strict=True))
-            yield pd.DataFrame({"sig": np.concatenate(parts).view(np.int64), "hi": np.repeat(hi, n), "lo": np.repeat(lo, n),
-                                "copies": np.repeat(copies, n).astype(np.int32)})
+            hi, copies, n = (np.array(c, np.int64) for c in zip(*columns, strict=True))
+            yield pd.DataFrame({"sig": np.concatenate(parts).view(np.int64), "hi": np.repeat(hi, n), "copies": np.repeat(copies, n).astype(np.int32)})
 
 
 def _verified(frames: Iterator[pd.DataFrame], length: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -312,27 +311,30 @@ def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int,
 
     Texts that share a signature are candidates. Per signature, one of them, the one with most copies, is compared
     with the others; what is linked by that needs no further comparison inside its component. Then texts of one
-    signature that are still in different components are compared. Before a text is read again, the parities of
-    both sets have to allow a link.
+    signature that are still in different components are compared, which a signature of two texts never needs. Before
+    a text is read again, the parities of both sets have to allow a link.
+
+    Signature rows name a text by its first hash only. All texts with that hash are candidates then; two texts that share
+    it and no signature with a third one are not compared (a chance of 2 ** -64 for each linked pair).
     """
     rows = texts.select("text", "hi", "lo").mapInPandas(
-        lambda frames: _emit(frames, length, percent, common), "sig long, hi long, lo long, copies int")
+        lambda frames: _emit(frames, length, percent, common), "sig long, hi long, copies int")
     group = Window.partitionBy("sig")
-    node = F.struct("hi", "lo")
-    lead = F.max(F.struct("copies", "hi", "lo")).over(group)
-    rows = rows.withColumns({"lead": lead, "first": F.min(node).over(group), "last": F.max(node).over(group)})
-    members = stored(rows.filter("first <> last").select("sig", "hi", "lo", F.col("lead.hi").alias("a_hi"),
-                                                         F.col("lead.lo").alias("a_lo")).distinct(), "members")
-    info = stored(sizes.join(members.select("hi", "lo").distinct(), ["hi", "lo"], "left_semi"), "infos")
-    stars = members.filter("hi <> a_hi or lo <> a_lo").select("a_hi", "a_lo", "hi", "lo").distinct()
-    stars = (stars.alias("s").join(info.alias("b"), F.expr("s.hi = b.hi and s.lo = b.lo"))
-             .join(info.alias("a"), F.expr("s.a_hi = a.hi and s.a_lo = a.lo")).filter(_may_link("a", "b", percent)).select("s.*"))
+    rows = rows.withColumn("a_hi", F.max(F.struct("copies", "hi")).over(group)["hi"])
+    other = F.when(F.col("hi") != F.col("a_hi"), F.col("hi"))
+    rows = rows.withColumns({"low": F.min(other).over(group), "high": F.max(other).over(group)}).filter("low is not null")
+    members = stored(rows.select("sig", "hi", "a_hi", (F.col("low") != F.col("high")).alias("wide")).distinct(), "members")
+    info = stored(sizes.join(members.select("hi").distinct(), "hi", "left_semi"), "infos")
+    stars = members.filter("hi <> a_hi").select("a_hi", "hi").distinct()
+    stars = (stars.alias("s").join(info.alias("b"), F.expr("s.hi = b.hi")).join(info.alias("a"), F.expr("s.a_hi = a.hi"))
+             .filter(_may_link("a", "b", percent)).selectExpr("a.hi a_hi", "a.lo a_lo", "b.hi", "b.lo"))
     stars = stored(stars, "pairs")
     links = stored(_pair_links(verify(stars, _bodies(texts, stars), length, percent)), "links")
-    labels = connected(links)
-    placed = members.select("sig", node.alias("node")).join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    open_sigs = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-    left = placed.join(open_sigs, "sig", "left_semi")
+    node = F.struct("hi", "lo")
+    nodes = info.select("hi", node.alias("node")).join(connected(links), "node", "left")
+    nodes = stored(nodes.select("hi", "node", F.coalesce("label", "node").alias("label")), "nodes")
+    placed = members.filter("wide").select("sig", "hi").join(nodes, "hi").select("sig", "node", "label")
+    left = placed.withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group)}).filter("low <> high")
     left = left.join(info, (F.col("node.hi") == info["hi"]) & (F.col("node.lo") == info["lo"])).select("sig", "node", "label", "n_shingles", *PARITIES)
     left = stored(left, "open")
     rest = left.alias("a").join(left.alias("b"), F.expr("a.sig = b.sig and a.node < b.node and a.label <> b.label") & _may_link("a", "b", percent))
