@@ -28,6 +28,8 @@ PARITIES = [f"p{n}" for n in range(PARITY_WORDS)]
 LEADER_MEMBERS = 256
 #: Most keys of 8 bytes that are sent to every executor, which holds them in about 100 MB; more are joined by shuffle.
 SENT_KEYS = 1 << 21
+#: Most rows of pairs, links or sizes, of up to 100 bytes each, that are sent to every executor; more are joined by shuffle.
+SENT_ROWS = 1 << 17
 _WORD = r"[^\x20\x09-\x0D]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64((1 << 26) - 1)
@@ -257,19 +259,26 @@ def identified(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                             F.xxhash64(F.lit("second"), body).alias("lo"))
 
 
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, of which there are at most ``n``: up to ``SENT_ROWS`` go to the other side of a join, more are shuffled with it."""
+    return F.broadcast(rows) if n <= SENT_ROWS else rows
+
+
 def verify(pairs: DataFrame, bodies: DataFrame, length: int, percent: int) -> DataFrame:
-    """The linked ones of the pairs (a_hi, a_lo, hi, lo).
+    """The linked ones of the stored pairs (a_hi, a_lo, hi, lo).
 
     Members of one leader are dealt out in parts of about ``LEADER_MEMBERS``, each with a copy of the leader's
     text, so that no task gets more than a part of a large group at once.
     """
+    n_pairs = pairs.count()
     parts = F.ceil(F.col("n") / LEADER_MEMBERS).cast("int")
-    leaders = pairs.groupBy("a_hi", "a_lo").agg(F.count("*").alias("n")).withColumn("parts", parts).drop("n")
+    leaders = _sent(pairs.groupBy("a_hi", "a_lo").agg(F.count("*").alias("n")).withColumn("parts", parts).drop("n"), n_pairs)
     names = bodies.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), "text")
-    heads = leaders.join(names, ["a_hi", "a_lo"]).select("a_hi", "a_lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    heads = names.join(leaders, ["a_hi", "a_lo"]).select("a_hi", "a_lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
                                                          F.lit(0).alias("member"), F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"), "text")
     part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int")
-    members = (pairs.join(leaders, ["a_hi", "a_lo"]).withColumn("part", part).join(bodies, ["hi", "lo"])
+    dealt_out = pairs.join(leaders, ["a_hi", "a_lo"]).withColumn("part", part)
+    members = (bodies.join(_sent(dealt_out, n_pairs), ["hi", "lo"])
                .select("a_hi", "a_lo", "part", F.lit(1).alias("member"), "hi", "lo", "text"))
     dealt = heads.unionByName(members).repartition("a_hi", "a_lo", "part")
     ordered = dealt.sortWithinPartitions("a_hi", "a_lo", "part", "member")
@@ -282,12 +291,14 @@ def connected(links: DataFrame) -> DataFrame:
     Every node takes the smallest label around it, and then its label's label, until nothing changes.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    n_links = both.count()  # no fewer than nodes
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        old = labels.withColumnRenamed("label", "old")
-        taken = old.join(near, old["node"] == near["a"]).select("node", "old", F.least("old", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("root_label"))
+        around = _sent(labels, n_links)
+        near = both.join(around, both["b"] == around["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        old = _sent(labels.withColumnRenamed("label", "old"), n_links)
+        taken = near.join(old, old["node"] == near["a"]).select("node", "old", F.least("old", "near").alias("label"))
+        roots = _sent(labels.select(F.col("node").alias("root"), F.col("label").alias("root_label")), n_links)
         new = stored(taken.join(roots, taken["label"] == roots["root"], "left").select(
             "node", "old", F.least("label", F.coalesce("root_label", "label")).alias("label")), "labels")
         changed = new.filter("old <> label").limit(1).count()
@@ -325,25 +336,34 @@ def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int,
     rows = rows.withColumns({"low": F.min(other).over(group), "high": F.max(other).over(group)}).filter("low is not null")
     members = stored(rows.select("sig", "hi", "a_hi", (F.col("low") != F.col("high")).alias("wide")).distinct(), "members")
     info = stored(sizes.join(members.select("hi").distinct(), "hi", "left_semi"), "infos")
+    n_info = info.count()
     stars = members.filter("hi <> a_hi").select("a_hi", "hi").distinct()
-    stars = (stars.alias("s").join(info.alias("b"), F.expr("s.hi = b.hi")).join(info.alias("a"), F.expr("s.a_hi = a.hi"))
+    stars = (stars.alias("s").join(_sent(info, n_info).alias("b"), F.expr("s.hi = b.hi")).join(_sent(info, n_info).alias("a"), F.expr("s.a_hi = a.hi"))
              .filter(_may_link("a", "b", percent)).selectExpr("a.hi a_hi", "a.lo a_lo", "b.hi", "b.lo"))
     stars = stored(stars, "pairs")
     links = stored(_pair_links(verify(stars, _bodies(texts, stars), length, percent)), "links")
     node = F.struct("hi", "lo")
-    nodes = info.select("hi", node.alias("node")).join(connected(links), "node", "left")
+    nodes = info.select("hi", node.alias("node")).join(_sent(connected(links), n_info), "node", "left")
     nodes = stored(nodes.select("hi", "node", F.coalesce("label", "node").alias("label")), "nodes")
-    placed = members.filter("wide").select("sig", "hi").join(nodes, "hi").select("sig", "node", "label")
+    placed = members.filter("wide").select("sig", "hi").join(_sent(nodes, n_info), "hi").select("sig", "node", "label")
     left = placed.withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group)}).filter("low <> high")
-    left = left.join(info, (F.col("node.hi") == info["hi"]) & (F.col("node.lo") == info["lo"])).select("sig", "node", "label", "n_shingles", *PARITIES)
+    sent = _sent(info, n_info)
+    left = left.join(sent, (F.col("node.hi") == sent["hi"]) & (F.col("node.lo") == sent["lo"])).select("sig", "node", "label", "n_shingles", *PARITIES)
     left = stored(left, "open")
     rest = left.alias("a").join(left.alias("b"), F.expr("a.sig = b.sig and a.node < b.node and a.label <> b.label") & _may_link("a", "b", percent))
     rest = rest.select(F.col("a.node.hi").alias("a_hi"), F.col("a.node.lo").alias("a_lo"), F.col("b.node.hi").alias("hi"),
                        F.col("b.node.lo").alias("lo")).distinct()
-    known = stars.union(stars.select("hi", "lo", "a_hi", "a_lo"))
+    known = _sent(stars.union(stars.select("hi", "lo", "a_hi", "a_lo")), 2 * stars.count())
     rest = stored(rest.join(known, ["a_hi", "a_lo", "hi", "lo"], "left_anti"), "pairs")
-    more = _pair_links(verify(rest, _bodies(texts, rest), length, percent))
-    return connected(links.union(more))
+    if rest.isEmpty():
+        return nodes.select("node", "label")
+    # Only the components of the first comparison are joined further: a link is one between their labels.
+    more = _pair_links(verify(rest, _bodies(texts, rest), length, percent)).alias("m")
+    own = lambda side: _sent(nodes.select(F.col("node").alias(f"{side}_node"), F.col("label").alias(f"{side}_label")), n_info)
+    more = more.join(own("a"), F.expr("m.a = a_node")).join(own("b"), F.expr("m.b = b_node"))
+    merged = connected(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    merged = _sent(merged.select(F.col("node").alias("old"), F.col("label").alias("merged")), n_info)
+    return nodes.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("merged", "label").alias("label"))
 
 
 def _few_keys(keys: DataFrame) -> DataFrame:
@@ -353,8 +373,9 @@ def _few_keys(keys: DataFrame) -> DataFrame:
 
 
 def _bodies(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that the pairs name, each once, and any that share the first hash of one of them."""
-    named = _few_keys(pairs.select("hi").union(pairs.select("a_hi")))
+    """The texts that the stored pairs name, each once, and any that share the first hash of one of them."""
+    named = pairs.select("hi").union(pairs.select("a_hi"))
+    named = F.broadcast(named.distinct()) if pairs.count() <= SENT_ROWS else _few_keys(named)
     return stored(texts.join(named, "hi", "left_semi").groupBy("hi", "lo").agg(F.any_value("text").alias("text")), "bodies")
 
 

@@ -103,6 +103,7 @@ def test_texts_joined_by_shuffle_when_keys_are_many(table, monkeypatch):
     rows = table(DOCS, *((n // 2 * 2, t, "x", 1) for n, t in enumerate([t for t in texts for _ in range(2)])))
     few = [_found(table, texts), sorted(map(str, join.one_of_each(rows).collect()))]
     monkeypatch.setattr(join, "SENT_KEYS", 0)
+    monkeypatch.setattr(join, "SENT_ROWS", -1)
     assert few == [_found(table, texts), sorted(map(str, join.one_of_each(rows).collect()))]
     brute = _brute(texts, join.SHINGLE_WORDS, join.PERCENT)
     assert few[0] == brute
