@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, pii, quality, repair, secret_scan, spelling, substring_dedup, url_filter, warc
+from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, pii, quality, repair, secret_scan, spelling, substring_dedup, url_filter, warcfrom tallyloom.llm.storage import fresh_folder
 
 # Rules of the url query.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -46,7 +46,8 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = secret_scan.scan_secrets(_read(spark, folder, "documents").select("doc_id", "text"))
+    documents = _read(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan_with_ledger(documents, fresh_folder(spark, "secret-ledger"))
     of_kind = lambda kind: F.filter("findings", lambda s: s["kind"] == kind)
     base = F.filter("findings", lambda s: s["rank"] < len(secret_scan.BASE))
     counts = {f"n_{r.kind}": F.size(of_kind(r.kind)).cast("long") for r in secret_scan.BASE}

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.storage import stored
 from tallyloom.llm.words import text_key, whole
 
 
@@ -102,9 +103,14 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str
 
 
 def findings_of(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with ``findings``: all spans of the row's text under the current rules, by start and then kind."""
+    """``versions`` with ``findings``: all spans of the row's text under the current rules, by start and then kind.
+
+    Findings are stored, one row per blob that has any, so that the join with the rows is a plain one whose hot
+    blobs (copies of one text) adaptive execution can split. A pair that stands in the ledger twice counts once.
+    """
     current = ledger.filter(F.col("rule").isin([rule.name for rule in rules]) & (F.size("spans") > 0))
-    by_blob = current.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("findings"))
+    by_blob = current.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("findings"))
+    by_blob = stored(by_blob, "findings")
     rows = versions.drop("findings").withColumn("__blob", text_key(versions[text]))
     joined = rows.join(by_blob, rows["__blob"] == by_blob["blob"], "left")
     return joined.select(*(rows[c] for c in versions.columns if c != "findings"), F.coalesce("findings", _none()).alias("findings"))
@@ -123,6 +129,21 @@ def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, text: str
     return findings_of(versions, fresh if ledger is None else ledger.unionByName(fresh), text, rules)
 
 
+def scan_with_ledger(versions: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with the findings of each row, through the ledger stored in ``folder``.
+
+    What the folder does not hold yet is scanned and appended to it, in one commit; findings are then joined from the
+    folder, those of earlier runs included. The folder is made where it is missing. A run that dies before its
+    commit leaves the ledger as it was; two runs at once may both scan a blob, whose pairs then count once. Odd
+    rows are treated as ``scan_secrets`` does.
+    """
+    spark = versions.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(folder)
+    ledger = spark.read.schema(LEDGER)
+    scan_unseen(versions, ledger.parquet(folder), text, rules).write.mode("append").parquet(folder)
+    return findings_of(versions, ledger.parquet(folder), text, rules)
+
+
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """The text with every finding replaced by a mark; findings that overlap share one."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))

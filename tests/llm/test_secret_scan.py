@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm.secret_scan import LEDGER, RULES, Rule, redact, scan_secrets, scan_unseen
+from tallyloom.llm.secret_scan import LEDGER, RULES, Rule, redact, scan_secrets, scan_unseen, scan_with_ledger
 
 DOCS = "doc_id long, text string, findings int, blob string"
 
@@ -42,6 +42,25 @@ def test_only_unseen_pairs_are_scanned(spark, table):
     assert scan_secrets(new, spark.createDataFrame([], LEDGER)).count() == 4
 
 
+def test_ledger_is_stored_and_read_back(spark, table, tmp_path):
+    folder = f"{tmp_path}/ledger"
+    old = table(DOCS, (1, "token=abcdefgh1", 0, ""), (2, "token=abcdefgh1", 0, ""), (3, None, 0, ""))
+    pairs = lambda: spark.read.parquet(folder).count()
+    assert [len(_spans(r)) for r in scan_with_ledger(old, folder).orderBy("doc_id").collect()] == [1, 1, 0]
+    assert pairs() == 2 * len(RULES)
+    new = old.union(table(DOCS, (4, "passwd=abcdefgh2", 0, "")))
+    assert scan_with_ledger(new, folder).collect() and pairs() == 3 * len(RULES)
+    # A finding that only an earlier run can have made: the blob is known, so it is not scanned again.
+    marked = spark.read.parquet(folder).filter("size(spans) > 0").limit(1)
+    scan_unseen(table(DOCS, (5, "", 0, ""))).limit(0).unionByName(marked).write.mode("append").parquet(folder)
+    again = scan_with_ledger(new, folder).orderBy("doc_id").collect()
+    assert [len(_spans(r)) for r in again] == [1, 1, 0, 1] and pairs() == 3 * len(RULES) + 1
+    later = (*RULES[:-1], Rule("jwt", "token", version=2))
+    assert [len(_spans(r)) for r in scan_with_ledger(new, folder, rules=later).orderBy("doc_id").collect()] == [2, 2, 0, 1]
+    assert pairs() == 3 * len(RULES) + 1 + 3
+    assert scan_with_ledger(old.limit(0), folder).count() == 0 and scan_with_ledger(old.limit(0), f"{folder}2").count() == 0
+
+
 def test_columns_and_empty_table(table):
     rows = table(DOCS, (1, "x", 5, "kept"), (1, "x", 5, "kept"))
     assert [tuple(r) for r in scan_secrets(rows).select("doc_id", "blob").collect()] == [(1, "kept")] * 2
