@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, mixing, ngram_join, quality, secret_scan
-from tallyloom.llm.storage import stored
+from tallyloom.llm.storage import fresh_folder, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark and ``n_chars`` counted anew where that changed the text."""
-    found = secret_scan.scan_secrets(docs)
+    """All documents, secrets replaced by a mark and ``n_chars`` counted anew where that changed the text.
+
+    Findings come from a ledger that the stage stores; each run starts a new one, so that runs do not depend on each other.
+    """
+    found = secret_scan.scan_with_ledger(docs, fresh_folder(spark, "secret-ledger"))
     text = secret_scan.redact(F.col("text"), F.col("findings"))
     chars = F.when(F.size("findings") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
     return found.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
