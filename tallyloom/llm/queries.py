@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, pii, quality, repair, secret_scan, spelling, substring_dedup, url_filter, warcfrom tallyloom.llm.storage import fresh_folder
+from tallyloom.llm import chat, decontaminate, license_scan, mixing, ngram_join, pii, quality, repair, secret_scan, spelling, substring_dedup, url_filter, warc
+from tallyloom.llm.storage import fresh_folder
 
 # Rules of the url query.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
