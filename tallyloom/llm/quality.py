@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import log
+from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.storage import stored
 from tallyloom.llm.words import blank_words, bound, whole
 
 #: Classes that n-grams are hashed to. The weights, one number per class, are what reaches the driver.
 CLASSES = 1 << 14
-#: Target documents at most; the first by a hash of their id are taken.
-TARGET_DOCUMENTS = 5000
 #: N-grams per class that the target is mixed with.
 PRIOR = 2
 #: Weights are whole millionths, so that sums do not depend on the order of addition.
 UNIT = 1_000_000
-#: One good document in this many, by a hash of the id, is not in the target; at most so many of them set the threshold,
-#: which lies a margin of the mean log-likelihood ratio per n-gram below the lowest hundredth of their ratios.
-HELD_OUT, HELD_OUT_DOCUMENTS, LOW_SHARE, MARGIN = 10, 1000, 0.01, 0.1
+#: One good document in this many, by a hash of the id, is not in the target; all of them set the threshold, which
+#: lies a margin of the mean log-likelihood ratio per n-gram below the lowest hundredth of their ratios.
+HELD_OUT, LOW_SHARE, MARGIN = 10, 0.01, 0.1
+#: Ratios, in millionths, that are counted together before those around the lowest hundredth are told apart.
+RATIO_STEP = 1000
+#: Most ids of 8 bytes that are sent to the documents; with more the documents are shuffled to them.
+SENT_IDS = 1 << 20
 #: Base rules: fewest words, and most percent of words in repeated three-word windows.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 #: Repeated hashes up to which a list is looked through; the result is the same either way.
@@ -80,31 +83,39 @@ def ngram_classes(words: Column, use: Callable[[Column, Column], Column], classe
     return bound(words, pairs)
 
 
-def good_documents(labels: DataFrame, most: int, held_out: bool) -> DataFrame:
-    """Ids of at most ``most`` documents with quality 1, the first by a hash of the id; either held out or not."""
+def good_documents(labels: DataFrame, most: int | None, held_out: bool) -> DataFrame:
+    """Ids of the documents with quality 1, either held out or not; with ``most``, the first so many by a hash of the id."""
     order = F.xxhash64("__good")
     ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
-    return ids.filter((F.pmod(order, F.lit(HELD_OUT)) == 0) == held_out).orderBy(order, "__good").limit(most)
+    ids = ids.filter((F.pmod(order, F.lit(HELD_OUT)) == 0) == held_out)
+    return ids if most is None else ids.orderBy(order, "__good").limit(most)
 
 
-def class_counts(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, classes: int, target: int) -> DataFrame:
+def _counted(ids: DataFrame) -> DataFrame:
+    """The ids, stored and counted: up to ``SENT_IDS`` go to the documents, for more the documents are shuffled to them."""
+    kept = stored(ids, "good")
+    return F.broadcast(kept) if kept.count() <= SENT_IDS else kept
+
+
+def class_counts(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, classes: int, target: int | None) -> DataFrame:
     """Rows (class, raw, good): n-grams of the whole corpus and of the target documents in each class.
 
     Every document counts. Counts are combined in each task, so at most ``classes`` rows per task are shuffled.
     """
-    good = good_documents(labels, target, held_out=False)
-    rows = documents.select(F.col(doc_id).alias("__id"), blank_words(whole(F.col(text))).alias("words"))
-    marked = rows.join(F.broadcast(good), rows["__id"] == good["__good"], "left")  # at most ``target`` ids
-    both = ngram_classes(F.col("words"), F.array, classes)
+    good = _counted(good_documents(labels, target, held_out=False))
+    rows = documents.select(F.col(doc_id).alias("__id"), whole(F.col(text)).alias("__body"))
+    marked = rows.join(good, rows["__id"] == good["__good"], "left")
+    both = ngram_classes(blank_words(F.col("__body")), F.array, classes)
     met = marked.select(F.when(F.col("__good").isNotNull(), 1).otherwise(0).alias("good"), F.explode(F.flatten(both)).alias("class"))
     return met.groupBy("class").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
 
 
 def fit_weights(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                classes: int = CLASSES, target: int = TARGET_DOCUMENTS) -> list[int]:
+                classes: int = CLASSES, target: int | None = None) -> list[int]:
     """Weight of every class in millionths: log of its share in the target over its share in the corpus.
 
-    The target's counts are joined by ``PRIOR`` n-grams per class that are dealt like the corpus, so a small target
+    The target is every document with quality 1 that is not held out, or the first ``target`` of them.
+    Its counts are joined by ``PRIOR`` n-grams per class that are dealt like the corpus, so a small target
     tells little and a weight without evidence is near zero. Without target documents all weights are zero.
     """
     counts = class_counts(documents, labels, doc_id, text, classes, target)
@@ -137,18 +148,47 @@ def score_documents(documents: DataFrame, weights: list[int], text: str = "text"
     }).drop("__words")
 
 
+def lowest_share(ratios: DataFrame, share: float) -> float | None:
+    """The ratio, a column of whole numbers, that ``share`` of the rows lie below, as ``percentile`` interpolates it.
+
+    The rows are counted by steps of ``RATIO_STEP``, then those of the step looked for by ratio: what reaches the
+    driver is bounded by the spread of the ratios, not by their number. No row is left out.
+    """
+    step = F.floor(F.col("ratio") / RATIO_STEP)
+    steps = sorted(ratios.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())
+    if not steps:
+        return None
+
+    def at(rank: int) -> int:
+        before = 0
+        for number, n in steps:
+            if rank < before + n:
+                break
+            before += n
+        inside = ratios.filter(step == number).groupBy("ratio").agg(F.count("*").alias("n"))
+        for ratio, n in sorted(inside.collect()):  # at most ``RATIO_STEP`` rows
+            before += n
+            if rank < before:
+                return ratio
+
+    place = share * (sum(n for _, n in steps) - 1)
+    low = at(floor(place))
+    return low if place == floor(place) else low + (place - floor(place)) * (at(ceil(place)) - low)
+
+
 def fit_threshold(documents: DataFrame, labels: DataFrame, weights: list[int], doc_id: str = "doc_id", text: str = "text") -> int:
     """Lowest ratio sum per n-gram, in millionths, with which a document stays.
 
     The margin below nothing, or below what held-out good documents of the base rules have when that is lower: with
-    little text the target says less of good documents it has not seen.
+    little text the target says less of good documents it has not seen. All that are held out count. They are stored
+    first, so that the base rules are looked at for them only.
     """
-    held = good_documents(labels, HELD_OUT_DOCUMENTS, held_out=True)
+    held = _counted(good_documents(labels, None, held_out=True))
     rows = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
-    own = rows.join(F.broadcast(held), rows["__id"] == held["__good"], "left_semi")  # at most so many ids
-    ratios = score_documents(own, weights).filter(~_base_failed()).select((F.col("ratio_sum") / F.col("n_ngrams")).alias("ratio"))
-    low = ratios.agg(F.percentile("ratio", F.lit(LOW_SHARE)).alias("low")).first()["low"]
-    return round(min(low or 0.0, 0.0) - MARGIN * UNIT)
+    own = stored(rows.join(held, rows["__id"] == held["__good"], "left_semi").select("text"), "held-out")
+    ratio = F.floor(F.col("ratio_sum") / F.col("n_ngrams")).alias("ratio")
+    ratios = stored(score_documents(own, weights).filter(~_base_failed()).select(ratio), "ratios")
+    return round(min(lowest_share(ratios, LOW_SHARE) or 0.0, 0.0) - MARGIN * UNIT)
 
 
 def _base_failed() -> Column:
@@ -156,12 +196,13 @@ def _base_failed() -> Column:
 
 
 def judge(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float | None = None,
-          classes: int = CLASSES, target: int = TARGET_DOCUMENTS) -> DataFrame:
+          classes: int = CLASSES, target: int | None = None) -> DataFrame:
     """``documents`` with their counts, ``base_failed``, ``score`` (mean ratio) and ``kept``.
 
-    The target multinomial is fitted to at most ``target`` documents with quality 1, the raw one to all documents.
+    The target multinomial is fitted to all documents with quality 1 that are not held out, or to the first ``target``
+    of them, the raw one to all documents.
     A document that fails no base rule is kept when its ratio sum reaches ``threshold`` per n-gram, compared in whole
-    numbers; without a threshold the held-out good documents set it. NULL and empty texts have no words and
+    numbers; without a threshold all held-out good documents set it. NULL and empty texts have no words and
     fail; repeated rows are judged alike; without documents nothing is fitted; without good labels the ratio is zero
     everywhere and only the base rules decide. Added columns replace columns of the same names.
     """

@@ -86,3 +86,36 @@ def test_held_out_labels(spark):
     judged = quality.judge(docs, fitted).join(held, "doc_id").filter("not base_failed")
     rates = {r["quality"]: r["rate"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
     assert rates[1] >= 0.99 and rates[0] <= 0.7
+
+
+def test_every_good_document_counts(spark, monkeypatch):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (F.col("doc_id") % 97 + 1) * i)))
+    docs = spark.range(12000).select(F.col("id").alias("doc_id")).withColumn("text", words)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    held = quality.good_documents(labels, None, held_out=True).count()
+    assert 1000 < held < 5000 < 12000 - held
+    counts = quality.class_counts(docs, labels, "doc_id", "text", 64, None).agg(F.sum("good"), F.sum("raw")).first()
+    assert tuple(counts) == (120 * (12000 - held), 120 * 12000)
+    seen = []
+    monkeypatch.setattr(quality, "lowest_share", lambda ratios, share: seen.append((ratios.count(), share)))
+    assert quality.fit_threshold(docs, labels, quality.fit_weights(docs, labels, classes=64)) == -100000
+    assert seen == [(held, 0.01)]
+
+
+def test_lowest_share(spark, monkeypatch):
+    values = spark.range(5000).select(((F.col("id") * 7919) % 5003 - 3000).alias("ratio"))
+    for rows in (values, values.limit(1), values.limit(2), values.withColumn("ratio", F.floor(F.col("ratio") / 700))):
+        for share in (0.0, 0.01, 0.5, 1.0):
+            want = rows.agg(F.percentile("ratio", F.lit(share))).first()[0]
+            for step in (1, 50, 1000):
+                monkeypatch.setattr(quality, "RATIO_STEP", step)
+                assert quality.lowest_share(rows, share) == pytest.approx(want)
+    assert quality.lowest_share(values.limit(0), 0.01) is None
+
+
+def test_documents_shuffled_when_good_ones_are_many(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.union(docs.limit(5)).union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    sent = sorted(map(str, quality.judge(docs, labels).collect()))
+    monkeypatch.setattr(quality, "SENT_IDS", -1)
+    assert sorted(map(str, quality.judge(docs, labels).collect())) == sent
