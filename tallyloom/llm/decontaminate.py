@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.storage import stored
 from tallyloom.llm.words import bound, plain_words, text_key, whole
 
 #: Words that count as a copy when they stand in a document in this order.
@@ -13,6 +14,8 @@ WINDOW_WORDS = 13
 GRAM_WORDS = 5
 #: A document is contaminated from this share of hit words on: 1 in 20.
 SHARE = 20
+#: Most texts, named by 64 characters and a few numbers each, that are sent to all documents; for more the documents are shuffled to them.
+SENT_TEXTS = 1 << 16
 
 
 def _longs() -> Column:
@@ -94,6 +97,12 @@ def _extended(words: Column, found: Column, window: int, gram: int, short: list[
     return bound(words, parts)
 
 
+def _counted(texts: DataFrame, name: str) -> DataFrame:
+    """The rows of texts, stored and counted: up to ``SENT_TEXTS`` go to the documents, so that those are not shuffled."""
+    kept = stored(texts, name)
+    return F.broadcast(kept) if kept.count() <= SENT_TEXTS else kept
+
+
 def hits(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """One row (text_key, spans, items) per distinct training text that shares a window with an item.
@@ -109,7 +118,7 @@ def hits(documents: DataFrame, items: DataFrame, text: str = "text", item_id: st
     prints = words.select("text_key", F.explode(fingerprints(F.col("words"), window, gram, short)).alias("fingerprint"))
     common = (prints.join(windows.select("fingerprint").distinct(), "fingerprint", "left_semi")
               .groupBy("text_key").agg(F.collect_set("fingerprint").alias("found")))
-    again = rows.join(common, "text_key").select("text_key", "found", plain_words(F.col("body")).alias("words"))
+    again = rows.join(_counted(common, "common"), "text_key").select("text_key", "found", plain_words(F.col("body")).alias("words"))
     shared = (again.select("text_key", F.explode(_extended(F.col("words"), F.col("found"), window, gram, short)).alias("w"))
               .select("text_key", "w.start", "w.length", "w.window").distinct())
     met = shared.join(windows.select("item_id", "window", "length").distinct(), ["window", "length"])
@@ -153,7 +162,7 @@ def clean_documents(documents: DataFrame, items: DataFrame, text: str = "text",
     names = documents.columns
     held = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), text_key(F.col(text)).alias("key"),
                             F.size(plain_words(whole(F.col(text)))).alias("n_words"))
-    joined = held.join(dirty, F.col("key") == F.col("dirty_key"), "left")
+    joined = held.join(_counted(dirty, "dirty"), F.col("key") == F.col("dirty_key"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     left = joined.filter(~((n_hit > 0) & (n_hit * share >= F.col("n_words"))))
     return left.select(*(F.col("row").getField(n).alias(n) for n in names))

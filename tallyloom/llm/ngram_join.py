@@ -317,13 +317,27 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
 
 
+def _groups_of_leaders(rows: DataFrame, n_leaders: int) -> DataFrame:
+    """Rows (key, merged, node, label): what to compare with each other, for stored rows (sig, a_hi, node, label).
+
+    Near copies share many signatures, most of them with one leader. The signatures of a leader are merged into one
+    group where that makes no more pairs than they have one by one. Every pair of a signature is in a group.
+    """
+    apart = rows.groupBy("a_hi", "sig").agg(F.count("*").cast("double").alias("n")).groupBy("a_hi").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    together = rows.select("a_hi", "node").distinct().groupBy("a_hi").agg(F.count("*").cast("double").alias("n"))
+    merged = together.join(apart, "a_hi").select("a_hi", (F.col("n") * F.col("n") <= F.col("apart")).alias("merged"))
+    keyed = rows.join(_sent(merged, n_leaders), "a_hi")
+    return keyed.select(F.when(F.col("merged"), F.col("a_hi")).otherwise(F.col("sig")).alias("key"), "merged", "node", "label").distinct()
+
+
 def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int, common: np.ndarray) -> DataFrame:
     """Rows (node, label) of all texts that are linked with another one, for texts (hi, lo, text) and their sizes.
 
     Texts that share a signature are candidates. Per signature, one of them, the one with most copies, is compared
     with the others; what is linked by that needs no further comparison inside its component. Then texts of one
-    signature that are still in different components are compared, which a signature of two texts never needs. Before
-    a text is read again, the parities of both sets have to allow a link.
+    signature that are still in different components are compared, which a signature of two texts never needs; texts
+    that share many signatures are compared once for their leader instead of once for each. Before a text is read
+    again, the parities of both sets have to allow a link.
 
     Signature rows name a text by its first hash only. All texts with that hash are candidates then; two texts that share
     it and no signature with a third one are not compared (a chance of 2 ** -64 for each linked pair).
@@ -345,12 +359,14 @@ def linked_texts(texts: DataFrame, sizes: DataFrame, length: int, percent: int,
     node = F.struct("hi", "lo")
     nodes = info.select("hi", node.alias("node")).join(_sent(connected(links), n_info), "node", "left")
     nodes = stored(nodes.select("hi", "node", F.coalesce("label", "node").alias("label")), "nodes")
-    placed = members.filter("wide").select("sig", "hi").join(_sent(nodes, n_info), "hi").select("sig", "node", "label")
+    placed = members.filter("wide").select("sig", "a_hi", "hi").join(_sent(nodes, n_info), "hi").select("sig", "a_hi", "node", "label")
     left = placed.withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group)}).filter("low <> high")
+    left = _groups_of_leaders(stored(left.select("sig", "a_hi", "node", "label"), "left"), n_info)
     sent = _sent(info, n_info)
-    left = left.join(sent, (F.col("node.hi") == sent["hi"]) & (F.col("node.lo") == sent["lo"])).select("sig", "node", "label", "n_shingles", *PARITIES)
+    left = left.join(sent, (F.col("node.hi") == sent["hi"]) & (F.col("node.lo") == sent["lo"])).select("key", "merged", "node", "label", "n_shingles", *PARITIES)
     left = stored(left, "open")
-    rest = left.alias("a").join(left.alias("b"), F.expr("a.sig = b.sig and a.node < b.node and a.label <> b.label") & _may_link("a", "b", percent))
+    same = F.expr("a.key = b.key and a.merged = b.merged and a.node < b.node and a.label <> b.label")
+    rest = left.alias("a").join(left.alias("b"), same & _may_link("a", "b", percent))
     rest = rest.select(F.col("a.node.hi").alias("a_hi"), F.col("a.node.lo").alias("a_lo"), F.col("b.node.hi").alias("hi"),
                        F.col("b.node.lo").alias("lo")).distinct()
     known = _sent(stars.union(stars.select("hi", "lo", "a_hi", "a_lo")), 2 * stars.count())

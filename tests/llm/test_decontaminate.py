@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tallyloom.llm import decontaminate
 from tallyloom.llm.decontaminate import clean_documents, contamination
 
 DOCS = "doc_id long, text string, items int, text_key string, n_hit int"
@@ -64,3 +65,15 @@ def test_clean_rows_are_unchanged(table):
     left = clean_documents(docs, table(ITEMS, (1, item, 0)))
     assert left.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "2", "3", "None"]
+
+
+def test_documents_stay_where_few_texts_are_hit(table, monkeypatch):
+    item = " ".join(f"q{n}" for n in range(20))
+    docs = table("doc_id long, text string", (1, item), (2, "own words " * 30), (3, f"own {item} end"), (4, None), (1, item))
+    items = table("item_id string, text string", ("a", item), ("b", "other words only"))
+    kept = decontaminate.clean_documents(docs, items)
+    assert "strategy=broadcast" in kept._jdf.queryExecution().analyzed().toString()
+    rows = [sorted(map(str, f(docs, items).collect())) for f in (decontaminate.clean_documents, decontaminate.contamination)]
+    assert len(rows[0]) == 2
+    monkeypatch.setattr(decontaminate, "SENT_TEXTS", -1)
+    assert rows == [sorted(map(str, f(docs, items).collect())) for f in (decontaminate.clean_documents, decontaminate.contamination)]

@@ -129,3 +129,23 @@ def test_large_group_of_near_copies(table):
     base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
     texts = [_edited(draw, base, draw.randrange(4)) for _ in range(400)]
     assert _found(table, texts, length=4, percent=85) == _brute(texts, 4, 85)
+
+
+def test_signatures_of_one_leader_are_compared_once(table):
+    node = lambda n: (n, -n)
+    near = [(sig, 1, node(n), node(n % 5)) for sig in range(40) for n in range(10) if (sig + n) % 4]
+    loose = [(100 + n // 2, 2, node(n), node(n)) for n in range(60)]
+    # A signature of the same number as a leader is a group of its own.
+    loose += [(1, 3, node(n), node(n)) for n in (1, 70)] + [(sig, 3, node(sig), node(sig)) for sig in range(200, 230)]
+    rows = table("sig long, a_hi long, node struct<hi long, lo long>, label struct<hi long, lo long>", *near, *loose)
+    groups = {}
+    for r in join._groups_of_leaders(rows, 3).collect():
+        groups.setdefault((r["key"], r["merged"]), []).append(tuple(r["node"]))
+    assert sorted(groups[1, True]) == [node(n) for n in range(10)]
+    pairs = [(a, b) for g in groups.values() for a in g for b in g if a < b]
+    own = {}
+    for sig, leader, n, _ in [*near, *loose]:
+        own.setdefault((sig, leader), []).append(n)
+    assert {(a, b) for g in own.values() for a in g for b in g if a < b} <= set(pairs)
+    assert len(pairs) == 45 + 30 + 1
+    assert max(len(g) for key, g in groups.items() if not key[1]) == 2
