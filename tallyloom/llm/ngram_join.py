@@ -445,6 +445,7 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     same = lambda a, b: (a["hi"] == b["hi"]) & (a["lo"] == b["lo"]) & a["doc_id"].eqNullSafe(b["doc_id"])
     counted = chosen.join(counts, same(chosen, counts)).select(chosen["doc_id"], chosen["hi"], chosen["lo"], "copies")
     winners = stored(counted, "winners").select(F.col("doc_id").alias("w_id"), F.col("hi").alias("w_hi"), F.col("lo").alias("w_lo"), "copies")
+    winners = _sent(winners, winners.count())
     names = documents.columns
     body = whole(F.col(text))
     held = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col(doc_id).alias("k_id"),

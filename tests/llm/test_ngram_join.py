@@ -111,6 +111,14 @@ def test_texts_joined_by_shuffle_when_keys_are_many(table, monkeypatch):
     assert len(few[1]) == len(kept) + 4
 
 
+def test_few_winners_are_sent_to_the_documents(table):
+    rows = table(DOCS, *((n, "one two three four five six seven" + " x" * (n // 9), "x", 1) for n in range(12)), (3, "one two three four five six seven", "x", 1))
+    left = join.one_of_each(rows)
+    plan = left._jdf.queryExecution().analyzed().toString()
+    assert plan.count("ResolvedHint (strategy=broadcast)") == 5  # keys of touched rows: 3, winners: 2
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 9]
+
+
 def test_nulls_ties_and_empty_table(table):
     text = "one two three four five six seven"
     rows = table(DOCS, (5, text, None, 1), (5, text, None, 1), (None, text, "a", None), (3, text + " eight", "b", 2), (None, None, None, None), (9, "", "c", 3))

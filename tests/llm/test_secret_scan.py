@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.llm import secret_scan
 from tallyloom.llm.secret_scan import LEDGER, RULES, Rule, redact, scan_secrets, scan_unseen, scan_with_ledger
 
 DOCS = "doc_id long, text string, findings int, blob string"
@@ -61,6 +62,19 @@ def test_ledger_is_stored_and_read_back(spark, table, tmp_path):
     assert scan_with_ledger(old.limit(0), folder).count() == 0 and scan_with_ledger(old.limit(0), f"{folder}2").count() == 0
 
 
+def test_rows_without_findings_are_not_shuffled(table, monkeypatch):
+    rows = table(DOCS, *((n, "token=abcdefgh1" if n % 40 == 0 else f"plain {n}" if n % 7 else None, n, "kept") for n in range(200)), (0, "token=abcdefgh1", 0, "kept"))
+    found = scan_secrets(rows)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    # Rows reach the join with the findings through sent keys, or not at all.
+    assert plan.count("strategy=broadcast") == 2 and "Join LeftAnti" in plan and "Join LeftSemi" in plan
+    assert found.columns == ["doc_id", "text", "blob", "findings"]
+    sent = sorted(map(str, found.collect()))
+    monkeypatch.setattr(secret_scan, "SENT_BLOBS", -1)
+    assert sorted(map(str, scan_secrets(rows).collect())) == sent
+    assert len(sent) == 201 and sum("kind='assign'" in r for r in sent) == 6
+
+
 def test_columns_and_empty_table(table):
     rows = table(DOCS, (1, "x", 5, "kept"), (1, "x", 5, "kept"))
     assert [tuple(r) for r in scan_secrets(rows).select("doc_id", "blob").collect()] == [(1, "kept")] * 2
