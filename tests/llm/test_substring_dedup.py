@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,46 @@ def test_suffix_arrays():
             for text, start in zip(texts, starts, strict=True):
                 wanted = [seen[text[n:n + length]] > 1 for n in range(len(text) - length + 1)]
                 assert again[start:start + len(wanted)].tolist() == wanted
+
+
+def a_shard(size, hashes):
+    """About ``size`` bytes of classes that share passages of 450 bytes with others of their hash."""
+    dice = np.random.default_rng(5)
+    some = lambda n: dice.integers(97, 107, n, np.uint8).tobytes()
+    rows = []
+    for gram in range(hashes):
+        passage = some(450)
+        for n in range(size // hashes // 600):
+            before = some(int(dice.integers(0, 150)))
+            text = before + (passage if n % 3 else some(450)) + some(150 - len(before))
+            rows.append({"gram": gram, "class": gram * 1_000_000 + n, "members": 1 + (n % 7 == 5), "bytes": text})
+    return pa.Table.from_pylist(rows)
+
+
+def test_shard_in_several_arrays(monkeypatch):
+    shard = a_shard(30_000, 10)
+    rows = lambda found: sorted(found.to_pylist(), key=lambda r: r["class"])
+    whole = rows(substring_dedup._repeated_in_shard(shard))
+    monkeypatch.setattr(substring_dedup, "ARRAY_BYTES", 4000)
+    assert len(list(substring_dedup._arrays(shard.to_pylist()))) == 10
+    assert rows(substring_dedup._repeated_in_shard(shard)) == whole
+    texts = {r["class"]: r for r in shard.to_pylist()}
+    assert [r["class"] for r in whole] == [c for c, r in texts.items() if r["members"] == 1 and c % 1_000_000 % 3]
+    for r in whole:
+        own = texts[r["class"]]
+        others = [o["bytes"] for c, o in texts.items() if o["gram"] == own["gram"] and c != r["class"]]
+        covered = {n + k for n in range(len(own["bytes"]) - 399) if any(own["bytes"][n:n + 400] in o for o in others) for k in range(400)}
+        assert {k for m in r["marked"] for k in range(m["first"], m["until"])} == covered
+
+
+@pytest.mark.parametrize(("hashes", "most"), [(500, 40), (1, 80)])
+def test_memory_of_a_shard(hashes, most):
+    """Bytes of memory per byte of a shard of 3 MB: of many hashes, and of a single one that stays whole."""
+    shard = a_shard(3 << 20, hashes)
+    tracemalloc.start()
+    try:
+        substring_dedup._repeated_in_shard(shard)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak / (3 << 20) < most
